@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmesh.shipping import ship
+
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,6 +62,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, self.root)
 
@@ -93,6 +96,7 @@ def map_rows(df: DataFrame, inputs: list[str], start: Callable[[], Callable], ma
     ``start()`` runs once in a worker's task and gives a function from the inputs' lists to
     one list (or array) for each made column.
     """
+    ship(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in inputs]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"`{k}` {v}" for k, v in made.items())])
     names, types = [f.name for f in keep], [ARROW[v] for v in made.values()]
