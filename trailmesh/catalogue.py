@@ -1,6 +1,8 @@
-"""Every query of the engine with its SQL equivalent."""
+"""Every query of the engine with its SQL equivalent, where there is one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import q_etl, q_graph, q_places, q_trace
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "q_etl", "q_graph", "q_places", "q_trace"]
