@@ -158,11 +158,11 @@ steps AS (SELECT *, lag(lon) OVER s AS lon0, lag(lat) OVER s AS lat0 FROM parts
 
 
 @query(f"""WITH {SEGMENTS_SQL} SELECT way_id, seg::BIGINT AS seg, arg_min(ref, pos) AS from_ref, arg_max(ref, pos) AS to_ref, count(*) AS points,
-round(sum(coalesce(sqrt(pow((lon - lon0) * cos(radians((lat + lat0) / 2)), 2) + pow(lat - lat0, 2)) * 111195.0802, 0)), 1) AS metres FROM steps GROUP BY way_id, seg HAVING count(*) > 1""")
+round(sum(coalesce(sqrt(pow((lon - lon0) * cos(radians((lat + lat0) / 2)), 2) + pow(lat - lat0, 2)) * 111195.0802, 0)) * 100)::BIGINT AS length_cm FROM steps GROUP BY way_id, seg HAVING count(*) > 1""")
 def way_segments(spark, sf_dir):
     parts = ways_of.segments(ways_of.way_nodes(ways_of.selected(ways(spark, sf_dir))))
     sized = ways_of.segment_length_cm(parts)
-    return sized.select("way_id", F.col("seg").cast("long").alias("seg"), "from_ref", "to_ref", "points", F.round(F.col("length_cm") / 100, 1).alias("metres"))
+    return sized.select("way_id", F.col("seg").cast("long").alias("seg"), "from_ref", "to_ref", "points", "length_cm")
 
 
 @query(f"""WITH {SEGMENTS_SQL}, ends AS (SELECT way_id, pos, ref FROM (SELECT *, row_number() OVER (PARTITION BY way_id, seg ORDER BY pos) AS a, row_number() OVER (PARTITION BY way_id, seg ORDER BY pos DESC) AS b, count(*) OVER (PARTITION BY way_id, seg) AS c FROM parts) WHERE (a = 1 OR b = 1) AND c > 1),

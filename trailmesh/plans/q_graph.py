@@ -105,9 +105,9 @@ def mutual_reachable(spark, sf_dir):
     return reachability(spark, sf_dir).intersect(reverse_distance(spark, sf_dir).select("node"))
 
 
-_COMPONENTS = f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, both AS (SELECT u AS src, v AS dst FROM edges UNION ALL SELECT v, u FROM edges),
+_COMPONENTS = f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, sides AS (SELECT u AS src, v AS dst FROM edges UNION ALL SELECT v, u FROM edges),
 c(node, component) USING KEY (node) AS (SELECT node::BIGINT, node::BIGINT FROM nodes UNION
-  SELECT t, min(m) FROM (SELECT b.dst AS t, c.component AS m FROM c JOIN both b ON b.src = c.node LEFT JOIN recurring.c x ON x.node = b.dst WHERE c.component < x.component) GROUP BY t)"""
+  SELECT t, min(m) FROM (SELECT b.dst AS t, c.component AS m FROM c JOIN sides b ON b.src = c.node LEFT JOIN recurring.c x ON x.node = b.dst WHERE c.component < x.component) GROUP BY t)"""
 
 
 @query(f"{_COMPONENTS} SELECT node, component FROM c")

@@ -135,7 +135,7 @@ def meeting_flash(spark, sf_dir):
 @query("WITH t AS (SELECT event_id, user_id, (epoch_us(ts) // 1000)::BIGINT AS ms FROM events) SELECT user_id, count(*) AS n, sum((gap IS NULL OR gap > 500)::INTEGER)::BIGINT AS bursts FROM (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM t) GROUP BY user_id")
 def throttle_bursts(spark, sf_dir):
     """How many groups of changes, more than 500 ms apart, each user made."""
-    t = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.unix_micros("ts") / 1000).alias("ms"))
+    t = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"))
     gap = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ms", "event_id"))
     t = t.withColumn("gap", gap)
     return t.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("gap").isNull() | (F.col("gap") > 500)).cast("long")).alias("bursts"))
