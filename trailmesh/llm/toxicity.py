@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAM
 
     The log-count ratio of each n-gram (documents that hold it, by class) selects and scales
     FEATURES features; a logistic regression weighs them. Without both classes the model
-    scores every text as the share of 1 among the labels (0 without labels).
+    scores every text near the only label known, near 0 without labels.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), (F.col(label) > 0).cast("int").alias("y")).dropDuplicates(["id"])
     total = known.count()
@@ -133,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAM
 
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
-        rate = 0.0 if not sizes.get(1) else 1.0
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0 if not sizes else (30.0 if rate else -30.0))
+        return Model(np.empty(0, np.int64), np.empty(0), 30.0 if sizes.get(1) else -30.0)
     n0, n1 = float(sizes[0]), float(sizes[1])
     found = rows.mapInPandas(counts, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 5")
     ratio = F.log(((F.col("n1") + 1) / (n1 + 2)) / ((F.col("n0") + 1) / (n0 + 2)))
