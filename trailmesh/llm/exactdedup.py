@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, join_small, text_of
 
 PREFIX = 64  # code points of the prefix hash
-BROADCAST_GROUPS = 500_000  # surviving (length, prefix hash) groups that are broadcast; beyond, the join shuffles
+BROADCAST_GROUPS = 100_000  # surviving (length, prefix hash) groups that are broadcast; beyond, the join shuffles
 
 
 def normalised(text: Column) -> Column:
@@ -46,8 +46,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", digest_
     rows = work.write(seen.select("id", "chars", more.alias("more"), (whole if digest_all else F.when(more, whole)).alias("sha")), "rows")
     best = F.max(F.struct("chars", F.col("id").isNotNull().alias("a"), (-F.col("id")).alias("b")))
     made = rows.where("more").groupBy("sha").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).where("n > 1")
-    # keyed by the hash, and without rows that are alone: a null key would gather them in one task
-    both = rows.where("more").join(made, "sha", "left")
+    # without rows that are alone (a null key would gather them in one task); the groups are
+    # written, so that neither side of the join is an aggregate and a hot group can be split
+    both = join_small(rows.where("more"), work.write(made, "made"), "sha", "left", BROADCAST_GROUPS)
     win = both.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(-F.col("best.b")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("n").isNull() | (F.col("id").eqNullSafe(-F.col("best.b")) & (F.col("chars") == F.col("best.chars")))).alias("kept"), "sha")
     alone = rows.where("NOT more").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return win.unionByName(alone).withColumnsRenamed({"id": id, "sha": "text_sha256"})
