@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -76,6 +77,11 @@ class Workspace:
     def drop(self, name: str) -> None:
         _drop(self.spark, self.path(name))
 
+    def tidy(self) -> None:
+        """Let finished shuffles go: their files stay until the driver's JVM collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; looks at no more than one row beyond."""

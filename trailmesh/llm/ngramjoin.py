@@ -27,9 +27,10 @@ from .common import Workspace, map_rows, mix64, shingles, text_of
 
 #: The frequent class has at most so many tokens (8 bytes each are broadcast). It only sets
 #: the order of tokens: links are found whatever is in it.
-FREQUENT = 1 << 20
-LEAST = 16  # documents that hold a frequent token, at least
+FREQUENT = 1 << 18
+LEAST = 4  # documents that hold a frequent token, at least
 BROADCAST_IDS = 1_000_000
+FIRST = 8  # smallest pair keys that go with a row, to meet two sets under one of the keys that they share
 _FLUSH = 4_000_000  # tokens gathered in a task before they are dealt out
 
 
@@ -78,19 +79,23 @@ def frequent_tokens(rows: DataFrame, k: int, work: Workspace, limit: int = FREQU
 
     found = work.write(_tokens(rows, k, bits).groupBy("part").applyInPandas(count, "q long, n long"), "frequent")
     levels = {r["level"]: r["n"] for r in found.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = max(levels, default=0)
-    total = levels.get(least, 0)
-    while least - 1 in levels and total + levels[least - 1] <= limit:
-        least -= 1
-        total += levels[least]
-    if total > limit:
-        return np.empty(0, np.uint64), 32 - bits
-    chosen = found.where(F.col("n") >= (1 << least)).select("q").toPandas()["q"].to_numpy(np.int64)
-    return np.sort(chosen.astype(np.uint64)), 32 - bits
-
-
-def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of one sorted set of tokens; often: which of them are frequent."""
+    least, total = 62, 0
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > limit:
+            break
+        least = level
+
+    def pack(batches):
+        for b in batches:
+            yield pd.DataFrame({"blob": [b["q"].to_numpy(np.int64).tobytes()]})
+
+    chosen = found.where(F.col("n") >= (1 << least)).select("q").mapInPandas(pack, "blob binary").collect()  # at most ``limit`` numbers
+    return np.sort(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["blob"], np.int64) for r in chosen)]).astype(np.uint64)), 32 - bits
+
+
+def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The index keys of one sorted set of tokens, single ones first, and how many are single; often: which tokens are frequent."""
     n = len(tokens)
     rare, common = tokens[~often], tokens[often]
     least = -(-percent * n // 100)
@@ -99,7 +104,7 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarr
         spare = n - len(rare) - least
         window = common[: 2 * spare + (100 - percent) * n // percent + 2]
         keys = np.concatenate((keys, mix64(window[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ window[1:])))
-    return keys
+    return keys, min(len(rare), n - least + 1)
 
 
 def _profile(rows: DataFrame, k: int, percent: int, frequent: np.ndarray, cut: int) -> DataFrame:
@@ -110,7 +115,7 @@ def _profile(rows: DataFrame, k: int, percent: int, frequent: np.ndarray, cut: i
         often = shared.value
 
         def f(texts: list[str]):
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, singles = [], [], [], [], []
             for text in texts:
                 h = shingles(text, k)
                 n.append(len(h))
@@ -118,12 +123,14 @@ def _profile(rows: DataFrame, k: int, percent: int, frequent: np.ndarray, cut: i
                 h2.append(int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 q = h >> np.uint64(cut)
                 at = np.minimum(np.searchsorted(often, q), max(len(often) - 1, 0))
-                keys.append(prefix_keys(h, often[at] == q if len(often) else np.zeros(len(h), bool), percent).view(np.int64))
-            return n, h1, h2, keys
+                found, single = prefix_keys(h, often[at] == q if len(often) else np.zeros(len(h), bool), percent)
+                keys.append(found.view(np.int64))
+                singles.append(single)
+            return n, h1, h2, keys, singles
 
         return f
 
-    return map_rows(rows, ["__text"], start, {"n": "long", "h1": "long", "h2": "long", "keys": "array<long>"})
+    return map_rows(rows, ["__text"], start, {"n": "long", "h1": "long", "h2": "long", "keys": "array<long>", "singles": "long"})
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -152,6 +159,28 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     return at.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(roots)
 
 
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share as many keys as a link needs; t, a and l as above, o the overlap that their sizes need.
+
+    The first o - max(t) + 1 shared tokens are in both sets' first n - t + 1 tokens. If one of
+    them is rare, at least one and at least this number less the frequent ones among those
+    tokens are shared single keys. Otherwise the first min(l) shared tokens are frequent and
+    each unshared frequent token parts two of them at most: the rest are shared pair keys.
+    """
+    sides = [prefixes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "singles", "keys"))) for x in ("a", "b")]
+    both = pairs.join(sides[1], "b").join(sides[0], "a")
+    both = both.withColumn("o", F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"))
+    for x in ("a", "b"):
+        both = both.withColumn(f"t_{x}", F.expr(f"({percent} * n_{x} + 99) div 100"))
+        both = both.withColumn(f"open_{x}", F.expr(f"n_{x} - t_{x} + 1 - singles_{x}"))  # frequent tokens among the first
+        both = both.withColumn(f"l_{x}", F.expr(f"n_{x} - singles_{x} - t_{x} + ({100 - percent} * n_{x}) div {percent} + 2"))
+    single = F.size(F.array_intersect(F.expr("slice(keys_a, 1, singles_a)"), F.expr("slice(keys_b, 1, singles_b)")))
+    double = F.size(F.array_intersect(F.expr("slice(keys_a, singles_a + 1, size(keys_a))"), F.expr("slice(keys_b, singles_b + 1, size(keys_b))")))
+    rare = single >= F.expr("greatest(1, o - greatest(t_a, t_b) + 1 - greatest(0, least(open_a, open_b)))")
+    common = F.expr("open_a > 0 AND open_b > 0") & (double >= F.expr("greatest(1, least(l_a, l_b) - 1 - (n_a - singles_a - o) - (n_b - singles_b - o))"))
+    return both.where(rare | common).select("a", "b").distinct()
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose sets link, by exact intersection. Only sets of rows in pairs are made."""
     ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
@@ -168,9 +197,10 @@ def _verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int, work: Works
     return both.where(F.lit(100).cast("long") * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _near(a: str, b: str, percent: int):
-    """Whether two sizes allow a link."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _near(x: str, y: str, percent: int):
+    """Whether two rows of one key may link, by sizes n and by f, the most tokens that they can share with others."""
+    share = F.least(f"{x}f", f"{y}f")
+    return F.lit(100) * share >= F.lit(percent) * (F.col(f"{x}n") + F.col(f"{y}n") - share)
 
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -190,43 +220,59 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text
     rows = docs.select(docs[id].alias("id"), text_of(docs, text).alias("__text"))
     often, cut = frequent_tokens(rows, k, work)
     work.drop("frequent")
+    work.tidy()
     seen = work.write(_profile(rows, k, percent, often, cut), "profile")
 
     known = seen.where("id IS NOT NULL AND n > 0")
     # class: equal sets; only tables without texts and keys are grouped and joined here
     reps = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     reps = work.write(reps, "reps")
-    firsts = known.select("id", "n", "h1", "h2", "keys").join(reps, ["h1", "h2", "n"]).where("id = rep").select("rep", "n", "keys").distinct()
-    keyed = firsts.select("rep", "n", F.explode("keys").alias("key"))
-    # one shuffle: the rows of a key meet, keys of a single class go
-    by_key, me = Window.partitionBy("key"), F.struct("rep", "n")
-    index = work.write(keyed.withColumns({"lo": F.min(me).over(by_key), "hi": F.max(me).over(by_key)}).where("lo.rep < hi.rep"), "index")
+    firsts = known.select("id", "n", "h1", "h2", "keys", "singles").join(reps, ["h1", "h2", "n"]).where("id = rep")
+    # made before the keys are exploded: beside them it would be made again for every key
+    few = F.expr(f"slice(array_sort(slice(keys, CAST(singles AS INT) + 1, size(keys))), 1, {FIRST})")
+    firsts = work.write(firsts.select("rep", "n", "keys", "singles", few.alias("few")), "prefixes")
+    # a key of two frequent tokens matters only to sets that share no rare token: these share at most
+    # f = n - r tokens; a single key says nothing, f = n
+    keyed = firsts.select("rep", "n", "singles", "few", F.posexplode("keys").alias("p", "key"))
+    one = F.col("p") < F.col("singles")
+    keyed = keyed.select("key", "rep", "n", F.when(one, F.col("n")).otherwise(F.col("n") - F.col("singles")).alias("f"), F.when(~one, F.col("few")).alias("few"))
+    # one shuffle: the rows of a key meet, keys of a single class go. The first one to compare with has
+    # the fewest rare tokens: of a group of near copies it is the nearest to what they were made from
+    by_key, me = Window.partitionBy("key"), F.struct("rep", "n", "f")
+    first = F.min(F.struct((F.col("n") - F.col("f")).alias("r"), "rep", "n", "f")).over(by_key)
+    index = keyed.withColumns({"lo": first, "hi": F.max(me).over(by_key), "least": F.min("rep").over(by_key)}).where("least < hi.rep")
+    index = work.write(index.drop("least"), "index")
+    work.tidy()
 
     edges, tried = None, None
     for step, pivot in enumerate(("lo", "hi")):
         other = f"{pivot}.rep"
-        pairs = index.where((F.col("rep") != F.col(other)) & _near("n", f"{pivot}.n", percent)).select(F.least("rep", other).alias("a"), F.greatest("rep", other).alias("b")).distinct()
+        pairs = index.where((F.col("rep") != F.col(other)) & _near("", f"{pivot}.", percent)).select(F.least("rep", other).alias("a"), F.greatest("rep", other).alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = work.write(pairs, f"pairs{step}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = work.write(_verify(pairs, rows, k, percent, work, f"v{step}"), f"links{step}")
+        good = work.write(_promising(pairs, firsts, percent), f"good{step}")
+        links = work.write(_verify(good, rows, k, percent, work, f"v{step}"), f"links{step}")
         work.drop(f"v{step}-sets")
+        work.tidy()
         edges = links if edges is None else edges.unionByName(links)
     labels = work.write(components(edges, work, "c"), "labels")
 
     # what is left: members of one key in different components, other than its largest one
-    named = index.select("key", "rep", "n").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    named = index.select("key", "rep", "n", "f", "few").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", "f", "few", F.coalesce("c", "rep").alias("c"))
     named = work.write(named, "named")
     share = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = share.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", F.struct("m", "c")).alias("main")).where("cs > 1")
-    split = work.write(named.join(main, "key").select("key", "rep", "n", "c", "main"), "split")
-    one = split.where("c != main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    two = split.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "main")
-    rest = one.join(two, (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & _near("nx", "ny", percent) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    split = work.write(named.join(main, "key").select("key", "rep", "n", "f", "few", "c", "main"), "split")
+    one = split.where("c != main").select("key", F.struct("rep", "n", "f", "c", "few").alias("x"))
+    two = split.select("key", F.struct("rep", "n", "f", "c", "few").alias("y"), "main")
+    once = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) == one["key"], F.lit(True))
+    rest = one.join(two, (one["key"] == two["key"]) & (F.col("x.c") != F.col("y.c")) & _near("x.", "y.", percent) & ((F.col("y.c") == F.col("main")) | (F.col("x.rep") < F.col("y.rep"))) & once)
+    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = work.write(rest, "rest")
-    links = work.write(_verify(rest, rows, k, percent, work, "v2"), "links2")
+    good = work.write(_promising(rest, firsts, percent), "good2")
+    links = work.write(_verify(good, rows, k, percent, work, "v2"), "links2")
     work.drop("v2-sets")
     final = work.write(components(edges.unionByName(links), work, "d"), "final")
 
