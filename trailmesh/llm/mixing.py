@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of
+from .common import SPACE, Workspace, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A margin's target share is its share of words to this power, normalised: under 1 flattens.
@@ -18,7 +18,10 @@ DRIVER_CELLS = 100_000  # cells that are fitted on the driver; more are fitted a
 
 
 def words_in(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Number of words ``[^\\x20\\x09-\\x0D]+``; plain replacing and splitting is several times faster than a pattern."""
+    for c in SPACE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.size(F.array_remove(F.split(text, " ", -1), "")).cast("long")
 
 
 def topic_of(text: Column, words: Column) -> Column:
