@@ -172,3 +172,72 @@ def coverage_rollup(spark, sf_dir):
     """Beyond the inventory: places by region and nation with subtotals."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     return n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").rollup("n_regionkey", "n_nationkey").agg(F.count("s_suppkey").alias("suppliers"))
+
+
+# ---------------------------------------------------------------- geography, slugs, replay rules
+@query("""WITH b AS (SELECT n_nationkey AS id, n_nationkey % 5 * 3.0 AS x, n_nationkey // 5 * 3.0 AS y, 2.0 + n_nationkey % 3 AS w FROM nation),
+p AS (SELECT s_suppkey AS p, (s_suppkey * 37 % 1600) / 100.0 + 0.005 AS x, (s_suppkey * 53 % 1600) / 100.0 + 0.005 AS y FROM supplier)
+SELECT p, id FROM p JOIN b ON p.x > b.x AND p.x < b.x + w AND p.y > b.y AND p.y < b.y + w AND NOT (p.x > b.x + 0.5 AND p.x < b.x + 1 AND p.y > b.y + 0.5 AND p.y < b.y + 1)""")
+def points_in_polygons(spark, sf_dir):
+    from ..sources import geography
+
+    k = F.col("n_nationkey")
+    x, y, w = k % 5 * 3.0, F.floor(k / 5) * 3.0, 2.0 + k % 3
+
+    def square(a, b, s):
+        at = lambda u, v: F.struct(u.cast("double").alias("x"), v.cast("double").alias("y"))
+        return F.array(at(a, b), at(a + s, b), at(a + s, b + s), at(a, b + s), at(a, b))
+
+    land = table(spark, sf_dir, "nation").select(k.cast("long").alias("id"), F.array(F.array(square(x, y, w), square(x + 0.5, y + 0.5, F.lit(0.5)))).alias("polygons"))
+    s = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(s.alias("p"), ((s * 37 % 1600) / 100.0 + 0.005).alias("x"), ((s * 53 % 1600) / 100.0 + 0.005).alias("y"))
+    return geography.points_in(points, land, 2.0).select("p", "id")
+
+
+@query("SELECT s_name AS slug, s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0")
+def slug_lookup(spark, sf_dir):
+    from ..sources import geography
+
+    s = table(spark, sf_dir, "supplier")
+    named = s.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_name").alias("slug"), F.col("s_suppkey").alias("id"), "s_suppkey", "n_name")
+    return geography.place_of_slug(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("slug")), named).drop("id")
+
+
+@query("SELECT o_orderkey, CASE WHEN t < d THEN 'replay' WHEN t < d + 6 THEN 'hold' WHEN t < d + 8 THEN 'fade' ELSE 'next' END AS phase FROM (SELECT o_orderkey, (o_orderkey % 80)::DOUBLE AS t, 25.0 + o_custkey % 40 AS d FROM orders)")
+def replay_phase(spark, sf_dir):
+    from ..operators import view
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", view.phase_at((F.col("o_orderkey") % 80).cast("double"), 25.0 + F.col("o_custkey") % 40).alias("phase"))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN part < 1 THEN least(1.0, p / (1 - part)) ELSE 1.0 END, 9) AS search, round(greatest(0.0, (p - (1 - part)) / part), 9) AS route FROM (SELECT o_orderkey, (o_orderkey % 101) / 100.0::DOUBLE AS p, least(3.0, 0.1 * (25.0 + o_custkey % 40)) / (25.0 + o_custkey % 40) AS part FROM orders)")
+def replay_clock(spark, sf_dir):
+    from ..operators import view
+
+    clock = view.replay_clock((F.col("o_orderkey") % 101) / 100.0, 25.0 + F.col("o_custkey") % 40, F.lit(True))
+    return table(spark, sf_dir, "orders").select("o_orderkey", clock.alias("c")).select("o_orderkey", F.round("c.search", 9).alias("search"), F.round("c.route", 9).alias("route"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN 'multisource' ELSE ['dijkstra','bidirectional','astar','bidirectional-astar','greedy'][((c_custkey - c_custkey // 5) % 5)::INTEGER + 1] END AS algorithm FROM customer")
+def journey_cycle(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", sampler.algorithm_of_journey(F.col("c_custkey")).alias("algorithm"))
+
+
+@query()
+def simplified_ways(spark, sf_dir):
+    """Points of each way before and after simplification at 5 and 15 metres."""
+    from ..operators import compile as ways_of
+
+    w = ways_of.selected(ways(spark, sf_dir)).select("way_id", F.transform("nodes", lambda n: F.struct(n["lon"].alias("x"), n["lat"].alias("y"))).alias("p"))
+    made = w.select("way_id", F.size("p").alias("points"), F.size(ways_of.simplify(F.col("p"), 5.0)).alias("at_5"), F.size(ways_of.simplify(F.col("p"), 15.0)).alias("at_15"))
+    return made
+
+
+@query("SELECT 0::BIGINT AS repeats, 60::BIGINT AS draws")
+def sampler_audit(spark, sf_dir):
+    """Draws that repeat one of the six before them: none when a pool has seven pairs or more."""
+    from ..functions.geo import normalise_longitude
+
+    wide = places(spark, sf_dir).withColumns({"pool": F.lit(0), "lon": normalise_longitude(F.col("lon") * 3)})
+    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(wide), 11, 60)
+    return drawn.agg(F.count(F.lit(1)).alias("draws")).crossJoin(sampler.repeats(drawn, "key", "n", 6).agg(F.count(F.lit(1)).alias("repeats")))  # one row each
