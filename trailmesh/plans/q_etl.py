@@ -311,13 +311,13 @@ def pair_key(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT s_suppkey, s_suppkey % 400 - 200 AS lon, s_suppkey % 90 AS lat, ['dijkstra','astar','nothing'][(s_suppkey % 3)::INTEGER + 1] AS a FROM supplier)
-SELECT s_suppkey, lon BETWEEN -180 AND 180 AND a <> 'nothing' AS valid, CASE WHEN lon BETWEEN -180 AND 180 AND a <> 'nothing' THEN lon::DOUBLE END AS lon, CASE WHEN lon BETWEEN -180 AND 180 AND a <> 'nothing' THEN a END AS algorithm FROM l""")
+SELECT s_suppkey, lon BETWEEN -180 AND 180 AND a <> 'nothing' AS valid, CASE WHEN lon BETWEEN -180 AND 180 AND a <> 'nothing' THEN lon::DOUBLE ELSE -999 END AS lon, CASE WHEN lon BETWEEN -180 AND 180 AND a <> 'nothing' THEN a ELSE '' END AS algorithm FROM l""")
 def link_parse(spark, sf_dir):
     lon, lat = F.col("s_suppkey") % 400 - 200, F.col("s_suppkey") % 90
     a = F.element_at(F.array(F.lit("dijkstra"), F.lit("astar"), F.lit("nothing")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     url = F.concat(F.lit("https://maps.example/?x=1&country=ch&from="), lon.cast("string"), F.lit("%2C"), lat.cast("string"), F.lit(",A%20b&to=8.5,47&algorithm="), a)
     s = table(spark, sf_dir, "supplier").select("s_suppkey", records.parse_link(url).alias("s"))
-    return s.select("s_suppkey", F.col("s").isNotNull().alias("valid"), F.col("s.start.lon").alias("lon"), F.col("s.algorithm").alias("algorithm"))
+    return s.select("s_suppkey", F.col("s").isNotNull().alias("valid"), F.coalesce("s.start.lon", F.lit(-999.0)).alias("lon"), F.coalesce("s.algorithm", F.lit("")).alias("algorithm"))
 
 
 @query("""SELECT o_orderkey, sha256('{"a":' || o_orderkey || ',"b":"' || o_orderstatus || '","c":[1,' || o_custkey || ']}') AS identity FROM orders""")

@@ -122,12 +122,12 @@ def component_stats(spark, sf_dir):
     return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("share")).crossJoin(km)  # one row each
 
 
-@query(f"{_D}, {_spread('f', 'seed')}, goal AS (SELECT (s.node + (SELECT count(*) FROM nodes) // 2) % (SELECT count(*) FROM nodes) AS node FROM seed s), {_spread('b', 'goal', 'arcs', 'dst', 'src')} SELECT min(f.dist + b.dist) AS cost FROM f JOIN b USING (node)")
+@query(f"{_D}, {_spread('f', 'seed')}, goal AS (SELECT (s.node + (SELECT count(*) FROM nodes) // 2) % (SELECT count(*) FROM nodes) AS node FROM seed s), {_spread('b', 'goal', 'arcs', 'dst', 'src')} SELECT coalesce(min(f.dist + b.dist), -1) AS cost FROM f JOIN b USING (node)")
 def bidirectional_cost(spark, sf_dir):
     n, s = nodes(spark, sf_dir).count(), seed(spark, sf_dir)
     goal = (s + n // 2) % n
     req = spark.createDataFrame([(0, Algorithm.BIDIRECTIONAL.value, s, goal, None)], REQUESTS)
-    return store(spark, sf_dir).search(req).select("cost")
+    return store(spark, sf_dir).search(req).select(F.coalesce("cost", F.lit(-1)).alias("cost"))
 
 
 _THREE = "three AS (SELECT node FROM seed UNION ALL SELECT (s.node + n // 3) % n FROM seed s, (SELECT count(*) AS n FROM nodes) UNION ALL SELECT (s.node + 2 * n // 3) % n FROM seed s, (SELECT count(*) AS n FROM nodes))"
@@ -223,7 +223,7 @@ _EXPECTED = """wanted AS (SELECT k, (s.node + (k + 1) * (n // 13)) % n AS goal F
 
 def _costs_of(algorithm: str):
     def f(spark, sf_dir):
-        return store(spark, sf_dir).search(journeys(spark, sf_dir, [algorithm])).select("goal", "cost")
+        return store(spark, sf_dir).search(journeys(spark, sf_dir, [algorithm])).select("goal", F.coalesce("cost", F.lit(-1)).alias("cost"))
 
     return f
 
@@ -233,18 +233,18 @@ for _name in ("dijkstra", "bidirectional", "astar", "bidirectional-astar", "alt"
     _f.__name__ = f"{_name.replace('-', '_')}_cost"
     if _f.__name__ == "bidirectional_cost":
         _f.__name__ = "bidirectional_costs"
-    query(f"{_D}, {_spread('d', 'seed')}, {_EXPECTED} SELECT goal, dist AS cost FROM wanted LEFT JOIN d ON node = goal")(_f)
+    query(f"{_D}, {_spread('d', 'seed')}, {_EXPECTED} SELECT goal, coalesce(dist, -1) AS cost FROM wanted LEFT JOIN d ON node = goal")(_f)
 
 
-@query(f"{_D}, {_spread('d', 'seed', w='1')}, {_EXPECTED} SELECT goal, dist AS connections FROM wanted LEFT JOIN d ON node = goal")
+@query(f"{_D}, {_spread('d', 'seed', w='1')}, {_EXPECTED} SELECT goal, coalesce(dist, -1) AS connections FROM wanted LEFT JOIN d ON node = goal")
 def fewest_connections(spark, sf_dir):
     r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["bidirectional-breadth-first"]))
-    return r.select("goal", F.size("route_edges").cast("long").alias("connections"))
+    return r.select("goal", F.coalesce(F.size("route_edges"), F.lit(-1)).cast("long").alias("connections"))
 
 
-@query(f"{_D}, {TIME_SQL}, {_spread('d', 'seed', 'tarcs')}, {_EXPECTED} SELECT goal, dist AS ms FROM wanted LEFT JOIN d ON node = goal")
+@query(f"{_D}, {TIME_SQL}, {_spread('d', 'seed', 'tarcs')}, {_EXPECTED} SELECT goal, coalesce(dist, -1) AS ms FROM wanted LEFT JOIN d ON node = goal")
 def time_dijkstra_cost(spark, sf_dir):
-    return store(spark, sf_dir).search(journeys(spark, sf_dir, ["time-dijkstra"]), "time").select("goal", F.col("cost").alias("ms"))
+    return store(spark, sf_dir).search(journeys(spark, sf_dir, ["time-dijkstra"]), "time").select("goal", F.coalesce("cost", F.lit(-1)).alias("ms"))
 
 
 def _counts_of(algorithm: str):

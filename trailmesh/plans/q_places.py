@@ -167,11 +167,11 @@ def reachable_intersect(spark, sf_dir):
     return a.select(F.col("src").alias("node")).intersect(a.select(F.col("dst").alias("node")))
 
 
-@query("SELECT n_regionkey, n_nationkey, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+@query("SELECT coalesce(n_regionkey, -1) AS region, coalesce(n_nationkey, -1) AS nation, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)")
 def coverage_rollup(spark, sf_dir):
     """Beyond the inventory: places by region and nation with subtotals."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    return n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").rollup("n_regionkey", "n_nationkey").agg(F.count("s_suppkey").alias("suppliers"))
+    return n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").rollup("n_regionkey", "n_nationkey").agg(F.count("s_suppkey").alias("suppliers")).select(F.coalesce("n_regionkey", F.lit(-1)).alias("region"), F.coalesce("n_nationkey", F.lit(-1)).alias("nation"), "suppliers")
 
 
 # ---------------------------------------------------------------- geography, slugs, replay rules

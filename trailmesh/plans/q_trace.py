@@ -77,18 +77,18 @@ def kind_unpack(spark, sf_dir):
     return trace.unpack_kinds(trace.pack_kinds(t), t.count())
 
 
-@query(f"WITH {TRACE_SQL} SELECT id, event, kind, last_value(CASE WHEN kind = 0 THEN event_id END IGNORE NULLS) OVER w AS settled_node, last_value(CASE WHEN kind = 1 THEN event_id END IGNORE NULLS) OVER w AS last_examined FROM trace WINDOW w AS (PARTITION BY id ORDER BY event)")
+@query(f"WITH {TRACE_SQL} SELECT id, event, kind, coalesce(last_value(CASE WHEN kind = 0 THEN event_id END IGNORE NULLS) OVER w, -1) AS settled_node, coalesce(last_value(CASE WHEN kind = 1 THEN event_id END IGNORE NULLS) OVER w, -1) AS last_examined FROM trace WINDOW w AS (PARTITION BY id ORDER BY event)")
 def current_settled(spark, sf_dir):
     t = events_trace(spark, sf_dir).select(F.col("id").alias("user"), "event", "kind", F.col("event_id").alias("id"))
-    return trace.current_settled(t, "user").select(F.col("user").alias("id"), "event", "kind", "settled_node", "last_examined")
+    return trace.current_settled(t, "user").select(F.col("user").alias("id"), "event", "kind", F.coalesce("settled_node", F.lit(-1)).alias("settled_node"), F.coalesce("last_examined", F.lit(-1)).alias("last_examined"))
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS value, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS at FROM events")
+@query("SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS value, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS at FROM events")
 def asof_focus(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     left = e.select("event_id", "user_id")
     right = e.where("event_type = 'purchase'").select("event_id", "user_id", "value", F.col("event_id").alias("at"))
-    return joins.asof(left, right, "event_id", ["user_id"], ["value", "at"], 4096).select("event_id", "value", "at")
+    return joins.asof(left, right, "event_id", ["user_id"], ["value", "at"], 4096).select("event_id", F.coalesce("value", F.lit(-1.0)).alias("value"), F.coalesce("at", F.lit(-1)).alias("at"))
 
 
 @query(f"WITH {TRACE_SQL} SELECT count(DISTINCT id) AS unique_keys, count(DISTINCT id) FILTER (WHERE kind = 2) AS improved_keys FROM trace")
