@@ -357,6 +357,9 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var a = "</p>";<
 def test_main_text():
     page = PAGE % "<article><h1>A &amp; B</h1><!-- no --><p>One  <b>two</b>\nthree<p>Four &lt;x&gt; caf&eacute;<ul><li>i<li>ii</ul><div class='share'>Share</div></article>"
     assert htmlextract.main_text(page) == "A & B\nOne two three\nFour <x> café\ni\nii"
+    head = "<div class='site-header'>Site</div>"
+    assert htmlextract.main_text(PAGE % (head + "<article><div class='article-header'><h1>A</h1></div><p>B</article>")) == "A\nB"
+    assert htmlextract.main_text(f"<body>{head}<div id=content><p>B</p></div><section id='comments'>no</section><p hidden>x</body>") == "B"
     assert htmlextract.main_text("") == "" and htmlextract.main_text("plain &amp; text") == "plain & text"
     assert htmlextract.main_text("<p>open <b>never closed<br>x") == "open never closed x"
 
