@@ -177,8 +177,8 @@ def weighted_astar(g, start, goal, scale: int = 2):
 @dataclass
 class Landmarks:
     nodes: list[int]
-    away: list[dict[int, int]]  # from the landmark
-    towards: list[dict[int, int]]
+    away: list[np.ndarray]  # cost from the landmark to each node, -1 where unreached
+    towards: list[np.ndarray]
 
 
 def costs(g: Compact, start: int, backward: bool = False) -> dict[int, int]:
@@ -195,12 +195,19 @@ def costs(g: Compact, start: int, backward: bool = False) -> dict[int, int]:
     return dist
 
 
+def cost_array(g: Compact, start: int, backward: bool = False) -> np.ndarray:
+    found = costs(g, start, backward)
+    out = np.full(g.n, -1, np.int64)
+    out[np.fromiter(found.keys(), np.int64, len(found))] = np.fromiter(found.values(), np.int64, len(found))
+    return out
+
+
 def landmarks(g: Compact, most: int = 4) -> Landmarks:
     """The node of greatest degree, then farthest first among nodes mutually reachable with it; ties to low ids."""
     degree = np.bincount(g.src, minlength=g.n) + np.bincount(g.dst, minlength=g.n)
     chosen = [int(degree.argmax())]
-    away, towards = [costs(g, chosen[0])], [costs(g, chosen[0], True)]
-    mutual = np.array(sorted(set(away[0]) & set(towards[0])))
+    away, towards = [cost_array(g, chosen[0])], [cost_array(g, chosen[0], True)]
+    mutual = np.flatnonzero((away[0] >= 0) & (towards[0] >= 0))
     px, py = g.x.astype(np.int64), g.y.astype(np.int64)
     far = np.full(len(mutual), np.iinfo(np.int64).max)
     while len(chosen) < most:
@@ -208,20 +215,18 @@ def landmarks(g: Compact, most: int = 4) -> Landmarks:
         if not far.max() > 0:
             break
         chosen.append(int(mutual[far.argmax()]))
-        away.append(costs(g, chosen[-1]))
-        towards.append(costs(g, chosen[-1], True))
+        away.append(cost_array(g, chosen[-1]))
+        towards.append(cost_array(g, chosen[-1], True))
     return Landmarks(chosen, away, towards)
 
 
 def landmark_bound(g: Compact, marks: Landmarks, goal: int) -> np.ndarray:
     h = planar(g, goal)
     for away, towards in zip(marks.away, marks.towards, strict=True):
-        if goal in away:
-            for u, d in away.items():
-                h[u] = max(h[u], away[goal] - d)
-        if goal in towards:
-            for u, d in towards.items():
-                h[u] = max(h[u], d - towards[goal])
+        if away[goal] >= 0:
+            h = np.where(away >= 0, np.maximum(h, away[goal] - away), h)
+        if towards[goal] >= 0:
+            h = np.where(towards >= 0, np.maximum(h, towards - towards[goal]), h)
     return np.maximum(h, 0)
 
 

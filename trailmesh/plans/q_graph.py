@@ -196,10 +196,12 @@ def landmark_tables(spark, sf_dir):
     marks = store(spark, sf_dir).landmarks()
 
     def make(_):
-        rows = []
+        parts = []
         for mark, away, towards in zip(marks.value.nodes, marks.value.away, marks.value.towards, strict=True):
-            rows += [(mark, u, away.get(u, 4294967295), towards.get(u, 4294967295)) for u in sorted(set(away) | set(towards))]
-        return pd.DataFrame(rows, columns=["landmark", "node", "away", "towards"])
+            node = np.flatnonzero((away >= 0) | (towards >= 0))
+            cost = [np.where(c[node] < 0, 4294967295, c[node]) for c in (away, towards)]
+            parts.append(pd.DataFrame({"landmark": mark, "node": node, "away": cost[0], "towards": cost[1]}))
+        return pd.concat(parts)
 
     return _from_arrays(spark, sf_dir, make, "landmark long, node long, away long, towards long")
 
