@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace, text_of
+from .common import Workspace, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A margin's target share is its share of words to this power, normalised: under 1 flattens.
@@ -18,10 +18,7 @@ DRIVER_CELLS = 100_000  # cells that are fitted on the driver; more are fitted a
 
 
 def words_in(text: Column) -> Column:
-    """Number of words ``[^\\x20\\x09-\\x0D]+``; plain replacing and splitting is several times faster than a pattern."""
-    for c in SPACE[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.size(F.array_remove(F.split(text, " ", -1), "")).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
 def topic_of(text: Column, words: Column) -> Column:
@@ -85,11 +82,11 @@ def mix(docs: DataFrame, topic: Column | None = None, flatten: dict[str, float]
     (the empty text). Documents without words are kept. An empty table stays empty.
     """
     work = Workspace(docs.sparkSession, "mix")
-    t = text_of(docs, text)
-    n = words_in(t)
-    topic = topic_of(t, n) if topic is None else topic
-    own = F.struct(F.coalesce(docs["source"], F.lit("")).alias("source"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(topic, F.lit("")).alias("topic"), n.alias("t"))
-    cells = docs.select(own.alias("x")).select("x.*").groupBy(*DIMENSIONS).agg(F.sum("t").alias("t")).where("t > 0")
+    # a column of its own, used below more than once, so that words are counted once a row
+    counted = docs.select(*(docs[c] for c in docs.columns), words_in(text_of(docs, text)).alias("__n"), *([] if topic is None else [topic.alias("__topic")]))
+    named = topic_of(text_of(counted, text), F.col("__n")) if topic is None else F.col("__topic")
+    own = F.struct(F.coalesce(counted["source"], F.lit("")).alias("source"), F.coalesce(counted["lang"], F.lit("")).alias("lang"), F.coalesce(named, F.lit("")).alias("topic"), F.col("__n").alias("t"))
+    cells = counted.select(own.alias("x")).select("x.*").groupBy(*DIMENSIONS).agg(F.sum("t").alias("t")).where("t > 0")
     cells = work.write(cells, "cells")
     count = cells.count()
     if count == 0:
@@ -101,7 +98,7 @@ def mix(docs: DataFrame, topic: Column | None = None, flatten: dict[str, float]
         rates = docs.sparkSession.createDataFrame(local[[*DIMENSIONS, "probability"]])
     else:
         rates = work.write(_rake_tables(cells, flatten, rounds, budget, work), "rates")
-    shown = docs.select(*(docs[c] for c in docs.columns if c not in ("topic", "n_words", "probability", "kept")), own.alias("__x"))
+    shown = counted.select(*(counted[c] for c in docs.columns if c not in ("topic", "n_words", "probability", "kept")), own.alias("__x"))
     rates = rates.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("probability").alias("__p"))
     on = [F.col(f"__x.{d}") == F.col(f"__{d}") for d in DIMENSIONS]
     both = shown.join(F.broadcast(rates), on, "left") if count <= DRIVER_CELLS else shown.join(rates, on, "left")
