@@ -178,7 +178,7 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     double = F.size(F.array_intersect(F.expr("slice(keys_a, singles_a + 1, size(keys_a))"), F.expr("slice(keys_b, singles_b + 1, size(keys_b))")))
     rare = single >= F.expr("greatest(1, o - greatest(t_a, t_b) + 1 - greatest(0, least(open_a, open_b)))")
     common = F.expr("open_a > 0 AND open_b > 0") & (double >= F.expr("greatest(1, least(l_a, l_b) - 1 - (n_a - singles_a - o) - (n_b - singles_b - o))"))
-    return both.where(rare | common).select("a", "b").distinct()
+    return both.where(rare | common).select("a", "b")  # no distinct: it would keep a hot first set in one task
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
