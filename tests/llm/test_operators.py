@@ -377,6 +377,28 @@ def test_templates_of_a_host(spark):
     assert htmlextract.extract_main(pages.limit(0)).count() == 0
 
 
+def test_classes_decide_what_is_template(spark):
+    def body(k):
+        note = "<p>Abstract</p>" if k < 6 else ""  # alone with its vector: no class
+        nav = ["<p>North</p>", "<p>South</p>"] if k < 7 else []  # a class on seven pages
+        swapped = ["<h2>One</h2>", "<h2>Two</h2>"][:: 1 if k % 2 else -1] if k < 8 else []  # a class without an order
+        return f"<div><p>Welcome</p>{''.join(nav)}{note}{''.join(swapped)}<p>Own {k}</p><p>Bye</p></div>"
+
+    pages = spark.createDataFrame([(k, f"http://h.example/{k}", f"<html><body>{body(k)}</body></html>") for k in range(10)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in htmlextract.extract_main(pages).collect()}
+    for k in range(10):
+        heads = (["One", "Two"][:: 1 if k % 2 else -1]) if k < 8 else []
+        assert got[k] == (["Abstract"] if k < 6 else []) + heads + [f"Own {k}"]
+
+
+def test_order_and_containment_of_classes():
+    assert htmlextract.order_of([5, 7, 5, 7], 2) == htmlextract.order_of([5, 7], 2) != htmlextract.order_of([7, 5], 2)
+    assert htmlextract.order_of([5, 5, 7, 7], 2) == 0 == htmlextract.order_of([5, 7, 5], 2)
+    level, sizes = {1: 1, 2: 1, 8: 2, 9: 2}, {1: 2, 2: 2}
+    assert htmlextract.gaps_of([1, 8, 9, 8, 9, 2], level, {1: 2, 2: 2}) == {1: 1, 2: 1}
+    assert htmlextract.gaps_of([1, 8, 2, 9], level, sizes)[2] == 0 and htmlextract.gaps_of([1, 8, 9, 2, 8, 9], level, sizes)[2] == 0
+
+
 # ---------------------------------------------------------------- 9 mixing
 def test_mixing_meets_its_margins(spark):
     rng = np.random.default_rng(4)
