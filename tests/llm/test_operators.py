@@ -364,6 +364,18 @@ def test_main_text():
     assert htmlextract.main_text("<p>open <b>never closed<br>x") == "open never closed x"
 
 
+def test_wrappers_of_an_article_do_not_mark_it():
+    inner = "<nav>Home</nav><article><h1>A</h1><p>B</p><div class='share-buttons'>Share</div></article><div class='cookie-banner'>Cookies</div>"
+    for open_, close in (("<div class='content has-sidebar'>", "</div>"), ("<div class='with-sidebar'>", "</div>"), ("<section id='search-results'>", "</section>"), ("<form method=post>", "</form>"), ("<div class='sidebar'>", "</div>")):
+        assert htmlextract.main_text(f"<body>{open_}{inner}{close}</body>") == "A\nB", open_
+    flat = "<nav>Home</nav><div id='content'><h1>A</h1><p>B</p></div><form class='x'>Mail</form>"
+    assert htmlextract.main_text(f"<body><form action='/'>{flat}</form></body>") == "A\nB"
+    assert htmlextract.main_text(f"<body><div class='has-sidebar'>{flat}</div></body>") == "A\nB"
+    cards = "<section class='related-posts'><article>Card</article></section><aside><article>Teaser</article></aside>"
+    assert htmlextract.main_text(f"<body><article>Text</article>{cards}</body>") == "Text"
+    assert htmlextract.main_text(f"<body><div><p>A longer text</p></div>{cards}</body>") == "A longer text"
+
+
 def test_templates_of_a_host(spark):
     rows = [(k, f"http://h.example/{k}", PAGE % f"<div><p>Welcome to our site</p><p>Own text {k}</p></div>") for k in range(6)]
     rows += [(10 + k, "http://same.example/", PAGE % "<div><p>All the same</p></div>") for k in range(5)]
