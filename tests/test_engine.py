@@ -1,6 +1,8 @@
 """DataFrame operators: fixpoints, snapping, search, traces, compile, records, streaming."""
 
 import math
+from fractions import Fraction
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -368,6 +370,39 @@ def test_samplers_do_not_repeat(spark):
     assert names[4] == names[9] == "multisource" and len(set(names)) == 6
 
 
+def test_draws_from_more_candidates_than_are_gathered(spark):
+    r = lcg(5)
+    rows = [(0, f"p{i:04d}", 6 + (r() % 9000) / 1000, 40 + (r() % 9000) / 1000, str(i % 3)) for i in range(700)]
+    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+    pairs = sampler.journey_candidates(places)
+    assert pairs.count() > 200_000
+    drawn = sampler.sample_pairs(spark, pairs, 7, 8)
+    assert drawn.count() == 8 and sampler.repeats(drawn, "key", "n", 6).count() == 0
+    triples = sampler.triple_candidates(places.where("id < 'p0130'"))
+    assert triples.count() > 200_000
+    assert sampler.sample_triples(spark, triples, 7, 4).count() == 4
+
+
+def test_draws_are_by_running_weight(spark):
+    """Against a walk over all candidates in order, with exact fractions."""
+    r = lcg(3)
+    rows = [(0, f"p{i:02d}", 6 + (r() % 5000) / 1000, 46 + (r() % 5000) / 1000, str(i % 3)) for i in range(12)]
+    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+    pairs = sampler.journey_candidates(places)
+    every, rng, used, recent, want = sorted(pairs.collect(), key=lambda x: x["key"]), sampler.Xorshift(11), {}, [], []
+    for _ in range(25):
+        band = sampler.band_of_draw(rng())
+        left = [x for x in every if x["key"] not in recent[-6:] and x["band"] == band] or [x for x in every if x["key"] not in recent[-6:]]
+        weights = [Fraction(1, 1 + used.get(x["a"], 0) + used.get(x["b"], 0)) for x in left]
+        goal = Fraction(rng()) * sum(weights)
+        pick = next(x for x, run in zip(left, accumulate(weights), strict=True) if run > goal)
+        want.append(pick["key"])
+        recent.append(pick["key"])
+        for p in (pick["a"], pick["b"]):
+            used[p] = used.get(p, 0) + 1
+    assert [x["key"] for x in sampler.sample_pairs(spark, pairs, 11, 25).orderBy("n").collect()] == want
+
+
 # ---------------------------------------------------------------- streaming
 def test_streamed_blocks_equal_the_batch(spark, tmp_path):
     r = lcg(8)
