@@ -383,6 +383,15 @@ def test_draws_from_more_candidates_than_are_gathered(spark):
     assert sampler.sample_triples(spark, triples, 7, 4).count() == 4
 
 
+def test_triples_are_drawn_from_all_pools(spark, sf):
+    from trailmesh.plans import q_places
+
+    d = sf.replace("sf0.001", "sf0.01")
+    pools = dict(q_places.places(spark, d).select("id", "pool").collect())
+    drawn = {pools[p] for t in q_places.sampled_triples(spark, d).collect() for p in t["sources"]}
+    assert max(drawn) >= 5 and len(drawn) > 5
+
+
 def test_draws_are_by_running_weight(spark):
     """Against a walk over all candidates in order, with exact fractions."""
     r = lcg(3)

@@ -77,7 +77,7 @@ def sampled_journeys(spark, sf_dir):
 
 @query()
 def sampled_triples(spark, sf_dir):
-    c = sampler.triple_candidates(places(spark, sf_dir).where("pool < 5").withColumn("pool", F.lit(0)))
+    c = sampler.triple_candidates(places(spark, sf_dir).withColumn("pool", F.lit(0)))
     return sampler.sample_triples(spark, c, 7, 20)
 
 
