@@ -412,6 +412,18 @@ def test_draws_are_by_running_weight(spark):
     assert [x["key"] for x in sampler.sample_pairs(spark, pairs, 11, 25).orderBy("n").collect()] == want
 
 
+@pytest.mark.parametrize("name", ["reverse_distance", "bfs_hops", "multisource_distance", "potential_repair"])
+def test_cost_queries_without_arrays(spark, sf, name, monkeypatch):
+    from trailmesh.plans import q_graph
+
+    want = sorted(map(tuple, getattr(q_graph, name)(spark, sf).collect()))
+    known = q_graph.store(spark, sf)
+    large = GraphStore(known.nodes, known.edges, limit=0)
+    large.arcs = known.arcs
+    monkeypatch.setitem(q_graph._stores, (spark.sparkContext.applicationId, sf), large)
+    assert sorted(map(tuple, getattr(q_graph, name)(spark, sf).collect())) == want
+
+
 # ---------------------------------------------------------------- streaming
 def test_streamed_blocks_equal_the_batch(spark, tmp_path):
     r = lcg(8)

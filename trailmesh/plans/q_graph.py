@@ -66,6 +66,15 @@ def _from_arrays(spark, sf_dir, make, schema: str, objective: str = "distance"):
     return spark.range(1).repartition(1).mapInPandas(run, schema)
 
 
+def _large(spark, sf_dir) -> bool:
+    """Whether the graph has no arrays: costs come from fixpoints then."""
+    return store(spark, sf_dir).arrays().value is None
+
+
+def _starts(spark, found):
+    return spark.createDataFrame([(s,) for s in found], "node long").distinct()
+
+
 def _dists(found: dict, name: str = "dist") -> pd.DataFrame:
     return pd.DataFrame({"node": np.fromiter(found.keys(), np.int64, len(found)), name: np.fromiter(found.values(), np.int64, len(found))})
 
@@ -83,12 +92,16 @@ def sssp_time(spark, sf_dir):
 @query(f"{_D}, {_spread('d', 'seed', 'arcs', 'dst', 'src')} SELECT node, dist FROM d")
 def reverse_distance(spark, sf_dir):
     s = seed(spark, sf_dir)
+    if _large(spark, sf_dir):
+        return graph.shortest(graph.backward(store(spark, sf_dir).arcs), _starts(spark, [s]))
     return _from_arrays(spark, sf_dir, lambda g: _dists(kernels.costs(g, s, True)), "node long, dist long")
 
 
 @query(f"{_D}, {_spread('d', 'seed', w='1')} SELECT node, dist AS hops FROM d")
 def bfs_hops(spark, sf_dir):
     s = seed(spark, sf_dir)
+    if _large(spark, sf_dir):
+        return graph.hops(store(spark, sf_dir).arcs, _starts(spark, [s]))
     return _from_arrays(spark, sf_dir, lambda g: _dists(kernels.breadth_first(g, s, None).dist, "hops"), "node long, hops long")
 
 
@@ -133,6 +146,12 @@ def bidirectional_cost(spark, sf_dir):
 _THREE = "three AS (SELECT node FROM seed UNION ALL SELECT (s.node + n // 3) % n FROM seed s, (SELECT count(*) AS n FROM nodes) UNION ALL SELECT (s.node + 2 * n // 3) % n FROM seed s, (SELECT count(*) AS n FROM nodes))"
 
 
+def _nearest(spark, sf_dir):
+    if _large(spark, sf_dir):
+        return graph.shortest(store(spark, sf_dir).arcs, _starts(spark, _sources(spark, sf_dir)))
+    return _territory(spark, sf_dir).select("node", "dist")
+
+
 def _territory(spark, sf_dir):
     sources = _sources(spark, sf_dir)
 
@@ -147,12 +166,12 @@ def _territory(spark, sf_dir):
 
 @query(f"{_D}, {_THREE}, {_spread('d', 'three')} SELECT node, dist FROM d")
 def multisource_distance(spark, sf_dir):
-    return _territory(spark, sf_dir).select("node", "dist")
+    return _nearest(spark, sf_dir)
 
 
 @query(f"{_D}, {_THREE}, {_spread('d', 'three')} SELECT count(*) AS nodes, max(dist) AS furthest, sum(dist)::BIGINT AS total FROM d")
 def multisource_extent(spark, sf_dir):
-    return _territory(spark, sf_dir).agg(F.count(F.lit(1)).alias("nodes"), F.max("dist").alias("furthest"), F.sum("dist").alias("total"))
+    return _nearest(spark, sf_dir).agg(F.count(F.lit(1)).alias("nodes"), F.max("dist").alias("furthest"), F.sum("dist").alias("total"))
 
 
 @query()
@@ -183,6 +202,8 @@ _REPAIR = f"""{_H0}, r(node, h) USING KEY (node) AS (SELECT node, h FROM h0 UNIO
 def potential_repair(spark, sf_dir):
     n, s = nodes(spark, sf_dir).count(), seed(spark, sf_dir)
     goal = (s + n // 2) % n
+    if _large(spark, sf_dir):
+        return graph.repaired_bound(store(spark, sf_dir).nodes, store(spark, sf_dir).arcs, goal)
 
     def make(g):
         low, _ = kernels.repair(g, kernels.planar(g, goal))
