@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trailmesh.llm import exactdedup, htmlextract, linededup, media, mixing, ngramjoin, packing, tokencount, toxicity, urlfilter
-from trailmesh.llm.common import Workspace, shingles
+from trailmesh.llm.common import Workspace, shingles, word_hashes
 from trailmesh.llm.tokens import default_path, tokenizer
 
 SPACES = re.compile(r"[\x20\x09-\x0D]")
@@ -53,6 +53,42 @@ def test_area_resize_equals_exact_overlaps(h, w, height, width):
     assert np.allclose(got, want)
 
 
+def test_media_against_its_definition(documents):
+    want = {r["doc_id"]: (r["text"] or "").encode() for r in documents.collect()}
+    for r in media.media_columns(documents).collect():
+        raw = want[r["doc_id"]]
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+        if len(rows) % 2:
+            stored = b"P5\n64 %d\n255\n" % len(rows) + payload
+        else:
+            head = b"BM" + (1078 + len(payload)).to_bytes(4, "little") + bytes(4) + (1078).to_bytes(4, "little")
+            info = b"".join(x.to_bytes(n, "little") for x, n in ((40, 4), (64, 4), (len(rows), 4), (1, 2), (8, 2), (0, 4), (len(payload), 4), (2835, 4), (2835, 4), (256, 4), (0, 4)))
+            stored = head + info + b"".join(bytes((i, i, i, 0)) for i in range(256)) + b"".join(reversed(rows))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and r["error"] is None
+
+        def mean(parts, across, i, j):
+            def cut(n, k, m):
+                return [(at, min(at + 1, (k + 1) * n / m) - max(at, k * n / m)) for at in range(int(k * n / m), min(n, math.ceil((k + 1) * n / m)))]
+
+            cells = [(a * b, rows[y][x]) for y, a in cut(len(rows), i, parts) for x, b in cut(64, j, across)]
+            return sum(a * v for a, v in cells) / sum(a for a, _ in cells)
+
+        if len(rows) <= 40:
+            small = [[round(mean(8, 9, i, j), 6) for j in range(9)] for i in range(8)]
+            bits = "".join(str(int(a > b)) for line in small for a, b in zip(line, line[1:], strict=False))
+            assert r["feature"] == f"{int(bits, 2):016x}"
+            tile = np.frombuffer(bytes(r["tile"])[-1024:], np.uint8).reshape(32, 32)
+            assert all(abs(int(tile[i, j]) - mean(32, 32, i, j)) <= 0.5 + 1e-6 for i in range(0, 32, 5) for j in range(0, 32, 5))
+
+
+def test_unreadable_media_say_why(spark):
+    made = spark.createDataFrame([(1, None), (2, bytearray(b"GIF89a")), (3, bytearray(b"P5\n0 0\n255\n")), (4, bytearray(media.encode_pgm(np.zeros((1, 2), np.uint8))))], "id long, media binary")
+    got = {r["id"]: r for r in media.media_features(made).collect()}
+    assert got[1]["error"] is None and got[1]["media_bytes"] is None
+    assert got[2]["error"] and got[2]["media_bytes"] == 6 and got[3]["error"] and got[4]["shape"] == "2x1" and got[4]["error"] is None
+
+
 def test_media_formats():
     grey = np.arange(35, dtype=np.uint8).reshape(5, 7)
     assert np.array_equal(media.decode(media.encode_pgm(grey)), grey)
@@ -135,6 +171,21 @@ def test_plan_is_near_the_optimum():
     assert sum(packing.padded(sum(i)) * n for i, n in chosen) < total * 1.005
 
 
+def test_columns_are_priced_until_a_bound_is_proven(monkeypatch):
+    calls, best = [], packing._Pricing.best
+    monkeypatch.setattr(packing._Pricing, "best", lambda self, worth: calls.append(1) or best(self, worth))
+    # a start of one length a sequence: 36 pads 28, 28 pads 8; together they fill 64
+    monkeypatch.setattr(packing, "_start", lambda lengths, counts, size: (np.diag((size // lengths).astype(float)), counts / (size // lengths)))
+    lengths, counts = np.array([20, 28, 36, 44]), np.array([50.0, 80, 80, 50])
+    basis, x, bound = packing.solve(lengths, counts, 64)
+    cost = sum(packing.padded(int(f), 64) * k for f, k in zip(lengths @ basis, x, strict=True))
+    assert len(calls) > 2 and bound <= cost <= bound * 1.001 and cost == pytest.approx(130 * 64)
+    assert np.allclose(basis @ x, counts)
+    calls.clear()
+    packing.solve(np.array([64 // 2]), np.array([9.0]), 64)
+    assert calls  # an optimal start is priced too
+
+
 def test_column_generation_improves_a_poor_start():
     # 3 x 20 fill 60 and 2 x 30 fill 60; the start pairs 30 with 30 and 20 with others
     chosen = packing.plan({20: 300, 23: 300, 21: 300, 30: 100}, 64)
@@ -163,6 +214,38 @@ def test_toxicity_learns_and_ignores_other_columns(spark):
     assert kept.columns == docs.columns and all(r["doc_id"] % 4 for r in kept.collect() if r["doc_id"] in held) and kept.count() < 600
 
 
+def brute_score(text, model):
+    """The score from its definition: n-grams one by one, as a set of numbers."""
+    flat = f" {' '.join(text.lower().split())} "
+    found = set()
+    for n in toxicity.GRAMS:
+        for i in range(len(flat) - n + 1):
+            h = sum(ord(c) * pow(0x100000001B3, j, 1 << 64) for j, c in enumerate(flat[i : i + n])) % (1 << 64)
+            found.add(((h ^ h >> 29 ^ n - 1) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.BITS))
+    z = model.bias + sum(w for g, w in zip(model.wanted.tolist(), model.weights.tolist(), strict=True) if g in found)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_equals_its_definition(spark):
+    rows = [(i, f"some words {i} and {'bad vile' if i % 3 else 'good kind'} things to say é", int(i % 3 > 0)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(100, None), (101, ""), (102, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.train_split(docs, labels, Workspace(spark, "t"))
+    assert len(model.wanted)
+    for r in toxicity.score_toxicity(docs, model).collect():
+        assert r["score"] == pytest.approx(brute_score(r["text"] or "", model), abs=1e-9)
+    # ratios from their definition, over the labelled rows that may be learnt from
+    seen = {0: Counter(), 1: Counter()}
+    sizes = Counter()
+    for i, t, y in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            sizes[y] += 1
+            seen[y].update({int(g) for part in toxicity.grams(t) for g in part})
+    ratio = {g: math.log((seen[1][g] + 1) / (sizes[1] + 2) / ((seen[0][g] + 1) / (sizes[0] + 2))) for g in model.wanted.tolist()}
+    signs = [math.copysign(1, w) == math.copysign(1, ratio[g]) for g, w in zip(model.wanted.tolist(), model.weights.tolist(), strict=True) if abs(w) > 1e-3]
+    assert sum(signs) > 0.8 * len(signs)
+
+
 def test_toxicity_odd_inputs(spark, documents, empty):
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(documents, no_labels, Workspace(spark, "t"))
@@ -206,6 +289,35 @@ def test_trees_learn():
     assert ((model.probability(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
 
 
+def test_one_tree_equals_a_search_over_all_cuts():
+    rng = np.random.default_rng(8)
+    x, y, w = rng.integers(0, 9, (120, 3)).astype(float), rng.integers(0, 2, 120).astype(float), rng.integers(1, 4, 120).astype(float)
+    model = urlfilter.boost(x, y, w, trees=1, depth=1, rate=1.0, bins=32)
+    share = np.average(y, weights=w)
+    g, h = w * (y - share), w * share * (1 - share)
+    best = max(((sum(g[m]) ** 2 / (sum(h[m]) + 1) + sum(g[~m]) ** 2 / (sum(h[~m]) + 1), j, c) for j in range(3) for c in range(9) if 5 <= (m := x[:, j] <= c).sum() <= 115), key=lambda b: b[0])
+    left = x[:, best[1]] <= best[2]
+    want = np.where(left, g[left].sum() / (h[left].sum() + 1), g[~left].sum() / (h[~left].sum() + 1)) + np.log(share / (1 - share))
+    assert np.allclose(model.odds(x), want)
+    again = urlfilter.boost(np.repeat(x, w.astype(int), axis=0), np.repeat(y, w.astype(int)), trees=1, depth=1, rate=1.0, bins=32)
+    assert np.allclose(again.odds(x), model.odds(x))  # a weight is as many rows
+
+
+def test_lexical_features():
+    assert urlfilter.lexical("http://a-b.cc/x/1?q=2&r#f", "a-b.cc", "/x/1")[:6] == [25, 6, 4, 2, 2, 2]
+    assert urlfilter.lexical("http://a-b.cc/x/1?q=2&r#f", "a-b.cc", "/x/1")[8:] == [2, 5, 1, 3, 1.0, 0]
+    assert urlfilter.lexical("aabb", "", "")[7] == 1.0 and urlfilter.lexical(None, "", "")[0] == 0
+
+
+def test_url_suffix_rates_leave_a_url_out(spark, monkeypatch):
+    got, boost = [], urlfilter.boost
+    monkeypatch.setattr(urlfilter, "boost", lambda x, y, w: got.append((x, y, w)) or boost(x, y, w))
+    pages = spark.createDataFrame([(1, "http://a.net/es/"), (2, "http://a.net/es/"), (3, "http://b.net/fr/"), (4, "http://c.com/")], "page_id long, url string")
+    assert urlfilter.filter_urls(pages).count() == 4
+    (x, y, w), rate = got[0], urlfilter.NAMES.index("suffix_block_rate")
+    assert sorted(zip(y.tolist(), w.tolist(), x[:, rate].round(6).tolist(), strict=True)) == [(0.0, 1.0, 0.5), (1.0, 1.0, 0.75), (1.0, 2.0, round(2 / 3, 6))]
+
+
 def test_urls_held_out_accuracy(spark):
     rows = [(f"http://{'spam-offers' if i % 2 else 'library'}{i}.{'org' if i % 3 else 'net'}/{'a1b2c3' if i % 2 else 'page'}/{i}?{'u=1&v=2' if i % 2 else ''}", float(i % 2)) for i in range(400)]
     labelled = spark.createDataFrame(rows[:300], "url string, block double")
@@ -241,13 +353,17 @@ def test_line_dedup(documents, batches):
     assert "source" in got[0].asDict() and any(r["n_dropped"] for r in got)
 
 
-def test_line_runs_compact(spark):
+def test_line_runs_are_merged_by_their_order(spark):
     work = Workspace(spark, "t")
-    runs = linededup.LineRuns(work, 3, 2)
+    runs = linededup.LineRuns(work, 3)
     for b in range(5):
         runs.add(spark.createDataFrame([(k, 0, 1) for k in range(4) if b >= k], "h1 long, h2 int, n long"))
-    assert len(runs._runs()) <= 3
-    assert sorted(r["h1"] for r in runs.settled().collect()) == [0, 1, 2]
+        assert len(runs.runs()) == (b + 1).bit_count()
+    assert runs.merges == 3  # 0+1, 2+3, 01+23
+    with linededup._ordered(spark):
+        plan = runs.merge(*[x for x in runs.levels if x])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+    assert sorted(r["h1"] for r in runs.settled("settled").collect()) == [0, 1, 2] and runs.merges == 4 and not runs.names
 
 
 def test_line_dedup_empty(empty):
@@ -343,6 +459,29 @@ def test_linked_sets_share_a_key(base, change, frequent):
     assert keys[0] & keys[1]
 
 
+def test_words_of_long_texts_are_hashed_in_blocks():
+    long = "w" * 70_000
+    text = f"a {long} b\n" + "Some words\x0bhere " * 20_000 + "x" * 5000 + " end"
+    h, want = word_hashes(text).tolist(), words(text)
+    assert len(h) == len(want)
+    known = {}
+    assert all(known.setdefault(w, x) == x for w, x in zip(want, h, strict=True)) and len(set(known.values())) == len(known)
+    assert h[0] == word_hashes("a").tolist()[0] and h[1] == word_hashes(long.upper()).tolist()[0] and h[-1] == word_hashes("END")[0]
+
+
+def test_ngram_join_of_repeated_ids_and_text_ids(spark):
+    rows = [("b", "one two three four five"), ("b", "six seven eight nine ten"), ("a", "six seven eight nine ten"), ("c", None)]
+    got = Counter(tuple(r) for r in ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == Counter([("b", 2, "b"), ("b", 2, "a"), ("a", 2, "a"), ("c", 0, "c")])
+
+
+def test_frequent_tokens_count_every_token(spark):
+    rows = spark.createDataFrame([(f"same words in every text number {i // 2}",) for i in range(40)], "text string").repartition(3)
+    often, cut = ngramjoin.frequent_tokens(rows, 2, Workspace(spark, "t"))
+    n = Counter(h for i in range(40) for h in (shingles(f"same words in every text number {i // 2}", 2) >> np.uint64(cut)).tolist())
+    assert set(often.tolist()) == {h for h, k in n.items() if k >= 4}
+
+
 def test_shingles():
     for text, n in (("", 0), (None, 0), ("a b", 1), ("a b c d e", 2), ("x x x x x x", 1), ("A\tb\u00a0c  d", 1)):
         assert len(shingles(text, 4)) == n
@@ -376,6 +515,21 @@ def test_wrappers_of_an_article_do_not_mark_it():
     assert htmlextract.main_text(f"<body><div><p>A longer text</p></div>{cards}</body>") == "A longer text"
 
 
+def test_attributes_and_comments():
+    inner = "<p data-hidden>B</p><p data-k2='hidden'>C</p><p hidden>no</p><div class='side-effects'>D</div><div class='related-work'>E</div><article class='comment'>no</article>"
+    inner += "".join(f"<div class='{c}'>{c}</div>" for c in ("share-price", "widget-theory", "navigation-history", "promo-code", "notice-board"))
+    assert htmlextract.main_text(f"<article class='comment-on-law'><p>A</p></article>") == "A"
+    got = htmlextract.main_text(f"<article><p>A</p>{inner}</article><article class='comment'>no</article>")
+    assert got.split("\n") == ["A", "B", "C", "D", "E", "share-price", "widget-theory", "navigation-history", "promo-code", "notice-board"]
+
+
+def test_deep_and_endless_pages():
+    deep = htmlextract.parse("<div>" * 20000 + "x" + "</div>" * 20000)
+    assert len(deep.tokens) == 20001 and [b[1] for b in deep.blocks] == ["x"]
+    assert htmlextract.main_text("<svg>" * 5000 + "<p>a") == "a"  # never closed: left out
+    assert htmlextract.main_text("<b>" * 5000 + "<p>a" * 5000).count("a") == 5000
+
+
 def test_templates_of_a_host(spark):
     rows = [(k, f"http://h.example/{k}", PAGE % f"<div><p>Welcome to our site</p><p>Own text {k}</p></div>") for k in range(6)]
     rows += [(10 + k, "http://same.example/", PAGE % "<div><p>All the same</p></div>") for k in range(5)]
@@ -434,6 +588,20 @@ def test_mixing_on_tables_agrees(documents, monkeypatch):
     assert one == two
 
 
+def test_mixing_to_given_targets(spark):
+    rows = [(i, "w " * (1 + i % 7), "abc"[i % 3], "xy"[i % 2]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.6, "b": 0.1}, "lang": {"x": 0.25, "y": 0.75}}
+    mixed = mixing.mix(docs, budget=0.2, targets=targets)
+    sources, langs = (mixing.achieved(mixed, d, targets=targets) for d in ("source", "lang"))
+    assert np.allclose(sources["target"], [0.6, 0.1, 0.3]) and np.allclose(sources["expected"], sources["target"], atol=1e-9)
+    assert np.allclose(langs["expected"], [0.25, 0.75], atol=1e-9) and abs(langs["kept"]["y"] - 0.75) < 0.15
+    full = mixing.achieved(mixing.mix(docs, budget=0.9, targets=targets), "source", targets=targets)
+    assert full["expected"]["a"] < 0.55  # more than there is: falls short, and says so
+    cells = docs.toPandas().assign(t=lambda d: d["text"].str.count("w"), topic="note").groupby(["source", "lang", "topic"], as_index=False)["t"].sum()
+    assert mixing.rake(cells)[1] < 1e-9
+
+
 def test_mixing_odd_inputs(documents, empty):
     assert mixing.mix(documents).count() == documents.count()
     assert mixing.sample_mix(documents).columns == documents.columns
@@ -452,6 +620,18 @@ def test_token_counts(documents, empty):
     assert tokencount.count_tokens(empty).count() == 0
 
 
+def test_odd_stretches_go_to_the_library_alone(monkeypatch):
+    made, seen = tokencount.WholeTokenCounter(default_path()), []
+    monkeypatch.setattr(made, "_by_library", lambda text: seen.append(text) or tokencount.WholeTokenCounter._by_library(made, text))
+    for text in ("plain words " * 50 + "🎉🎉 x  y \u4e2d\u6587 and more " + "tail " * 50, "\u3000 a  \u2028b", "a \u0660\u0661 b" * 3):
+        assert made.count(text) == len(made.bpe.library.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, seen)) < 30
+    monkeypatch.setattr(tokencount, "_MEMO", 10)
+    for k in range(50):
+        made.count(f"zqx{k}zqx {'w' * 300}{k}")
+    assert len(made.memo) <= 10 and all(len(p) <= 256 for p in made.memo)
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_token_ids_equal_the_library(text):

@@ -10,8 +10,9 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import fresh, made_by, quoted, ready, text_of
 
 WIDTH = 64  # samples in a row of a stored payload
 TILE = 32  # sides of the NPY tile
@@ -152,52 +153,72 @@ def difference_hash(image: np.ndarray) -> str:
 def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
     """The image resized to side x side 8-bit samples, as the bytes of an NPY file."""
     tile = np.clip(np.floor(area_resize(image, side, side) + 0.5 + 1e-9), 0, 255).astype(np.uint8)
-    np.save(out := io.BytesIO(), tile, allow_pickle=False)
+    np.save(out := io.BytesIO(), np.ascontiguousarray(tile), allow_pickle=False)  # rows first, whatever the resize left
     return out.getvalue()
 
 
 # ---------------------------------------------------------------- operator
-def text_media(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Every whole text as an image: id, n_bytes, media (BMP or PGM bytes). Null and empty texts: one row of zeros."""
+FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "shape": "string", "tile": "binary", "error": "string"}
 
-    def encode(texts: list[str]) -> tuple[list, list]:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        return [len(r) for r in raw], [store(payload_of(r)) for r in raw]
 
-    rows = docs.select(docs[id].alias(id), text_of(docs, text).alias("__text"))
-    return map_rows(rows, ["__text"], lambda: encode, {"n_bytes": "long", "media": "binary"})
+def describe(data: bytes | None, side: int = TILE) -> tuple:
+    """FEATURES of one stored image; without media all are null, of unreadable bytes all but their size, digest and the error."""
+    if data is None:
+        return (None,) * len(FEATURES)
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        image = decode(data)
+        if not image.size:
+            raise ValueError("an image without samples")
+        payload = image.tobytes()
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, difference_hash(image), f"{image.shape[1]}x{image.shape[0]}", npy_tile(image, side), None)
+    except (ValueError, struct.error, OverflowError) as e:
+        return (None, None, None, *stored, None, None, None, str(e) or type(e).__name__)
 
 
-FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "shape": "string", "tile": "binary"}
+def _described(stored) -> list[tuple]:
+    return list(zip(*(describe(d) for d in stored), strict=True))
 
 
-def describe(data: bytes | None, side: int = TILE) -> tuple:
-    """FEATURES of one stored image."""
-    if data is None:
-        return (None,) * len(FEATURES)
-    image = decode(data)
-    payload = image.tobytes()
-    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), f"{image.shape[1]}x{image.shape[0]}", npy_tile(image, side))
+def text_media(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Every whole text as an image: id, n_bytes, media (BMP or PGM bytes), for writing. Null and empty texts: one row of zeros."""
+    ready(docs.sparkSession)
 
+    def encode(texts: list[str]) -> tuple[list]:
+        return ([store(payload_of(t.encode("utf-8", "surrogatepass"))) for t in texts],)
 
-def media_features(media: DataFrame, side: int = TILE) -> DataFrame:
-    """Decode each image in the column ``media``, whatever its format, and describe it.
+    t = text_of(docs, text)
+    return docs.select(docs[quoted(id)].alias("id"), F.octet_length(t).cast("long").alias("n_bytes"), made_by(lambda: encode, {"media": "binary"}, t)["media"].alias("media")).withColumnRenamed("id", id)
 
-    Replaces the column by FEATURES: digests of the samples read back and of the stored form,
-    the difference hash (hexadecimal), the shape and the NPY tile. Unreadable bytes raise;
-    null media gives null features.
-    """
 
-    def read(column: list) -> list[tuple]:
-        return list(zip(*(describe(d, side) for d in column), strict=True))
+def media_features(media: DataFrame, name: str = "media") -> DataFrame:
+    """Decode each image in the column ``name``, whatever its format, and describe it.
 
-    return map_rows(media, ["media"], lambda: read, FEATURES)
+    Replaces the column by FEATURES: digests of the samples read back and of the stored form,
+    the difference hash (hexadecimal), the shape and the NPY tile. Unreadable bytes give null
+    features and say why in ``error``; null media gives nulls only. Other columns pass, but
+    for those called as a feature, which are replaced.
+    """
+    ready(media.sparkSession)
+    (own,) = fresh(media, "made")
+    taken = {name.lower(), *FEATURES}
+    made = media.select(*(media[quoted(c)] for c in media.columns if c.lower() not in taken), made_by(lambda: _described, FEATURES, media[quoted(name)]).alias(own))
+    return made.select(*(F.col(quoted(c)) for c in made.columns if c != own), *(F.col(own)[k].alias(k) for k in FEATURES))
 
 
 def media_columns(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Store and read back every text; digests of both forms, feature, NPY tile.
+    """Store and read back every text; id, n_bytes, digests of both forms, feature, NPY tile.
 
-    Null or empty text: n_bytes 0, one row of 64 zero samples. Null ids, repeated rows and
-    extra columns pass without effect. No shuffle; the integral image is made in blocks.
+    Texts are stored and the stored bytes read back in one pass, a batch of bounded bytes at a
+    time: images don't travel. Null or empty text: n_bytes 0, one row of 64 zero samples. Null
+    ids and repeated rows give a row each, an empty table none; a very long text is one tall
+    image, whose integral image is made in blocks. Other columns aren't read. No shuffle.
     """
-    return media_features(text_media(docs, text, id))
+    ready(docs.sparkSession)
+
+    def run(texts: list[str]) -> list[tuple]:
+        return _described(store(payload_of(t.encode("utf-8", "surrogatepass"))) for t in texts)
+
+    t = text_of(docs, text)
+    made = docs.select(docs[quoted(id)].alias("id"), F.octet_length(t).cast("long").alias("n_bytes"), made_by(lambda: run, FEATURES, t).alias("made"))
+    return made.select(F.col("id").alias(id), "n_bytes", *(F.col("made")[k].alias(k) for k in FEATURES))

@@ -20,35 +20,46 @@ T / (1 - T) of them. Sets that are equal are one class from the start.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_rows, mix64, shingles, text_of
+from .common import Workspace, made_by, mix64, quoted, shingles, text_of
 
 #: The frequent class has at most so many tokens (8 bytes each are broadcast). It only sets
 #: the order of tokens: links are found whatever is in it.
 FREQUENT = 1 << 18
 LEAST = 4  # documents that hold a frequent token, at least
 BROADCAST_IDS = 1_000_000
+_SALT = 0x5851F42D4C957F2D
 FIRST = 8  # smallest pair keys that go with a row, to meet two sets under one of the keys that they share
-_FLUSH = 4_000_000  # tokens gathered in a task before they are dealt out
+_FLUSH = 2_000_000  # tokens gathered in a task before they are dealt out
+PART = 1_000_000  # tokens of a part that is counted in one task, about
 
 
 def _tokens(rows: DataFrame, k: int, bits: int) -> DataFrame:
-    """(part, blob): every document's tokens, dealt by their first bits, as arrays of the next 32 bits."""
+    """(part, once, more, times): every document's tokens, dealt by their first bits, as arrays of the next 32 bits.
+
+    Tokens are counted before they are dealt: those that a task has gathered once are 4 bytes,
+    the others 8, however often they occur.
+    """
     import pandas as pd
 
     def run(batches):
         held, size = [], 0
 
         def out():
-            h = np.sort(np.concatenate(held))
-            cut = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            low = (h >> np.uint64(32 - bits)).astype(np.uint32)
-            return pd.DataFrame([(p, x.tobytes()) for p, x in enumerate(np.split(low, cut)) if len(x)], columns=["part", "blob"])
+            h = np.sort(np.concatenate(held)) >> np.uint64(32 - bits)
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n, h = np.diff(np.append(first, len(h))), h[first]
+            part, low = (h >> np.uint64(32)).astype(np.int64), h.astype(np.uint32)
+            made = []
+            for p, at in zip(*_groups(part), strict=True):
+                x, times = low[at], n[at]
+                made.append((p, x[times == 1].tobytes(), x[times > 1].tobytes(), times[times > 1].astype(np.uint32).tobytes()))
+            return pd.DataFrame(made, columns=["part", "once", "more", "times"])
 
         for b in batches:
-            for text in b["__text"]:
+            for text in b["text"]:
                 held.append(shingles(text, k))
                 size += len(held[-1])
                 if size >= _FLUSH:
@@ -57,22 +68,36 @@ def _tokens(rows: DataFrame, k: int, bits: int) -> DataFrame:
         if size:
             yield out()
 
-    return rows.select("__text").mapInPandas(run, "part int, blob binary")
+    return rows.select("text").mapInPandas(run, "part int, once binary, more binary, times binary")
+
+
+def _groups(part: np.ndarray) -> tuple[list[int], list[slice]]:
+    """The values of a sorted array and where each is."""
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return part[cut].tolist(), [slice(a, b) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True)]
 
 
 def frequent_tokens(rows: DataFrame, k: int, work: Workspace, limit: int = FREQUENT) -> tuple[np.ndarray, int]:
     """The most frequent tokens' first bits, sorted, and how many low bits are cut off.
 
-    Every token of every document is counted. The count travels as packed arrays of 4 bytes
-    a token. The least frequency is the smallest power of two from LEAST on at which at
-    most ``limit`` tokens are frequent.
+    Every token of every document is counted. The count travels as packed arrays, in parts of
+    about PART tokens by the texts' counted bytes. The least frequency is the smallest power of
+    two from LEAST on at which at most ``limit`` tokens are frequent.
     """
     import pandas as pd
 
-    bits = max(6, min(16, (2 * rows.rdd.getNumPartitions() - 1).bit_length()))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, min(20, (size // (6 * PART)).bit_length()))
 
     def count(key, blobs):
-        low, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs["blob"]]), return_counts=True)
+        once = [np.frombuffer(b, np.uint32) for b in blobs["once"]]
+        more = [np.frombuffer(b, np.uint32) for b in blobs["more"]]
+        low = np.concatenate([*once, *more])
+        n = np.concatenate([np.ones(sum(map(len, once)), np.int64), *(np.frombuffer(b, np.uint32).astype(np.int64) for b in blobs["times"])])
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        n, low = np.add.reduceat(n, first), low[first]
         on = n >= LEAST
         top = (np.uint64(key[0]) << np.uint64(32)) | low[on].astype(np.uint64)
         return pd.DataFrame({"q": top.astype(np.int64), "n": n[on]})
@@ -107,30 +132,35 @@ def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np
     return keys, min(len(rare), n - least + 1)
 
 
+def _hash(h: np.ndarray, salt: int) -> int:
+    return int(mix64(h ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0
+
+
 def _profile(rows: DataFrame, k: int, percent: int, frequent: np.ndarray, cut: int) -> DataFrame:
-    """Columns n, h1, h2 (size and hash of the set) and keys for each row's text."""
+    """id, and of each row's set: size n, hashes v and w, keys, and how many of these are single."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def start():
         often = shared.value
 
         def f(texts: list[str]):
-            n, h1, h2, keys, singles = [], [], [], [], []
+            n, v, w, keys, singles = [], [], [], [], []
             for text in texts:
                 h = shingles(text, k)
                 n.append(len(h))
-                h1.append(int(mix64(h).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
-                h2.append(int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
+                v.append(_hash(h, 0))
+                w.append(_hash(h, _SALT))
                 q = h >> np.uint64(cut)
                 at = np.minimum(np.searchsorted(often, q), max(len(often) - 1, 0))
                 found, single = prefix_keys(h, often[at] == q if len(often) else np.zeros(len(h), bool), percent)
                 keys.append(found.view(np.int64))
                 singles.append(single)
-            return n, h1, h2, keys, singles
+            return n, v, w, keys, singles
 
         return f
 
-    return map_rows(rows, ["__text"], start, {"n": "long", "h1": "long", "h2": "long", "keys": "array<long>", "singles": "long"})
+    made = made_by(start, {"n": "long", "v": "long", "w": "long", "keys": "array<long>", "singles": "long"}, F.col("text"))
+    return rows.select("id", made.alias("x")).select("id", "x.*", F.monotonically_increasing_id().alias("row"))
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -167,7 +197,7 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     tokens are shared single keys. Otherwise the first min(l) shared tokens are frequent and
     each unshared frequent token parts two of them at most: the rest are shared pair keys.
     """
-    sides = [prefixes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "singles", "keys"))) for x in ("a", "b")]
+    sides = [prefixes.select(F.col("v").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "singles", "keys"))) for x in ("a", "b")]
     both = pairs.join(sides[1], "b").join(sides[0], "a")
     both = both.withColumn("o", F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"))
     for x in ("a", "b"):
@@ -181,18 +211,20 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     return both.where(rare | common).select("a", "b")  # no distinct: it would keep a hot first set in one task
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection. Only sets of rows in pairs are made."""
-    ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    ids = work.write(ids, f"{name}-ids")
-    wanted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["id"] == ids["v"], "left_semi")
+def _verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link, by exact intersection. Only sets of rows in pairs are made, from their texts."""
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    ids = work.write(ends.join(reps, "v").select("rep").distinct(), f"{name}-ids")
+    wanted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["id"] == ids["rep"], "left_semi")
 
     def sets(texts: list[str]):
-        return ([shingles(t, k).view(np.int64) for t in texts],)
+        made = [shingles(t, k) for t in texts]
+        return [_hash(h, 0) for h in made], [h.view(np.int64) for h in made]
 
-    made = work.write(map_rows(wanted, ["__text"], lambda: sets, {"tokens": "array<long>"}).dropDuplicates(["id"]), f"{name}-sets")
-    left = made.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    right = made.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    made = wanted.select(made_by(lambda: sets, {"v": "long", "tokens": "array<long>"}, F.col("text")).alias("x")).select("x.*")
+    made = work.write(made.dropDuplicates(["v"]), f"{name}-sets")
+    left = made.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
+    right = made.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("o"))
     return both.where(F.lit(100).cast("long") * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
@@ -206,78 +238,84 @@ def _near(x: str, y: str, percent: int):
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links of Jaccard percent/100 or more.
 
-    Rows with equal sets are one class; candidates come from the index of prefix keys and
-    are verified exactly. Where many classes share a key, they are first compared with one
-    member (smallest, then largest id), and afterwards only members of different components
-    are compared, all of them: no link between components is missed, and a group of near
-    copies isn't expanded into its pairs.
+    Rows with equal sets are one class, named by a 64-bit hash of the set; candidates come from
+    the index of prefix keys and are verified exactly. Where many classes share a key, they are
+    first compared with two members (the one with the fewest rare tokens, and the one with the
+    largest name), and afterwards only members of different components are compared, all of
+    them: no link between components is missed, and a group of near copies isn't expanded into
+    its pairs.
 
     Null and empty texts have size 0 and are alone. A row with a null id gets component_id
-    null and links nothing. A row that is repeated with its id and text gets its result each time.
-    An empty table gives an empty table. Extra columns aren't read.
+    null and links nothing. A row that is repeated, with its id, gets its result each time, with
+    another text too. Very long texts are hashed in blocks. An empty table gives an empty table.
+    Extra columns aren't read; ids can be of any type that has an order.
     """
     work = Workspace(docs.sparkSession, "ngram")
-    rows = docs.select(docs[id].alias("id"), text_of(docs, text).alias("__text"))
+    rows = docs.select(docs[quoted(id)].alias("id"), text_of(docs, text).alias("text"))
     often, cut = frequent_tokens(rows, k, work)
     work.drop("frequent")
     work.tidy()
     seen = work.write(_profile(rows, k, percent, often, cut), "profile")
 
     known = seen.where("id IS NOT NULL AND n > 0")
-    # class: equal sets; only tables without texts and keys are grouped and joined here
-    reps = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
+    # class: equal sets; only tables without texts and keys are grouped here. One row stands for each
+    reps = known.groupBy("v", "w").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("row"))
     reps = work.write(reps, "reps")
-    firsts = known.select("id", "n", "h1", "h2", "keys", "singles").join(reps, ["h1", "h2", "n"]).where("id = rep")
+    firsts = known.select("row", "v", "n", "keys", "singles").join(reps.select("row"), "row", "left_semi")
     # made before the keys are exploded: beside them it would be made again for every key
     few = F.expr(f"slice(array_sort(slice(keys, CAST(singles AS INT) + 1, size(keys))), 1, {FIRST})")
-    firsts = work.write(firsts.select("rep", "n", "keys", "singles", few.alias("few")), "prefixes")
+    firsts = work.write(firsts.select("v", "n", "keys", "singles", few.alias("few")), "prefixes")
     # a key of two frequent tokens matters only to sets that share no rare token: these share at most
     # f = n - r tokens; a single key says nothing, f = n
-    keyed = firsts.select("rep", "n", "singles", "few", F.posexplode("keys").alias("p", "key"))
-    one = F.col("p") < F.col("singles")
-    keyed = keyed.select("key", "rep", "n", F.when(one, F.col("n")).otherwise(F.col("n") - F.col("singles")).alias("f"), F.when(~one, F.col("few")).alias("few"))
-    # one shuffle: the rows of a key meet, keys of a single class go. The first one to compare with has
-    # the fewest rare tokens: of a group of near copies it is the nearest to what they were made from
-    by_key, me = Window.partitionBy("key"), F.struct("rep", "n", "f")
-    first = F.min(F.struct((F.col("n") - F.col("f")).alias("r"), "rep", "n", "f")).over(by_key)
-    index = keyed.withColumns({"lo": first, "hi": F.max(me).over(by_key), "least": F.min("rep").over(by_key)}).where("least < hi.rep")
-    index = work.write(index.drop("least"), "index")
+    keyed = firsts.select("v", "n", "singles", F.posexplode("keys").alias("p", "key"))
+    keyed = keyed.select("key", "v", "n", F.when(F.col("p") < F.col("singles"), F.col("n")).otherwise(F.col("n") - F.col("singles")).alias("f"))
+    # keys of a single class go. The aggregate has partials, so that a hot key isn't gathered, and the join
+    # can be split. Of a group of near copies the first one is the nearest to what they were made from
+    ends = keyed.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("hi"), F.min_by("v", F.col("n") - F.col("f")).alias("lo")).where("least < hi")
+    ends = work.write(ends.select("key", "lo", "hi"), "ends")
+    index = work.write(keyed.join(ends, "key"), "index")
+    work.drop("ends")
     work.tidy()
 
+    sizes = firsts.select("v", "n")
     edges, tried = None, None
     for step, pivot in enumerate(("lo", "hi")):
-        other = f"{pivot}.rep"
-        pairs = index.where((F.col("rep") != F.col(other)) & _near("", f"{pivot}.", percent)).select(F.least("rep", other).alias("a"), F.greatest("rep", other).alias("b")).distinct()
+        pairs = index.where(F.col("v") != F.col(pivot)).select("v", "n", "f", pivot).groupBy("v", "n", pivot).agg(F.max("f").alias("f"))
+        pairs = pairs.join(sizes.select(F.col("v").alias(pivot), F.col("n").alias("m")), pivot)
+        pairs = pairs.where(F.lit(100) * F.least("f", "m") >= F.lit(percent) * (F.col("n") + F.col("m") - F.least("f", "m")))
+        pairs = pairs.select(F.least("v", pivot).alias("a"), F.greatest("v", pivot).alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = work.write(pairs, f"pairs{step}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         good = work.write(_promising(pairs, firsts, percent), f"good{step}")
-        links = work.write(_verify(good, rows, k, percent, work, f"v{step}"), f"links{step}")
+        links = work.write(_verify(good, rows, reps, k, percent, work, f"v{step}"), f"links{step}")
         work.drop(f"v{step}-sets")
         work.tidy()
         edges = links if edges is None else edges.unionByName(links)
     labels = work.write(components(edges, work, "c"), "labels")
 
     # what is left: members of one key in different components, other than its largest one
-    named = index.select("key", "rep", "n", "f", "few").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "n", "f", "few", F.coalesce("c", "rep").alias("c"))
+    named = index.select("key", "v", "n", "f").join(labels, "v", "left").select("key", "v", "n", "f", F.coalesce("c", "v").alias("c"))
     named = work.write(named, "named")
     share = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = share.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", F.struct("m", "c")).alias("main")).where("cs > 1")
-    split = work.write(named.join(main, "key").select("key", "rep", "n", "f", "few", "c", "main"), "split")
-    one = split.where("c != main").select("key", F.struct("rep", "n", "f", "c", "few").alias("x"))
-    two = split.select("key", F.struct("rep", "n", "f", "c", "few").alias("y"), "main")
+    split = named.join(main, "key").join(firsts.select("v", "singles", "few"), "v")
+    split = work.write(split.select("key", "v", "n", "f", F.when(F.col("f") < F.col("n"), F.col("few")).alias("few"), "c", "main"), "split")
+    one = split.where("c != main").select("key", F.struct("v", "n", "f", "c", "few").alias("x"))
+    two = split.select("key", F.struct("v", "n", "f", "c", "few").alias("y"), "main")
     once = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) == one["key"], F.lit(True))
-    rest = one.join(two, (one["key"] == two["key"]) & (F.col("x.c") != F.col("y.c")) & _near("x.", "y.", percent) & ((F.col("y.c") == F.col("main")) | (F.col("x.rep") < F.col("y.rep"))) & once)
-    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = one.join(two, (one["key"] == two["key"]) & (F.col("x.c") != F.col("y.c")) & _near("x.", "y.", percent) & ((F.col("y.c") == F.col("main")) | (F.col("x.v") < F.col("y.v"))) & once)
+    rest = rest.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = work.write(rest, "rest")
     good = work.write(_promising(rest, firsts, percent), "good2")
-    links = work.write(_verify(good, rows, k, percent, work, "v2"), "links2")
+    links = work.write(_verify(good, rows, reps, k, percent, work, "v2"), "links2")
     work.drop("v2-sets")
     final = work.write(components(edges.unionByName(links), work, "d"), "final")
 
-    named = reps.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("comp"))
-    out = seen.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    named = work.write(reps.join(final, "v", "left").select("v", "w", "rep", F.coalesce("c", "v").alias("c")), "classes")
+    smallest = named.groupBy("c").agg(F.min("rep").alias("comp"))
+    named = named.join(smallest, "c").select("v", "w", "comp")
+    out = seen.select("id", "n", "v", "w").join(named, ["v", "w"], "left")
     comp = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), comp.alias("component_id"))
-

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_rows, text_of
+from .common import Workspace, made_by, map_rows, quoted, text_of
 from .tokens import default_path, tokenizer
 
 SIZE = 1024
@@ -37,7 +37,8 @@ class _Pricing:
         self.upto = np.searchsorted(lengths, np.arange(size + 1), side="right")
         self.costs = np.array([0, *(padded(c, size) for c in range(1, size + 1))], float)
 
-    def best(self, worth: np.ndarray) -> tuple[float, np.ndarray, int]:
+    def best(self, worth: np.ndarray) -> tuple[float, np.ndarray, int, float]:
+        """The greatest gain of a pattern's worth over its cost, that pattern, its fill, and the greatest ratio of worth to cost."""
         f, choice = np.full(self.size + 1, -np.inf), np.full(self.size + 1, -1)
         f[0] = 0
         for c in range(1, self.size + 1):
@@ -46,6 +47,7 @@ class _Pricing:
                 gain = worth[:k] + f[c - self.lengths[:k]]
                 choice[c] = j = int(gain.argmax())
                 f[c] = gain[j]
+        ratio = float((f[1:] / self.costs[1:]).max())
         gain = f - self.costs
         gain[0] = -np.inf
         fill = c = int(gain.argmax())
@@ -53,7 +55,7 @@ class _Pricing:
         while c:
             pattern[choice[c]] += 1
             c -= self.lengths[choice[c]]
-        return gain[fill], pattern, fill
+        return gain[fill], pattern, fill, ratio
 
 
 def _start(lengths: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,25 +98,27 @@ def _start(lengths: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
     return basis, x
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
-    """Basis of patterns (columns) and how often each is used (fractions), for least total padded size.
+def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """Basis of patterns (columns), how often each is used (fractions) for least total padded size, and a proven lower bound of it.
 
-    Ends when the total is within ``gap`` of the ids themselves or of the bound that the
-    priced worths prove.
+    Columns are priced, at least once, until the total is within ``gap`` of the bound, no
+    column gains, or 2 columns for each length were priced. The bound is the number of ids or,
+    if greater, what the worths prove: scaled down by the greatest ratio of worth to cost, they
+    are within every pattern's cost.
     """
     price, m = _Pricing(lengths, size), len(lengths)
     basis, x = _start(lengths, counts, size)
     cost = np.array([padded(int(f), size) for f in lengths @ basis], float)
     inverse = np.linalg.inv(basis)
-    ids = float(counts @ lengths)
+    bound = float(counts @ lengths)
     for step in range(2 * m):
-        if cost @ x <= (1 + gap) * ids:
-            break
         if step and step % 256 == 0:
             inverse = np.linalg.inv(basis)
-        gain, pattern, fill = price.best(cost @ inverse)
-        # no pattern's worth is over its cost by more than this share: worths scaled down by it are a bound
-        if gain <= gap * padded(fill, size):
+        worth = cost @ inverse
+        gain, pattern, fill, ratio = price.best(worth)
+        if ratio > 0:
+            bound = max(bound, float(worth @ counts) / ratio)
+        if cost @ x <= (1 + gap) * bound or gain <= 1e-9:
             break
         d = inverse @ pattern
         on = d > 1e-9
@@ -126,7 +130,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float
         inverse -= np.outer(d, row)
         inverse[r] = row
         basis[:, r], cost[r] = pattern, padded(fill, size)
-    return basis, x
+    return basis, x, bound
 
 
 def _best_fit(left: Counter, size: int) -> list[tuple[int, ...]]:
@@ -160,7 +164,7 @@ def plan(histogram: dict[int, int], size: int = SIZE, gap: float = GAP) -> list[
     if not kept:
         return []
     lengths, counts = np.array(list(kept)), np.array(list(kept.values()))
-    basis, x = solve(lengths, counts.astype(float), size, gap)
+    basis, x, _ = solve(lengths, counts.astype(float), size, gap)
     out: Counter = Counter()
     left = counts.astype(np.int64)
     for p, times in zip(basis.T, np.floor(x + 1e-7).astype(np.int64), strict=True):
@@ -203,7 +207,9 @@ def pack(docs: DataFrame, size: int = SIZE, gap: float = GAP, text: str = "text"
     A document's ids end with END. It is cut after every ``size`` ids; full pieces are
     sequences of their own, and the last pieces are packed whole. Null and empty texts are
     the single id END. Rows are documents: a repeated row and a row with a null id are packed
-    too. An empty table gives no rows. Other columns aren't read.
+    too. Rows of a length are ranked by id, then by their ids' checksums; rows that tie in these
+    are equal in all that is returned but their places. A very long text has as many pieces as it
+    fills. An empty table gives no rows. Other columns aren't read; only texts go to Python.
     """
     path = path or default_path()
     work = Workspace(docs.sparkSession, "pack")
@@ -221,8 +227,8 @@ def pack(docs: DataFrame, size: int = SIZE, gap: float = GAP, text: str = "text"
 
         return f
 
-    rows = docs.select(docs[id].alias("id"), text_of(docs, text).alias("__text"))
-    made = map_rows(rows, ["__text"], start, {"total": "long", "crcs": "array<long>"}).withColumn("rest", (F.col("total") % size).cast("int"))
+    made = docs.select(docs[quoted(id)].alias("id"), made_by(start, {"total": "long", "crcs": "array<long>"}, text_of(docs, text)).alias("x"))
+    made = made.select("id", "x.total", "x.crcs", (F.col("x.total") % size).cast("int").alias("rest"))
     made = work.write(made, "pieces")
     found = made.groupBy("rest").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("crcs")).alias("most")).collect()  # at most ``size`` rows
     histogram = {r["rest"]: r["n"] for r in found}
@@ -235,7 +241,7 @@ def pack(docs: DataFrame, size: int = SIZE, gap: float = GAP, text: str = "text"
     counts = made.groupBy("rest", "cell").agg(F.count(F.lit(1)).alias("n"))  # at most size * 1024 rows, whatever the input
     before = F.coalesce(F.sum("n").over(Window.partitionBy("rest").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("rest", "cell", before.alias("before"))
-    ranked = made.withColumn("nth", F.row_number().over(Window.partitionBy("rest", "cell").orderBy("id")))
+    ranked = made.withColumn("nth", F.row_number().over(Window.partitionBy("rest", "cell").orderBy("id", "crcs")))
     ranked = ranked.join(F.broadcast(counts), ["rest", "cell"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
 
     def place():

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_rows, text_of
+from .common import Workspace, fresh, made_by, map_rows, quoted, ready, text_of
 
 BITS = 18  # n-grams are hashed to 2**BITS features
 GRAMS = (3, 4, 5, 6)
@@ -111,9 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAM
 
     The log-count ratio of each n-gram (documents that hold it, by class) selects and scales
     FEATURES features; a logistic regression weighs them. Without both classes the model
-    scores every text near the only label known, near 0 without labels.
+    scores every text near the only label known, near 0 without labels. Null labels and ids
+    aren't learnt from; an id with both labels counts as toxic; a row repeated with its id is
+    learnt from each time. Null and empty texts have the n-grams of two spaces: none.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), (F.col(label) > 0).cast("int").alias("y")).dropDuplicates(["id"])
+    known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     total = known.count()
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
@@ -161,21 +163,29 @@ def train_split(docs: DataFrame, labels: DataFrame, work: Workspace, **named) ->
     return train(docs, labels.where(~held_out(labels["doc_id"])), work, **named)
 
 
+def _scores(docs: DataFrame, model: Model, text: str) -> F.Column:
+    def start():
+        score = model.scorer()
+        return lambda texts: ([score(t) for t in texts],)
+
+    return made_by(start, {"score": "double"}, text_of(docs, text))["score"]
+
+
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """The documents with a score from 0 to 1 of their whole text (null: empty) as one more column.
 
-    No other column is an input. Repeated rows and null ids are scored like others.
+    No other column is an input; only texts go to Python. Repeated rows and null ids are scored
+    like others, very long texts as a whole. An empty table stays empty. A column that is called
+    ``name`` already is replaced, others pass whatever they are called.
     """
-    rows = docs.withColumn("__text", text_of(docs, text))
-    return map_rows(rows, ["__text"], lambda: _many(model.scorer()), {name: "double"})
-
-
-def _many(score):
-    return lambda texts: ([score(t) for t in texts],)
+    ready(docs.sparkSession)
+    (own,) = fresh(docs, "score")
+    scored = docs.select(*(docs[quoted(c)] for c in docs.columns if c.lower() != name.lower()), _scores(docs, model, text).alias(own))
+    return scored.withColumnRenamed(own, name)
 
 
 def reject_toxic(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The documents that score under ``limit``, with their columns."""
-    kept = docs.columns
-    scored = score_toxicity(docs, model, text, "__score")
-    return scored.where(F.col("__score") < limit).select(*(f"`{c}`" for c in kept))
+    """The documents that score under ``limit``, with their columns, whatever these are called."""
+    ready(docs.sparkSession)
+    (own,) = fresh(docs, "score")
+    return docs.select(*(docs[quoted(c)] for c in docs.columns), _scores(docs, model, text).alias(own)).where(F.col(own) < limit).drop(own)

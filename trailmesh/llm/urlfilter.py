@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, join_small, map_rows
+from .common import Workspace, ascii_lower, join_small, made_by, quoted
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -82,15 +82,16 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(self.odds(x), -50, 50)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: int = 5) -> Boosted:
-    """Second-order boosting with logistic loss; equal gains go to the first feature and cut."""
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: int = 5) -> Boosted:
+    """Second-order boosting with logistic loss; equal gains go to the first feature and cut. ``least`` rows, of any weight, are in a leaf."""
+    weight = np.ones(len(x)) if weight is None else weight
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    share = min(max(np.average(y, weights=weight), 1e-6), 1 - 1e-6)
     model = Boosted(cuts, [], float(np.log(share / (1 - share))), depth)
     b, odds, size = model.binned(x), np.full(len(x), model.base), 2 ** (depth + 1) - 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-odds))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         feature, cut, value, node = np.full(size, -1), np.zeros(size, int), np.zeros(size), np.zeros(len(x), int)
         for k in range(2**depth - 1):
             rows = np.flatnonzero(node == k)
@@ -123,15 +124,18 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     """id, host, path, rule, verdict, block_probability of every row.
 
     A rule's verdict stands; other URLs get the trees'. The trees learn from labelled URLs
-    (columns url and block), by default those that the rules decide, at most about
-    ``sample`` of them by hash; suffix statistics are counted over all rows. Null and
-    malformed URLs have empty parts and are judged like others. Without both verdicts among
-    the labelled URLs the trees give the only one known, else allow.
+    (columns url and block), by default those that the rules decide: of the distinct ones at most
+    about ``sample`` by hash, each with the number of its rows as weight and their mean as label.
+    Suffix statistics are counted over all rows; what a URL's own rows say is left out of its
+    suffix's rate when it is learnt from. Null and malformed URLs have empty parts and are judged
+    like others, very long ones as a whole. Null and repeated ids and repeated rows get a row
+    each, equal URLs equal results. Without both verdicts among the labelled URLs the trees give
+    the only one known, else allow. An empty table gives an empty table. Other columns aren't read.
     """
     work = Workspace(pages.sparkSession, "urls")
-    u = pages[url]
+    u = pages[quoted(url)]
     host, path = F.coalesce(host_of(u), F.lit("")), F.coalesce(path_of(u), F.lit(""))
-    rows = pages.select(pages[id].alias("id"), u.alias("u"), host.alias("host"), path.alias("path"))
+    rows = pages.select(pages[quoted(id)].alias("id"), u.alias("u"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     suffix = F.substring_index("host", ".", -1)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("given"), suffix.alias("suffix"))
@@ -140,28 +144,34 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     else:
         v = labelled["url"]
         known = labelled.select(v.alias("u"), F.coalesce(host_of(v), F.lit("")).alias("host"), F.coalesce(path_of(v), F.lit("")).alias("path"), labelled["block"].cast("double").alias("y")).withColumn("suffix", suffix)
+    known = known.groupBy("u", "host", "path", "suffix").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("w"))
+    known = work.write(known, "known")
     counted = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
-    rates = known.groupBy("suffix").agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("k"))
-    stats = counted.join(rates, "suffix", "left").select("suffix", F.log1p("n").alias("s1"), ((F.coalesce("b", F.lit(0.0)) + 1) / (F.coalesce("k", F.lit(0)) + 2)).alias("s2"))
+    rates = known.groupBy("suffix").agg(F.sum("y").alias("b"), F.sum("w").alias("k"))
+    stats = counted.join(rates, "suffix", "left").select("suffix", F.log1p("n").alias("s1"), F.coalesce("b", F.lit(0.0)).alias("b"), F.coalesce("k", F.lit(0)).alias("k"))
     stats = work.write(stats, "suffixes")
 
     total = known.count()
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("u", F.lit(7)), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
-    learnt = join_small(known, stats, "suffix", "left", BROADCAST_SUFFIXES).select("u", "host", "path", "s1", "s2", "y").toPandas()
-    x, y = _matrix(*(learnt[c].tolist() for c in ("u", "host", "path", "s1", "s2"))), learnt["y"].to_numpy(float)
-    model = boost(x, y) if len(y) and 0 < y.mean() < 1 else None
+    others = (F.coalesce("b", F.col("y")) - F.col("y") + 1) / (F.coalesce("k", F.col("w")) - F.col("w") + 2)
+    learnt = join_small(known, stats, "suffix", "left", BROADCAST_SUFFIXES).select("u", "host", "path", "s1", others.alias("s2"), (F.col("y") / F.col("w")).alias("y"), "w").toPandas()
+    learnt = learnt.sort_values(["u", "host", "path"], na_position="first", kind="stable")  # sums don't depend on the order of tasks
+    x, y, w = _matrix(*(learnt[c].tolist() for c in ("u", "host", "path", "s1", "s2"))), learnt["y"].to_numpy(float), learnt["w"].to_numpy(float)
+    model = boost(x, y, w) if len(y) and 0 < y.mean() < 1 else None
     constant = float(y.mean()) if len(y) else 0.0
 
     def start():
-        def f(*columns):
-            return (model.probability(_matrix(*columns)) if model else np.full(len(columns[0]), constant),)
+        def f(rows: list[dict]):
+            columns = zip(*((r["u"], r["host"], r["path"], r["s1"], r["s2"]) for r in rows), strict=True)
+            return (model.probability(_matrix(*columns)) if model else np.full(len(rows), constant),)
 
         return f
 
     both = join_small(rows, stats, "suffix", "left", BROADCAST_SUFFIXES)
-    both = both.select("id", "host", "path", "rule", "given", F.col("u").alias("a"), F.col("host").alias("b"), F.col("path").alias("c"), "s1", "s2")
-    out = map_rows(both, ["a", "b", "c", "s1", "s2"], start, {"block_probability": "double"})
+    rate = (F.col("b") + 1) / (F.col("k") + 2)
+    both = both.select("id", "host", "path", "rule", "given", F.struct("u", "host", "path", "s1", rate.alias("s2")).alias("x"))
+    out = both.withColumn("block_probability", made_by(start, {"p": "double"}, F.col("x"))["p"])
     guess = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return out.select(F.col("id").alias(id), "host", "path", "rule", F.coalesce("given", guess).alias("verdict"), "block_probability")
 
