@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmesh.llm.common import Workspace, load
+from trailmesh.llm.common import Workspace, load, quoted
 from trailmesh.llm.linededup import line_dedup
 from trailmesh.llm.mixing import sample_mix
 from trailmesh.llm.ngramjoin import ngram_join
@@ -20,30 +20,54 @@ from trailmesh.llm.toxicity import reject_toxic, train_split
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    It learns from the labels of documents that are there, outside the held-out fifth. A null
+    text counts as empty; rows of null id are judged like others, repeated rows stay or go
+    together. Without labels every document stays; with labels of toxic documents only, none
+    does. An empty table stays empty; columns pass, whatever they are called.
+    """
     return reject_toxic(docs, train_split(docs, load(spark, sf_dir, "labels"), Workspace(spark, "toxic")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; n_chars follows the text. Documents stay, empty ones too."""
+    """Lines found in ten documents or more go; n_chars follows the text. Documents stay, empty ones too.
+
+    A null text becomes the empty one. Rows of null id count as one document, a repeated row as
+    its document once; each comes back. An empty table stays empty; other columns pass, but for
+    n_lines and n_dropped, which would be lost.
+    """
     kept = line_dedup(docs, least=10, min_chars=1)
-    return kept.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Five words, similarity 0.8."""
+    """One document of each group stays: the one with the smallest id. Five words, similarity 0.8.
+
+    Documents without words and rows of null id stay. A repeated row stays or goes with the
+    others of its id. An empty table stays empty; columns pass, whatever they are called.
+    """
     groups = ngram_join(docs, k=5, percent=80)
     first = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by the calibrated probabilities of their source, language and topic."""
+    """Documents sampled by the calibrated probabilities of their source, language and topic.
+
+    Null sources and languages are a value of their own; documents without words stay. A
+    repeated row stays or goes with the others of its id, rows of null id together. An empty
+    table stays empty; columns pass, whatever they are called.
+    """
     return sample_mix(docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1,024 tokens."""
+    """Pieces of all documents in sequences of at most 1,024 tokens.
+
+    A null or empty text is one piece of one id; rows of null id and repeated rows are packed
+    like others. An empty table gives no pieces; other columns aren't read.
+    """
     return pack(docs)
 
 
