@@ -1,6 +1,8 @@
 """DataFrame operators: fixpoints, snapping, search, traces, compile, records, streaming."""
 
 import math
+import time
+from collections import Counter
 from fractions import Fraction
 from itertools import accumulate
 
@@ -357,12 +359,26 @@ def test_route_progress(spark):
     assert [g[0] for g in got] == [1, 2, 3] and [round(g[5], 6) for g in got] == [0, 0.25, 0.75] and got[-1][1:3] == (3.0, 0.0) and got[-1][6] == 1
 
 
+def some_places(spark, n, seed, wide=9000):
+    r = lcg(seed)
+    rows = [(0, f"p{i:04d}", 6 + (r() % wide) / 1000, 40 + (r() % wide) / 1000, str(i % 2)) for i in range(n)]
+    return spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+
+
+def test_candidates_are_of_one_region_and_far_enough(spark):
+    rows = [(0, "a", 8.0, 47.0, "x"), (0, "b", 8.0, 47.25, "x"), (0, "c", 8.0, 47.3, "x"), (0, "d", 8.0, 49.0, "y")]
+    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+    # a to b is 27.8 km: its road is over 30 km, but not the straight line; d is of another region
+    assert [(r["a"], r["b"], r["band"]) for r in sampler.journey_candidates(places).collect()] == [("a", "c", "regional")]
+    corner = places.unionByName(spark.createDataFrame([(0, "e", 9.0, 47.1, "x"), (0, "f", 9.0, 47.1, "y"), (0, "g", 9.5, 48.0, "y")], places.schema))
+    assert {(r["a"], r["b"], r["c"]) for r in sampler.triple_candidates(corner).collect()} == {("a", "c", "e"), ("d", "f", "g")}
+
+
 def test_samplers_do_not_repeat(spark):
-    r = lcg(9)
-    places = spark.createDataFrame([(0, f"p{i}", 6 + (r() % 4000) / 1000, 46 + (r() % 1500) / 1000, str(i % 3)) for i in range(20)], "pool long, id string, lon double, lat double, region string")
-    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 100)
-    assert sampler.repeats(drawn, "key", "n", 6).count() == 0
-    assert drawn.collect() == sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 100).collect()
+    places = some_places(spark, 20, 9, 4000)
+    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 60)
+    assert sampler.repeats(drawn.where("accepted"), "key", "n", 6).count() == 0
+    assert drawn.collect() == sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 60).collect()
     triples = sampler.sample_triples(spark, sampler.triple_candidates(places), 7, 30).collect()
     keys = [tuple(sorted(t["sources"])) for t in triples]
     assert all(k not in keys[max(0, i - 3) : i] for i, k in enumerate(keys))
@@ -371,15 +387,12 @@ def test_samplers_do_not_repeat(spark):
 
 
 def test_draws_from_more_candidates_than_are_gathered(spark):
-    r = lcg(5)
-    rows = [(0, f"p{i:04d}", 6 + (r() % 9000) / 1000, 40 + (r() % 9000) / 1000, str(i % 3)) for i in range(700)]
-    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
-    pairs = sampler.journey_candidates(places)
+    pairs = sampler.journey_candidates(some_places(spark, 950, 5))
     assert pairs.count() > 200_000
     drawn = sampler.sample_pairs(spark, pairs, 7, 8)
     assert drawn.count() == 8 and sampler.repeats(drawn, "key", "n", 6).count() == 0
-    triples = sampler.triple_candidates(places.where("id < 'p0130'"))
-    assert triples.count() > 200_000
+    triples = sampler.triple_candidates(some_places(spark, 160, 5))
+    assert triples.count() > 100_000
     assert sampler.sample_triples(spark, triples, 7, 4).count() == 4
 
 
@@ -392,24 +405,33 @@ def test_triples_are_drawn_from_all_pools(spark, sf):
     assert max(drawn) >= 5 and len(drawn) > 5
 
 
-def test_draws_are_by_running_weight(spark):
-    """Against a walk over all candidates in order, with exact fractions."""
-    r = lcg(3)
-    rows = [(0, f"p{i:02d}", 6 + (r() % 5000) / 1000, 46 + (r() % 5000) / 1000, str(i % 3)) for i in range(12)]
-    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+@pytest.mark.parametrize("rejected", [0, 3])
+def test_draws_are_by_running_weight(spark, rejected):
+    """Against a walk over all ordered pairs of places, with exact fractions; some roads are too long for their band."""
+    places = some_places(spark, 12, 3, 5000)
     pairs = sampler.journey_candidates(places)
-    every, rng, used, recent, want = sorted(pairs.collect(), key=lambda x: x["key"]), sampler.Xorshift(11), {}, [], []
-    for _ in range(25):
-        band = sampler.band_of_draw(rng())
-        left = [x for x in every if x["key"] not in recent[-6:] and x["band"] == band] or [x for x in every if x["key"] not in recent[-6:]]
-        weights = [Fraction(1, 1 + used.get(x["a"], 0) + used.get(x["b"], 0)) for x in left]
-        goal = Fraction(rng()) * sum(weights)
-        pick = next(x for x, run in zip(left, accumulate(weights), strict=True) if run > goal)
-        want.append(pick["key"])
-        recent.append(pick["key"])
-        for p in (pick["a"], pick["b"]):
-            used[p] = used.get(p, 0) + 1
-    assert [x["key"] for x in sampler.sample_pairs(spark, pairs, 11, 25).orderBy("n").collect()] == want
+    known = {r["key"]: r for r in pairs.collect()}
+    every = sorted(((s, t), r) for r in known.values() for s, t in ((r["a"], r["b"]), (r["b"], r["a"])))
+    road = lambda r: r["estimate"] * (9 if rejected and (int(r["a"][1:]) + int(r["b"][1:])) % rejected == 0 else 1)
+    rng, used, history, want = sampler.Xorshift(11), Counter(), [], []
+    for n in range(15):
+        band, attempted = sampler.band_of_draw(rng()), set()
+        for attempt in range(5):
+            left = [(e, r) for e, r in every if r["band"] == band and r["key"] not in attempted and r["key"] not in history[-6:]]
+            weights = [Fraction(1, 1 + used[s] + used[t]) for (s, t), _ in left]
+            goal = Fraction(rng()) * sum(weights)
+            if not left:
+                break
+            (s, t), r = next(x for x, run in zip(left, accumulate(weights), strict=True) if run > goal)
+            attempted.add(r["key"])
+            good = sampler.band_of_km(road(r)) == band
+            want.append((n, attempt, r["key"], s, t, good))
+            if good:
+                history.append(r["key"])
+                used.update((s, t))
+                break
+    got = [(x["n"], x["attempt"], x["key"], x["start"], x["goal"], x["accepted"]) for x in sampler.sample_pairs(spark, pairs, 11, 15, road).orderBy("n", "attempt").collect()]
+    assert got == want and (not rejected or not all(x[-1] for x in want))
 
 
 @pytest.mark.parametrize("name", ["reverse_distance", "bfs_hops", "multisource_distance", "potential_repair"])
@@ -437,17 +459,92 @@ def test_streamed_blocks_equal_the_batch(spark, tmp_path):
     assert [(g["block"], g["events"]) for g in got] == [(w["block"], w["events"]) for w in want]
 
 
+def writes_of(times, gap):
+    """Instant by instant: a write at once if the last one is a gap ago, else when it is."""
+    last, pending, out = -(10**9), None, []
+    for now in range(max(times) + gap + 1):
+        if pending is not None and now - last >= gap:
+            out.append((now, str(pending)))
+            last, pending = now, None
+        if now in times:
+            if now - last >= gap:
+                out.append((now, str(now)))
+                last = now
+            else:
+                pending = now
+    return out
+
+
 def test_throttle(spark, tmp_path):
-    assert streams.throttle_times([0, 100, 200, 900, 1000], 500) == [0, 500, 1000] or streams.throttle_times([0, 100, 200, 900, 1000], 500)[0] == 0
-    changes = [("a", t, str(t)) for t in (0, 100, 200, 700, 2000)]
-    spark.createDataFrame(changes, "client string, at long, value string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    s = spark.readStream.schema("client string, at long, value string").parquet(f"{tmp_path}/in")
+    r = lcg(4)
+    for gap in (1, 7, 50):
+        times = sorted({r() % 300 for _ in range(40)})
+        assert streams.throttle_times(times, gap) == [at for at, _ in writes_of(times, gap)]
+    changes = [("a", t, str(t)) for t in (0, 100, 200, 700, 2000, 2100)] + [("b", 5, "5")]
+    table = spark.createDataFrame(changes, "client string, at long, value string")
+    want = writes_of([0, 100, 200, 700, 2000, 2100], 500)
+    assert want[-1] == (2500, "2100")  # a pending write isn't lost
+    assert [(x["at"], x["value"]) for x in streams.throttled(table).where("client = 'a'").orderBy("at").collect()] == want
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
     q = streams.throttled(s).writeStream.outputMode("append").format("memory").queryName("throttled").start()
-    q.processAllAvailable()
+    for _ in range(60):  # the gap passes; a later batch without data releases what is pending
+        if spark.table("throttled").where("client = 'a'").count() == len(want):
+            break
+        time.sleep(0.5)
     q.stop()
-    rows = [(r["at"], r["value"]) for r in spark.table("throttled").orderBy("at").collect()]
-    assert rows == [(0, "0"), (500, "200"), (1000, "700"), (2000, "2000")]
-    assert all(b - a >= 500 for (a, _), (b, _) in zip(rows, rows[1:], strict=False))
+    assert [(x["at"], x["value"]) for x in spark.table("throttled").where("client = 'a'").orderBy("at").collect()] == want
+
+
+def test_numbers_are_written_as_browsers_write_them():
+    for x, want in ((1e-5, "0.00001"), (1e-7, "1e-7"), (1.5e-7, "1.5e-7"), (123456.789, "123456.789"), (1e21, "1e+21"), (1e20, "1" + "0" * 20), (-0.0, "0"), (-2.5e30, "-2.5e+30"), (5e-324, "5e-324"), (0.1, "0.1"), (100.0, "100")):
+        assert text.canonical(x) == want and float(want) == x
+    assert text.canonical({"b": [1, None, True, float("nan")], "a": {"é": "x"}, "c": 2**60}) == '{"a":{"é":"x"},"b":[1,null,true,null],"c":1152921504606846976}'.replace("1152921504606846976", "1152921504606847000")
+
+
+def kept_by_definition(points, tolerance):
+    """Douglas-Peucker as it is defined, on plain tuples."""
+
+    def off(p, a, b):
+        (px, py), (ax, ay), (bx, by) = p, a, b
+        length = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length)) if length else 0
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    def walk(a, b):
+        inner = [(off(points[i], points[a], points[b]), -i) for i in range(a + 1, b)]
+        if not inner or max(inner)[0] <= tolerance:
+            return []
+        i = -max(inner)[1]
+        return walk(a, i) + [i] + walk(i, b)
+
+    return sorted({0, len(points) - 1} | set(walk(0, len(points) - 1))) if points else []
+
+
+def test_simplified_points_equal_the_definition():
+    r = lcg(12)
+    for n in (0, 1, 2, 3, 10, 60):
+        for tolerance in (0.0, 5.0, 40.0):
+            points = [(r() % 200, r() % 50) for _ in range(n)]
+            got = ways_of.simplify_points([p[0] for p in points], [p[1] for p in points], tolerance)
+            assert got == kept_by_definition(points, tolerance)
+    assert ways_of.simplify_ring([0, 1, 1, 0], [0, 0, 1, 0], 9.0) == [0, 1, 2, 3]
+
+
+def test_controls(spark):
+    nodes = spark.createDataFrame([(1, {"barrier": "gate"}), (2, {"highway": "stop"}), (3, {"highway": "crossing"}), (4, {"highway": "motorway_junction"}), (5, None), (6, {})], "ref long, tags map<string,string>")
+    assert {r["ref"] for r in ways_of.control_nodes(nodes).collect()} == {1, 2, 4}
+
+
+def test_chunks_of_another_layout_are_found(spark):
+    from trailmesh.sources import chunks
+
+    row = (0, 0, 2, [0, 1], [1, 1], [5, 5], [0, 3], [1, 1])
+    c = spark.createDataFrame([row, (1, 2, 2, [0], [1, 1], [5, 5], [0, 0], [1, 1])], "chunk long, start long, count int, d_from array<long>, rel array<long>, length_cm array<long>, direction array<int>, category array<int>")
+    assert {(r["chunk"], r["why"]) for r in chunks.edge_chunk_violations(c, 4, 10).collect()} == {(0, "connection"), (1, "layout")}
+    rows = spark.createDataFrame([("geometry", 0, 2, 2 * 2 + 3 * 8, 10), ("geometry", 0, 2, 2 * 2 + 3 * 8 + 1, 10), ("nodes", 0, 2, 28, 10), ("geometry", 0, 0, 0, 0)], "kind string, start long, count long, bytes long, drawn long")
+    got = [r[0] for r in rows.select(chunks.road_range(*(F.col(x) for x in ("kind", "start", "count", "bytes", "drawn")))).collect()]
+    assert got[0] == (0, 2) and got[1:] == [None, None, None]
 
 
 def test_late_results_and_windows(spark):

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,21 +69,37 @@ def without_params(url, names: list[str]) -> Column:
     return F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), tail)
 
 
-def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, whole doubles written as integers."""
+def number_text(x: float) -> str:
+    """A finite double as browsers write it: shortest digits, plain from 1e-6 to under 1e21, else with an exponent."""
+    if x == 0:
+        return "0"
+    sign, digits, power = Decimal(repr(float(x))).normalize().as_tuple()
+    d, point = "".join(map(str, digits)), len(digits) + power
+    if 0 < point <= 21:
+        out = d + "0" * (point - len(d)) if len(d) <= point else f"{d[:point]}.{d[point:]}"
+    elif -6 < point <= 0:
+        out = f"0.{'0' * -point}{d}"
+    else:
+        out = f"{d[0]}{'.' if d[1:] else ''}{d[1:]}e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    return ("-" if sign else "") + out
 
-    def plain(x):
-        if isinstance(x, bool) or x is None or isinstance(x, (str, int)):
-            return x
-        if isinstance(x, float):
-            if not math.isfinite(x):
-                return None
-            return int(x) if x == int(x) and abs(x) < 1e21 else x
-        if isinstance(x, dict):
-            return {str(k): plain(v) for k, v in x.items()}
-        return [plain(v) for v in x]
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def canonical(value) -> str:
+    """JSON with sorted keys, no spaces and numbers as browsers write them."""
+    if value is None or isinstance(value, float) and not math.isfinite(value):
+        return "null"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, int):
+        return str(value) if abs(value) <= 1 << 53 else number_text(float(value))
+    if isinstance(value, float):
+        return number_text(value)
+    if isinstance(value, dict):
+        named = sorted(((str(k), v) for k, v in value.items()), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v)}" for k, v in named) + "}"
+    return "[" + ",".join(map(canonical, value)) + "]"
 
 
 def identity(value) -> str:
@@ -95,6 +112,16 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: canonical(json.loads(t)), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def algorithm_name(tags: pd.Series) -> pd.Series:
-    return tags.str.split("/").str[0]
+def algorithm_name(tag) -> Column:
+    """What stands before the first slash of a versioned tag."""
+    return F.substring_index(c(tag), "/", 1)
+
+
+def id_date(name) -> Column:
+    """The date of the last YYYYMMDD in an id such as ``ch-20240131``; null without one or if there is no such day."""
+    return F.try_to_date(F.regexp_extract(c(name), r".*(?:\A|\D)(\d{8})(?:\D|\z)", 1), "yyyyMMdd")
+
+
+def pinned_id(name, prefix: str = "ch-") -> Column:
+    """Whether an edition's id is of the region whose landmarks are published."""
+    return F.coalesce(c(name).startswith(prefix), F.lit(False))

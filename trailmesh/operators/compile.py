@@ -6,7 +6,9 @@ Input ways have way_id, tags (map) and nodes (array of ref, lon, lat, valid is l
 from __future__ import annotations
 
 import math
+from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..plans.ids import numbered
 ACCESS_KEYS = ["motorcar", "motor_vehicle", "vehicle", "access"]
 DENIED = ["no", "private", "agricultural", "forestry"]
 ONEWAY_YES = ["yes", "1", "true"]
-CONTROLS = ["traffic_signals", "stop", "give_way", "crossing"]
+CONTROLS = ["traffic_signals", "stop", "give_way", "motorway_junction"]
 
 
 def category(highway: Column) -> Column:
@@ -118,6 +120,12 @@ def compile_graph(ways: DataFrame, stops: DataFrame | None = None) -> tuple[Data
     return ids.select("node", "x", "y", F.col("ref").alias("osm_id")), edges
 
 
+def control_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes (ref, tags) that control traffic: with any barrier, or a highway of CONTROLS. Their refs are ``stops`` of segments."""
+    tag = lambda k: F.element_at("tags", F.lit(k))
+    return nodes.where(tag("barrier").isNotNull() | F.coalesce(tag("highway").isin(CONTROLS), F.lit(False)))
+
+
 def restrictions_kept(restrictions: DataFrame, ways: DataFrame) -> DataFrame:
     """Restrictions with a member way that is compiled."""
     members = restrictions.select("id", F.explode("members").alias("m")).where("m.type = 'w'").select("id", F.col("m.ref").alias("way_id"))
@@ -147,26 +155,35 @@ def composite(sources: list[DataFrame], box: tuple[float, float, float, float])
 
 
 # ---------------------------------------------------------------- simplification
+def _off_chord(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Squared distances of points to the chord between two points."""
+    chord, rel = last - first, points - first
+    length = chord @ chord
+    along = np.clip(rel @ chord / length, 0, 1) if length > 0 else np.zeros(len(points))
+    rest = rel - np.outer(along, chord)
+    return np.einsum("ij,ij->i", rest, rest)
+
+
 def simplify_points(xs: list[float], ys: list[float], tolerance: float, lat: float | None = None) -> list[int]:
-    """Positions kept by Douglas-Peucker; a point further than the tolerance (strictly) splits its span. With lat, degrees in metres."""
-    if len(xs) < 3:
-        return list(range(len(xs)))
-    kx, ky = (METRES_PER_DEGREE * math.cos(math.radians(lat)), METRES_PER_DEGREE) if lat is not None else (1.0, 1.0)
-    px, py = [x * kx for x in xs], [y * ky for y in ys]
-    keep, stack = {0, len(xs) - 1}, [(0, len(xs) - 1)]
-    while stack:
-        a, b = stack.pop()
-        dx, dy = px[b] - px[a], py[b] - py[a]
-        size, far, at = dx * dx + dy * dy, tolerance * tolerance, -1
-        for i in range(a + 1, b):
-            t = 0.0 if size == 0 else min(1.0, max(0.0, ((px[i] - px[a]) * dx + (py[i] - py[a]) * dy) / size))
-            d = (px[i] - px[a] - t * dx) ** 2 + (py[i] - py[a] - t * dy) ** 2
-            if d > far:
-                far, at = d, i
-        if at >= 0:
-            keep.add(at)
-            stack += [(a, at), (at, b)]
-    return sorted(keep)
+    """Positions kept by Douglas-Peucker, spans taken breadth first and measured whole.
+
+    A span is split at its furthest point (the first of equal ones) if that is further than the
+    tolerance. With lat, degrees in metres.
+    """
+    scale = (METRES_PER_DEGREE * math.cos(math.radians(lat)), METRES_PER_DEGREE) if lat is not None else (1.0, 1.0)
+    line = np.column_stack((xs, ys)).reshape(-1, 2) * scale
+    kept = np.zeros(len(line), bool)
+    kept[[0, -1] if len(line) else []] = True
+    spans = deque([slice(0, len(line))] if len(line) > 2 else [])
+    while spans:
+        s = spans.popleft()
+        off = _off_chord(line[s.start + 1 : s.stop - 1], line[s.start], line[s.stop - 1])
+        k = int(off.argmax())
+        if off[k] > tolerance * tolerance:
+            middle = s.start + 1 + k
+            kept[middle] = True
+            spans.extend(part for part in (slice(s.start, middle + 1), slice(middle, s.stop)) if part.stop - part.start > 2)
+    return np.flatnonzero(kept).tolist()
 
 
 def simplify(points: Column, tolerance: float) -> Column:
@@ -189,6 +206,6 @@ def simplify(points: Column, tolerance: float) -> Column:
 
 
 def simplify_ring(xs: list[float], ys: list[float], tolerance: float) -> list[int]:
-    """A closed ring; if fewer than four points would be left, all stay."""
+    """Positions kept of a closed ring: all of them where a simplified ring would have under four."""
     kept = simplify_points(xs, ys, tolerance)
-    return kept if len(kept) >= 4 else list(range(len(xs)))
+    return kept if len(kept) > 3 else list(range(len(xs)))

@@ -241,6 +241,13 @@ def alt_bound(spark, sf_dir):
     return _from_arrays(spark, sf_dir, make, "node long, bound long, exact long")
 
 
+@query(f"""{_D}, {_H0}, b(node, dist) USING KEY (node) AS (SELECT node::BIGINT, 0::BIGINT FROM goal UNION SELECT t, min(nd) FROM (SELECT a.src AS t, b.dist + w AS nd FROM b JOIN arcs a ON a.dst = b.node
+  LEFT JOIN recurring.b x ON x.node = a.src WHERE x.dist IS NULL OR b.dist + w < x.dist) GROUP BY t) SELECT node, dist AS exact, true AS admissible FROM b""")
+def alt_admissible(spark, sf_dir):
+    """Distances to the goal, and whether the landmark bound is within each."""
+    return alt_bound(spark, sf_dir).where("exact IS NOT NULL").select("node", "exact", (F.col("bound") <= F.col("exact")).alias("admissible"))
+
+
 _EXPECTED = """wanted AS (SELECT k, (s.node + (k + 1) * (n // 13)) % n AS goal FROM seed s, (SELECT count(*) AS n FROM nodes), range(0, 12) r(k))"""
 
 
@@ -299,24 +306,45 @@ def route_cost_check(spark, sf_dir):
 _ALL = ["dijkstra", "bidirectional", "astar", "bidirectional-astar", "weighted-astar", "alt", "greedy", "depth-first", "breadth-first", "bidirectional-breadth-first"]
 
 
-@query("SELECT 120::BIGINT AS searches, 0::BIGINT AS violations")
+_NAMED = "alg AS (SELECT unnest({names}) AS algorithm)"
+
+
+@query(f"""{_D}, {_spread('d', 'seed')}, {_EXPECTED}, {_NAMED.format(names=_ALL)} SELECT algorithm, goal, dist IS NOT NULL AS found, 0::BIGINT AS violations,
+  CASE WHEN dist IS NULL OR goal = (SELECT node FROM seed) THEN 0 ELSE 1 END::BIGINT AS planted FROM alg, wanted LEFT JOIN d ON node = goal""")
 def route_legality_violations(spark, sf_dir):
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, _ALL)).persist()
-    bad = search.route_violations(r, edges(spark, sf_dir)).agg(F.count(F.lit(1)).alias("violations"))
-    return r.agg(F.count(F.lit(1)).alias("searches")).crossJoin(bad)  # one row each
+    """Illegal steps of each search's route, and those found once its last step is planted against the edge it names."""
+    r = store(spark, sf_dir).search(journeys(spark, sf_dir, _ALL))
+    turned = F.transform("route_edges", lambda e, i: F.when(i == F.size("route_edges") - 1, F.lit(-1).cast("long")).otherwise(e))
+    wrong = r.withColumn("route_edges", turned)
+    both = [search.route_violations(x, edges(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias(name)) for x, name in ((r, "violations"), (wrong, "planted"))]
+    out = r.select("query_id", "algorithm", "goal", F.col("route_nodes").isNotNull().alias("found")).join(both[0], "query_id", "left").join(both[1], "query_id", "left")
+    return out.select("algorithm", "goal", "found", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("planted", F.lit(0)).alias("planted"))
 
 
-@query("SELECT 12::BIGINT AS journeys, 0::BIGINT AS disagreements")
+@query(f"{_D}, {_spread('d', 'seed')}, {_EXPECTED} SELECT goal, coalesce(dist, -1) AS cost, 1::BIGINT AS costs, 2::BIGINT AS planted FROM wanted LEFT JOIN d ON node = goal")
 def audit_cost_agreement(spark, sf_dir):
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra", "bidirectional", "astar", "bidirectional-astar", "alt"])).persist()
-    bad = search.agreement(r).agg(F.count(F.lit(1)).alias("disagreements"))
-    return r.agg(F.count_distinct("goal").alias("journeys")).crossJoin(bad)
+    """Different costs of the optimal searches for each goal, and those found once one of them is planted a centimetre longer."""
+    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra", "bidirectional", "astar", "bidirectional-astar", "alt"]))
+    r = r.select("start", "goal", "algorithm", F.coalesce("cost", F.lit(-1)).alias("cost"))
+    off = r.withColumn("cost", F.col("cost") + (F.col("algorithm") == "alt").cast("long"))
+    bad = [search.agreement(x).select("goal", F.col("costs").alias(name)) for x, name in ((r, "costs"), (off, "planted"))]
+    found = r.groupBy("goal").agg(F.min("cost").alias("cost")).join(bad[0], "goal", "left").join(bad[1], "goal", "left")
+    return found.select("goal", "cost", F.coalesce("costs", F.lit(1)).alias("costs"), F.coalesce("planted", F.lit(1)).alias("planted"))
+
+
+_ORDERED = ["dijkstra", "astar", "bidirectional", "greedy", "breadth-first"]
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query(f"""{_D}, {_spread('d', 'seed')}, {_NAMED.format(names=_ORDERED)}, four AS (SELECT k, (s.node + (k + 1) * (n // 5)) % n AS goal FROM seed s, (SELECT count(*) AS n FROM nodes), range(0, 4) r(k))
+SELECT algorithm, goal, 0::BIGINT AS violations, 1::BIGINT AS planted FROM alg, four""")
 def audit_trace_order(spark, sf_dir):
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra", "astar", "bidirectional", "greedy", "breadth-first"], 4))
-    return trace.trace_violations(search.trace_rows(r), arcs(spark, sf_dir)).agg(F.count(F.lit(1)).alias("violations"))
+    """Events of each trace out of order, and those found once its start is planted as settled again at the end."""
+    r = store(spark, sf_dir).search(journeys(spark, sf_dir, _ORDERED, 4))
+    t = search.trace_rows(r)
+    again = r.select("query_id", (F.size("words") + 1).cast("long").alias("event"), F.lit(0).alias("kind"), F.col("start").alias("id"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("word"))
+    both = [trace.trace_violations(x, arcs(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias(name)) for x, name in ((t, "violations"), (t.unionByName(again), "planted"))]
+    out = r.select("query_id", "algorithm", "goal").join(both[0], "query_id", "left").join(both[1], "query_id", "left")
+    return out.select("algorithm", "goal", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("planted", F.lit(0)).alias("planted"))
 
 
 @query(f"{_D}, {_MUTUAL}, m AS (SELECT node FROM f INTERSECT SELECT node FROM b) SELECT s_suppkey AS place, s_suppkey % (SELECT count(*) FROM nodes) AS node, EXISTS (SELECT 1 FROM m WHERE m.node = s_suppkey % (SELECT count(*) FROM nodes)) AS mutual FROM supplier")

@@ -55,14 +55,13 @@ def _km(a: str, b: str) -> str:
     return f"round(12742.0176 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))), 6)"
 
 
-@query(f"""WITH {_PLACES}, pairs AS (SELECT a.pool, a.id AS a, b.id AS b, a.region = b.region AS same, {_km("a", "b")} AS km FROM places a JOIN places b ON a.pool = b.pool AND a.id < b.id),
-banded AS (SELECT *, CASE WHEN km * 1.25 < 30 THEN NULL WHEN km * 1.25 < 100 THEN 'regional' WHEN km * 1.25 < 220 THEN 'interregional' ELSE 'national' END AS band FROM pairs)
-SELECT pool, a || '/' || b AS key, a, b, km, round(km * 1.25, 6) AS estimate, band FROM banded WHERE band IS NOT NULL AND (band <> 'regional' OR same)""")
+@query(f"""WITH {_PLACES}, pairs AS (SELECT a.pool, a.id AS a, b.id AS b, {_km("a", "b")} AS km FROM places a JOIN places b ON a.pool = b.pool AND a.region = b.region AND a.id < b.id)
+SELECT pool, a || '/' || b AS key, a, b, km, round(km * 1.25, 6) AS estimate, CASE WHEN km * 1.25 < 100 THEN 'regional' WHEN km * 1.25 < 220 THEN 'interregional' ELSE 'national' END AS band FROM pairs WHERE km >= 30""")
 def journey_candidates(spark, sf_dir):
     return sampler.journey_candidates(places(spark, sf_dir)).withColumn("estimate", F.round("estimate", 6))
 
 
-@query(f"""WITH {_PLACES}, t AS (SELECT a.pool, a.id AS a, b.id AS b, c.id AS c, {_km("a", "b")} AS ab, {_km("b", "c")} AS bc, {_km("a", "c")} AS ac FROM places a JOIN places b ON a.pool = b.pool AND a.id < b.id JOIN places c ON c.pool = a.pool AND b.id < c.id)
+@query(f"""WITH {_PLACES}, t AS (SELECT a.pool, a.id AS a, b.id AS b, c.id AS c, {_km("a", "b")} AS ab, {_km("b", "c")} AS bc, {_km("a", "c")} AS ac FROM places a JOIN places b ON a.pool = b.pool AND a.region = b.region AND a.id < b.id JOIN places c ON c.pool = a.pool AND c.region = a.region AND b.id < c.id)
 SELECT pool, a, b, c, least(ab, bc, ac) AS separation FROM t WHERE least(ab, bc, ac) >= 30 AND least(ab, bc, ac) >= 0.2 * greatest(ab, bc, ac)""")
 def triple_candidates(spark, sf_dir):
     return sampler.triple_candidates(places(spark, sf_dir))
@@ -70,9 +69,9 @@ def triple_candidates(spark, sf_dir):
 
 @query()
 def sampled_journeys(spark, sf_dir):
-    """60 journeys of one pool by seeded draws; none repeats within six."""
+    """60 journeys of one pool by seeded draws; every seventh place's roads are too long for the band, so their pairs are drawn anew."""
     c = sampler.journey_candidates(places(spark, sf_dir).withColumn("pool", F.lit(0)))
-    return sampler.sample_pairs(spark, c, 7, 60)
+    return sampler.sample_pairs(spark, c, 7, 60, lambda r: r["estimate"] * (2.5 if r["b"].endswith(("7", "0")) else 1.0))
 
 
 @query()
@@ -95,7 +94,7 @@ def endpoint_use_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- ranges
 _BOXES = """boxes AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 1000 AS b_x1, l_suppkey * 7 % 1000 AS b_y1, l_partkey % 1000 + l_linenumber * 3 AS b_x2, l_suppkey * 7 % 1000 + l_linenumber * 2 AS b_y2 FROM lineitem),
-views AS (SELECT s_suppkey AS view, s_suppkey * 13 % 1000 AS v_x1, s_suppkey * 29 % 1000 AS v_y1, s_suppkey * 13 % 1000 + 20 AS v_x2, s_suppkey * 29 % 1000 + 20 AS v_y2 FROM supplier WHERE s_suppkey % 5 = 0)"""
+views AS (SELECT s_suppkey AS view, s_suppkey * 13 % 1000 AS v_x1, s_suppkey * 29 % 1000 AS v_y1, s_suppkey * 13 % 1000 + 20 AS v_x2, s_suppkey * 29 % 1000 + 20 AS v_y2 FROM supplier)"""
 
 
 @query(f"WITH {_BOXES} SELECT view, count(*) AS boxes, sum(l_partkey)::BIGINT AS parts FROM views JOIN boxes ON v_x1 - 1 <= b_x2 AND v_x2 + 1 >= b_x1 AND v_y1 - 1 <= b_y2 AND v_y2 + 1 >= b_y1 GROUP BY view")
@@ -103,7 +102,7 @@ def viewport_cull(spark, sf_dir):
     x, y, n = F.col("l_partkey") % 1000, F.col("l_suppkey") * 7 % 1000, F.col("l_linenumber")
     boxes = table(spark, sf_dir, "lineitem").select("l_partkey", x.alias("b_x1"), y.alias("b_y1"), (x + n * 3).alias("b_x2"), (y + n * 2).alias("b_y2"))
     vx, vy = F.col("s_suppkey") * 13 % 1000, F.col("s_suppkey") * 29 % 1000
-    views = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("view"), vx.alias("v_x1"), vy.alias("v_y1"), (vx + 20).alias("v_x2"), (vy + 20).alias("v_y2"))
+    views = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("view"), vx.alias("v_x1"), vy.alias("v_y1"), (vx + 20).alias("v_x2"), (vy + 20).alias("v_y2"))
     hit = joins.viewport_cull(views, boxes, 40.0)
     return hit.groupBy("view").agg(F.count(F.lit(1)).alias("boxes"), F.sum("l_partkey").alias("parts"))
 
@@ -194,13 +193,13 @@ def points_in_polygons(spark, sf_dir):
     return geography.points_in(points, land, 2.0).select("p", "id")
 
 
-@query("SELECT s_name AS slug, s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0")
+@query("SELECT s_name AS slug, s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def slug_lookup(spark, sf_dir):
     from ..sources import geography
 
     s = table(spark, sf_dir, "supplier")
     named = s.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_name").alias("slug"), F.col("s_suppkey").alias("id"), "s_suppkey", "n_name")
-    return geography.place_of_slug(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("slug")), named).drop("id")
+    return geography.place_of_slug(s.select(F.col("s_name").alias("slug")), named).drop("id")
 
 
 @query("SELECT o_orderkey, CASE WHEN t < d THEN 'replay' WHEN t < d + 6 THEN 'hold' WHEN t < d + 8 THEN 'fade' ELSE 'next' END AS phase FROM (SELECT o_orderkey, (o_orderkey % 80)::DOUBLE AS t, 25.0 + o_custkey % 40 AS d FROM orders)")
@@ -233,11 +232,13 @@ def simplified_ways(spark, sf_dir):
     return made
 
 
-@query("SELECT 0::BIGINT AS repeats, 60::BIGINT AS draws")
+@query()
 def sampler_audit(spark, sf_dir):
-    """Draws that repeat one of the six before them: none when a pool has seven pairs or more."""
+    """Accepted draws, those that repeat one of the six accepted before them (none is expected), and those found once each tenth is planted again."""
     from ..functions.geo import normalise_longitude
 
     wide = places(spark, sf_dir).withColumns({"pool": F.lit(0), "lon": normalise_longitude(F.col("lon") * 3)})
-    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(wide), 11, 60)
-    return drawn.agg(F.count(F.lit(1)).alias("draws")).crossJoin(sampler.repeats(drawn, "key", "n", 6).agg(F.count(F.lit(1)).alias("repeats")))  # one row each
+    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(wide), 11, 60).where("accepted").select("n", "key")
+    planted = drawn.unionByName(drawn.where("n % 10 = 9").select((F.col("n") + 0.5).alias("n"), "key"))
+    count = lambda df, name: sampler.repeats(df, "key", "n", 6).agg(F.count(F.lit(1)).alias(name))
+    return drawn.agg(F.count(F.lit(1)).alias("draws")).crossJoin(count(drawn, "repeats")).crossJoin(count(planted, "found"))  # one row each

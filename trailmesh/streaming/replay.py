@@ -52,27 +52,59 @@ def throttle_times(times: list[int], gap: int) -> list[int]:
     return writes
 
 
+class Throttle:
+    """Writes of one client: the time of the last one, when the pending one is due (-1: none) and its value."""
+
+    def __init__(self, gap: int, last: int = -(10**15), due: int = -1, value: str = ""):
+        self.gap, self.last, self.due, self.value = gap, last, due, value
+
+    def release(self, now: int | None = None) -> list[tuple[int, str]]:
+        """The pending write, if it is due by now (or at all)."""
+        if self.due < 0 or now is not None and self.due > now:
+            return []
+        self.last, self.due = self.due, -1
+        return [(self.last, self.value)]
+
+    def change(self, at: int, value: str) -> list[tuple[int, str]]:
+        made = self.release(at)
+        if self.due < 0:
+            self.due = max(at, self.last + self.gap)
+        self.value = value
+        return made + (self.release(at) if self.due <= at else [])
+
+
 def throttled(changes: DataFrame, gap_ms: int = 500) -> DataFrame:
-    """client, at, value: coalesced writes of a table or stream of changes (client, at in ms, value), by a stateful operator.
+    """client, at, value: coalesced writes of a table or a stream of changes (client, at in ms, value).
 
-    State is the last write's time and what is pending; a later change or the end of its gap releases it.
+    A client writes once a gap at most; a write carries the latest change before it. A pending
+    write is released by a later change or, in a stream, when the gap has passed since its batch;
+    in a table the last one is released at its time. A client's changes are one task's.
     """
+    schema = "client string, at long, value string"
+
+    def frame(client, made) -> pd.DataFrame:
+        return pd.DataFrame([(client, *m) for m in made], columns=["client", "at", "value"])
+
+    if not changes.isStreaming:
+
+        def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            t = Throttle(gap_ms)
+            rows = rows.sort_values("at", kind="stable")
+            made = [m for at, v in zip(rows["at"], rows["value"], strict=True) for m in t.change(int(at), v)]
+            return frame(key[0], made + t.release())
+
+        return changes.groupBy("client").applyInPandas(whole, schema)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, due, value = state.get if state.exists else (-(10**15), -1, "")
-        out = []
-        rows = pd.concat(list(batches)).sort_values("at") if not state.hasTimedOut else pd.DataFrame({"at": [], "value": []})
-        for at, v in zip(rows["at"], rows["value"], strict=True):
-            if due >= 0 and due <= at:
-                out.append((key[0], due, value))
-                last, due = due, -1
-            if due < 0:
-                due = int(at) if at - last >= gap_ms else last + gap_ms
-            value = v
-            if due <= at:
-                out.append((key[0], int(at), value))
-                last, due = int(at), -1
-        state.update((int(last), int(due), value))
-        yield pd.DataFrame(out, columns=["client", "at", "value"])
-
-    return changes.groupBy("client").applyInPandasWithState(run, "client string, at long, value string", "last long, due long, value string", "append", GroupStateTimeout.NoTimeout)
+        t = Throttle(gap_ms, *(state.get if state.exists else ()))
+        if state.hasTimedOut:
+            made = t.release()
+        else:
+            rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+            made = [m for at, v in zip(rows["at"], rows["value"], strict=True) for m in t.change(int(at), v)]
+        state.update((int(t.last), int(t.due), t.value))
+        if t.due >= 0:
+            state.setTimeoutDuration(gap_ms)
+        yield frame(key[0], made)
+
+    return changes.groupBy("client").applyInPandasWithState(run, schema, "last long, due long, value string", "append", GroupStateTimeout.ProcessingTimeTimeout)
