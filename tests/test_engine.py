@@ -376,9 +376,9 @@ def test_candidates_are_of_one_region_and_far_enough(spark):
 
 def test_samplers_do_not_repeat(spark):
     places = some_places(spark, 20, 9, 4000)
-    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 60)
+    drawn = sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 25)
     assert sampler.repeats(drawn.where("accepted"), "key", "n", 6).count() == 0
-    assert drawn.collect() == sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 60).collect()
+    assert drawn.collect() == sampler.sample_pairs(spark, sampler.journey_candidates(places), 7, 25).collect()
     triples = sampler.sample_triples(spark, sampler.triple_candidates(places), 7, 30).collect()
     keys = [tuple(sorted(t["sources"])) for t in triples]
     assert all(k not in keys[max(0, i - 3) : i] for i, k in enumerate(keys))
