@@ -74,11 +74,16 @@ def compact(nodes: DataFrame, arcs: DataFrame, edges: DataFrame | None = None, l
 
 
 # ---------------------------------------------------------------- fixpoints over tables
+def expand(front: DataFrame, arcs: DataFrame, cost: str = "cost") -> DataFrame:
+    """node, cost: the least cost at which one arc leads from a frontier (node, cost) to each node."""
+    return front.join(arcs, front["node"] == arcs["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col(cost) + F.col("w")).alias(cost))
+
+
 def shortest(arcs: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:
     """node, dist from the nearest start, for any size: only nodes that improved send on their costs."""
 
     def step(state: DataFrame, front: DataFrame, _: int) -> DataFrame:
-        return front.join(arcs, front["node"] == arcs["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        return expand(front, arcs, "dist")
 
     return fixpoint(starts.select("node", F.lit(0).cast("long").alias("dist")), step, "node", "dist", most)
 

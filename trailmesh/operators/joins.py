@@ -66,3 +66,14 @@ def pairs_within(df: DataFrame, key: str, by: str, near: Column | None = None) -
     a, b = df.alias("a"), df.alias("b")
     on = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
     return a.join(b, on & near if near is not None else on)
+
+
+def first_of(sources: list[DataFrame], key: str, by: str) -> DataFrame:
+    """Rows of all sources, a key once: that of the first source that has it, numbered in ``by``; of ties the least row."""
+    marked = [s.withColumn(by, F.lit(i)) for i, s in enumerate(sources)]
+    merged = marked[0]
+    for s in marked[1:]:
+        merged = merged.unionByName(s)
+    rest = [c for c in merged.columns if c != key]
+    least = F.min(F.struct(by, *(c for c in rest if c != by))).alias("__row")
+    return merged.groupBy(key).agg(least).select(key, *(F.col("__row")[c].alias(c) for c in rest))

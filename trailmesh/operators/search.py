@@ -106,6 +106,13 @@ class GraphStore:
     def components(self) -> DataFrame:
         return self._once("components", lambda: weak_components(self.nodes, self.edges).persist())
 
+    def close(self) -> None:
+        """Give back what is kept in executors: tables and broadcast arrays. Later calls make them again."""
+        self.arcs.unpersist()
+        for part in self._parts.values():
+            part.unpersist()
+        self._parts.clear()
+
     def weighted(self, objective: str) -> DataFrame:
         return self.arcs if objective == "distance" else self._once("time", lambda: time_arcs(self.arcs, self.edges).persist())
 

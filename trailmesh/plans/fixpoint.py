@@ -18,19 +18,30 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], key: str, value: str, most: int) -> DataFrame:
     """Least ``value`` for each ``key`` under ``step(state, front, round)``, which proposes rows from improved ones.
 
     The state keeps one row a key; the front is what improved in the last round. Each round
-    is one join of the front and one merge of proposals with the state.
+    is one join of the front and one merge of proposals with the state. A round's files go
+    once the next one is settled.
     """
-    state = settle(start)
+    kept = state = settle(start)
     front = state
     for k in range(most):
         made = step(state, front, k).select(F.col(key).alias("__k"), F.col(value).alias("__v"))
         both = state.join(made, state[key] == made["__k"], "full")
         better = F.col("__v").isNotNull() & (F.col(value).isNull() | (F.col("__v") < F.col(value)))
         merged = settle(both.select(F.coalesce(key, "__k").alias(key), F.when(better, F.col("__v")).otherwise(F.col(value)).alias(value), better.alias("__new")))
+        forget(kept)
+        kept = merged
         state, front = merged.select(key, value), merged.where("__new").select(key, value)
         if not front.take(1):
             return state

@@ -74,14 +74,14 @@ def area_km2(polygons: Column) -> Column:
 
 
 def lakes_on_land(lakes: list[DataFrame], land: DataFrame, cell: float = 1.0) -> DataFrame:
-    """id, name, area_km2, polygons: lakes of all sources, an id once, with a vertex on land."""
-    merged = lakes[0]
-    for more in lakes[1:]:
-        merged = merged.unionByName(more)
-    merged = merged.dropDuplicates(["id"])
-    corners = merged.select(F.col("id").alias("lake"), F.explode(F.flatten(F.flatten("polygons"))).alias("p")).select("lake", "p.x", "p.y").distinct()
-    on = points_in(corners, land, cell).select(F.col("lake").alias("id")).distinct()
-    return merged.join(on, "id", "left_semi").select("id", F.element_at("properties", "name").alias("name"), area_km2(F.col("polygons")).alias("area_km2"), "polygons")
+    """id, name, area_km2, polygons: lakes of all sources with a vertex on land; an id once, from the first source with such a lake."""
+    merged = lakes[0].withColumn("source", F.lit(0))
+    for n, more in enumerate(lakes[1:], 1):
+        merged = merged.unionByName(more.withColumn("source", F.lit(n)))
+    corners = merged.select(F.struct("id", "source").alias("lake"), F.explode(F.flatten(F.flatten("polygons"))).alias("p")).select("lake", "p.x", "p.y").distinct()
+    first = points_in(corners, land, cell).groupBy(F.col("lake.id").alias("id")).agg(F.min("lake.source").alias("source"))
+    kept = merged.join(first, ["id", "source"], "left_semi").dropDuplicates(["id"])
+    return kept.select("id", F.element_at("properties", "name").alias("name"), area_km2(F.col("polygons")).alias("area_km2"), "polygons")
 
 
 def place_of_slug(wanted: DataFrame, places: DataFrame) -> DataFrame:

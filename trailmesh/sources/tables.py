@@ -24,6 +24,12 @@ def remembered(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _kept[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Unpersist the derived tables of an application."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        _kept.pop(key).unpersist()
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, x, y in 1e-5 degrees, osm_id: a grid of parts with a little scatter."""
 
