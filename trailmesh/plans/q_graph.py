@@ -179,7 +179,11 @@ def territory_sizes(spark, sf_dir):
     return _territory(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("nodes"), F.max("dist").alias("furthest"))
 
 
-@query()
+_SINGLES = ", ".join(f"one{k} AS (SELECT (s.node + {k} * n // 3) % n AS node FROM seed s, (SELECT count(*) AS n FROM nodes)), {_spread(f's{k}', f'one{k}')}" for k in range(3))
+
+
+@query(f"""{_D}, {_THREE}, {_spread('d', 'three')}, {_SINGLES}, least_of AS (SELECT node, min(dist) AS single FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY node)
+SELECT count(*) AS nodes, sum((dist IS DISTINCT FROM single)::INTEGER)::BIGINT AS mismatches FROM d FULL JOIN least_of USING (node)""")
 def territory_audit(spark, sf_dir):
     """Nodes whose territory distance differs from the least of three single searches: none are expected."""
     sources = _sources(spark, sf_dir)
@@ -212,7 +216,21 @@ def potential_repair(spark, sf_dir):
     return _from_arrays(spark, sf_dir, make, "node long, h long")
 
 
-@query()
+def _marks(k: int) -> str:
+    """The k-th landmark, farthest from those before it, and its distances both ways."""
+    far = "least(" + ", ".join(f"(SELECT pow((n.x - g.x)::BIGINT, 2) + pow((n.y - g.y)::BIGINT, 2) FROM nodes g JOIN l{j} USING (node))" for j in range(k)) + ")"
+    chosen = f"(SELECT node FROM (SELECT n.node, {far} AS far FROM nodes n JOIN f0 USING (node) JOIN b0 USING (node)) WHERE far > 0 ORDER BY far DESC, node LIMIT 1)" if k else "(SELECT node FROM seed)"
+    return f"l{k} AS {chosen}, {_spread(f'f{k}', f'l{k}')}, {_spread(f'b{k}', f'l{k}', 'arcs', 'dst', 'src')}"
+
+
+_MARKS = ", ".join(_marks(k) for k in range(4))
+_TABLES = " UNION ALL ".join(f"SELECT l{k}.node AS landmark, t.* FROM l{k}, (SELECT node, coalesce(f{k}.dist, 4294967295) AS away, coalesce(b{k}.dist, 4294967295) AS towards FROM f{k} FULL JOIN b{k} USING (node)) t" for k in range(4))
+_AT_GOAL = "(SELECT dist FROM {0} WHERE node = (SELECT node FROM goal))"
+_TERMS = ", ".join(f"{_AT_GOAL.format(f'f{k}')} - f{k}.dist, b{k}.dist - {_AT_GOAL.format(f'b{k}')}" for k in range(4))
+_JOINED = " ".join(f"LEFT JOIN {t}{k} ON {t}{k}.node = h0.node" for k in range(4) for t in "fb")
+
+
+@query(f"{_D}, {_MARKS} {_TABLES}")
 def landmark_tables(spark, sf_dir):
     marks = store(spark, sf_dir).landmarks()
 
@@ -227,7 +245,9 @@ def landmark_tables(spark, sf_dir):
     return _from_arrays(spark, sf_dir, make, "landmark long, node long, away long, towards long")
 
 
-@query()
+@query(f"""{_D}, {_H0}, {_MARKS}, start AS (SELECT h0.node, greatest(0, h0.h, {_TERMS}) AS h FROM h0 {_JOINED}),
+r(node, h) USING KEY (node) AS (SELECT node, h FROM start UNION SELECT t, min(nh) FROM (SELECT a.src AS t, r.h + a.w AS nh FROM r JOIN arcs a ON a.dst = r.node LEFT JOIN recurring.r x ON x.node = a.src WHERE r.h + a.w < x.h) GROUP BY t),
+{_spread('e', 'goal', 'arcs', 'dst', 'src')} SELECT r.node, r.h AS bound, e.dist AS exact FROM r LEFT JOIN e USING (node)""")
 def alt_bound(spark, sf_dir):
     """The landmark bound of every node, repaired, beside the exact distance: never over it."""
     n, s = nodes(spark, sf_dir).count(), seed(spark, sf_dir)
@@ -290,6 +310,32 @@ for _name in ("dijkstra", "bidirectional", "astar", "bidirectional-astar", "weig
     query()(_f)
 
 
+# With positive lengths a best-first search settles nodes by (distance, node); an arc improves if
+# its sum is under those of all arcs into the same node that were examined before it.
+_EVENTS = f"""{_D}, {_spread('d', 'seed')}, {_EXPECTED}, ranked AS (SELECT node, dist, row_number() OVER (ORDER BY dist, node) AS pos FROM d),
+sums AS (SELECT r.pos, a.arc, a.dst, r.dist + a.w AS s FROM ranked r JOIN arcs a ON a.src = r.node),
+looked AS (SELECT pos, arc, (dst <> (SELECT node FROM seed) AND s < coalesce(min(s) OVER (PARTITION BY dst ORDER BY pos, arc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s + 1))::INTEGER AS better FROM sums),
+steps AS (SELECT *, row_number() OVER (ORDER BY pos, arc) + sum(better) OVER (ORDER BY pos, arc ROWS UNBOUNDED PRECEDING) + pos AS last FROM looked),
+outs AS (SELECT r.pos, r.node, count(arc) + coalesce(sum(better), 0) AS n FROM ranked r LEFT JOIN steps USING (pos) GROUP BY r.pos, r.node),
+log AS (SELECT pos, pos + sum(n) OVER (ORDER BY pos) - n AS event, 0 AS kind, node AS id FROM outs
+  UNION ALL SELECT pos, last - better, 1, arc FROM steps UNION ALL SELECT pos, last, 2, arc FROM steps WHERE better = 1),
+ends AS (SELECT goal, pos AS stop FROM wanted LEFT JOIN ranked ON node = goal)"""
+_REACHED = "FROM ends JOIN log ON stop IS NULL OR pos < stop OR (pos = stop AND kind = 0)"
+
+
+@query(f"{_EVENTS} SELECT goal, event::BIGINT AS event, kind, id {_REACHED}")
+def dijkstra_events(spark, sf_dir):
+    """The whole event log of each search."""
+    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"]))
+    return search.trace_rows(r).join(r.select("query_id", "goal"), "query_id").select("goal", "event", "kind", "id")
+
+
+@query(f"{_EVENTS} SELECT goal, count(*) FILTER (kind = 0) AS settled, count(*) FILTER (kind = 1) AS examined, count(*) FILTER (kind = 2) AS improved {_REACHED} GROUP BY goal")
+def dijkstra_counts(spark, sf_dir):
+    """What each search counts of its own events."""
+    return store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"])).select("goal", "settled", "examined", "improved")
+
+
 @query()
 def shortest_route_edges(spark, sf_dir):
     return search.route_steps(store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"])))
@@ -365,7 +411,11 @@ def audit_greedy_excess(spark, sf_dir):
     return by.select("goal", "best", "greedy", F.round((F.col("greedy") / F.nullif(F.col("best"), F.lit(0)) - 1) * 100, 3).alias("excess"))
 
 
-@query()
+# Every component's tree grows by its lightest edge at once, from its smallest node.
+@query(f"""{_COMPONENTS}, ways AS (SELECT edge, u AS src, v AS dst, length_cm AS w FROM edges UNION ALL SELECT edge, v, u, length_cm FROM edges),
+p(node, component, w) USING KEY (node) AS (SELECT component, component, 0::BIGINT FROM c GROUP BY component UNION
+  SELECT arg_min(s.dst, (s.w, s.edge)), p.component, min(s.w) FROM recurring.p p JOIN ways s ON s.src = p.node WHERE s.dst NOT IN (SELECT node FROM recurring.p) GROUP BY p.component)
+SELECT component, sum(w)::BIGINT AS total FROM p GROUP BY component""")
 def mst_total(spark, sf_dir):
     return graph.spanning_total(nodes(spark, sf_dir), edges(spark, sf_dir))
 
@@ -391,7 +441,15 @@ def route_segments(spark, sf_dir):
     return _segments(spark, sf_dir)
 
 
-@query()
+_LEAVES = f"""WITH RECURSIVE {GRAPH_SQL}, {_SEGMENTS}, points AS (SELECT edge AS id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM segs),
+depth AS (SELECT CASE WHEN count(*) <= 256 THEN 0 ELSE floor(log2((count(*) + 255) // 256 - 1)) + 1 END AS levels FROM points),
+cut AS (SELECT 0 AS level, 1::BIGINT AS leaf, id, x, y FROM points UNION ALL
+  SELECT level + 1, CASE WHEN n <= 256 THEN leaf * 2 ELSE leaf * 2 + (row_number() OVER (PARTITION BY leaf ORDER BY k, id) > n // 2)::INTEGER END, id, x, y
+  FROM (SELECT *, count(*) OVER (PARTITION BY leaf) AS n, CASE WHEN max(x) OVER (PARTITION BY leaf) - min(x) OVER (PARTITION BY leaf) >= max(y) OVER (PARTITION BY leaf) - min(y) OVER (PARTITION BY leaf) THEN x ELSE y END AS k
+    FROM cut WHERE level < (SELECT levels FROM depth)))"""
+
+
+@query(f"{_LEAVES} SELECT leaf, count(*) AS n, min(x) AS x1, max(x) AS x2 FROM cut WHERE level = (SELECT levels FROM depth) GROUP BY leaf")
 def leaf_sizes(spark, sf_dir):
     points = _segments(spark, sf_dir).select(F.col("edge").alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
     return replay.spatial_leaves(points, 256).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"))
