@@ -268,7 +268,11 @@ def alt_admissible(spark, sf_dir):
     return alt_bound(spark, sf_dir).where("exact IS NOT NULL").select("node", "exact", (F.col("bound") <= F.col("exact")).alias("admissible"))
 
 
-_EXPECTED = """wanted AS (SELECT k, (s.node + (k + 1) * (n // 13)) % n AS goal FROM seed s, (SELECT count(*) AS n FROM nodes), range(0, 12) r(k))"""
+def _wanted(count: int) -> str:
+    return f"wanted AS (SELECT k, (s.node + (k + 1) * (n // {count + 1})) % n AS goal FROM seed s, (SELECT count(*) AS n FROM nodes), range(0, {count}) r(k))"
+
+
+_EXPECTED = _wanted(12)
 
 
 def _costs_of(algorithm: str):
@@ -312,9 +316,10 @@ for _name in ("dijkstra", "bidirectional", "astar", "bidirectional-astar", "weig
 
 # With positive lengths a best-first search settles nodes by (distance, node); an arc improves if
 # its sum is under those of all arcs into the same node that were examined before it.
-_EVENTS = f"""{_D}, {_spread('d', 'seed')}, {_EXPECTED}, ranked AS (SELECT node, dist, row_number() OVER (ORDER BY dist, node) AS pos FROM d),
+_LOOKED = f"""{_D}, {_spread('d', 'seed')}, ranked AS (SELECT node, dist, row_number() OVER (ORDER BY dist, node) AS pos FROM d),
 sums AS (SELECT r.pos, a.arc, a.dst, r.dist + a.w AS s FROM ranked r JOIN arcs a ON a.src = r.node),
-looked AS (SELECT pos, arc, (dst <> (SELECT node FROM seed) AND s < coalesce(min(s) OVER (PARTITION BY dst ORDER BY pos, arc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s + 1))::INTEGER AS better FROM sums),
+looked AS (SELECT pos, arc, dst, (dst <> (SELECT node FROM seed) AND s < coalesce(min(s) OVER (PARTITION BY dst ORDER BY pos, arc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s + 1))::INTEGER AS better FROM sums)"""
+_EVENTS = f"""{_LOOKED}, {_EXPECTED},
 steps AS (SELECT *, row_number() OVER (ORDER BY pos, arc) + sum(better) OVER (ORDER BY pos, arc ROWS UNBOUNDED PRECEDING) + pos AS last FROM looked),
 outs AS (SELECT r.pos, r.node, count(arc) + coalesce(sum(better), 0) AS n FROM ranked r LEFT JOIN steps USING (pos) GROUP BY r.pos, r.node),
 log AS (SELECT pos, pos + sum(n) OVER (ORDER BY pos) - n AS event, 0 AS kind, node AS id FROM outs
@@ -336,7 +341,14 @@ def dijkstra_counts(spark, sf_dir):
     return store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"])).select("goal", "settled", "examined", "improved")
 
 
-@query()
+def _route(count: int) -> str:
+    """Each search's route: from the goal back by the last arc that improved a node."""
+    return f"""{_LOOKED}, {_wanted(count)}, parent AS (SELECT dst AS node, arg_max(arc, (pos, arc)) AS arc FROM looked WHERE better = 1 GROUP BY dst),
+back(k, arc, far) AS (SELECT k, arc, 0 FROM wanted JOIN parent ON node = goal UNION ALL SELECT k, p.arc, far + 1 FROM back JOIN arcs a ON a.arc = back.arc JOIN parent p ON p.node = a.src),
+route AS (SELECT k AS query_id, max(far) OVER (PARTITION BY k) - far AS step, edge, reversed, src, dst, w AS length FROM back JOIN arcs USING (arc))"""
+
+
+@query(f"{_route(12)} SELECT query_id, step::BIGINT AS step, edge, reversed, src, dst, length FROM route")
 def shortest_route_edges(spark, sf_dir):
     return search.route_steps(store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"])))
 
@@ -455,7 +467,10 @@ def leaf_sizes(spark, sf_dir):
     return replay.spatial_leaves(points, 256).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"))
 
 
-@query()
+@query(f"""{_route(4)}, {_SEGMENTS}, drawn AS (SELECT query_id, step, length, CASE WHEN reversed THEN x2 ELSE x1 END AS x1, CASE WHEN reversed THEN y2 ELSE y1 END AS y1,
+  CASE WHEN reversed THEN x1 ELSE x2 END AS x2, CASE WHEN reversed THEN y1 ELSE y2 END AS y2 FROM route JOIN segs USING (edge) WHERE segs.x1 <> segs.x2 OR segs.y1 <> segs.y2),
+summed AS (SELECT *, (sum(length) OVER (PARTITION BY query_id ORDER BY step))::DOUBLE AS upto, (sum(length) OVER (PARTITION BY query_id))::DOUBLE AS total FROM drawn)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY step))::INTEGER AS n, x1, y1, x2, y2, (upto - length) / total AS from_share, upto / total AS to_share FROM summed""")
 def route_progress(spark, sf_dir):
     r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"], 4))
     return replay.route_progress(search.route_steps(r), _segments(spark, sf_dir))
