@@ -17,7 +17,7 @@ from .test_operators import brute_groups, brute_url
 @pytest.fixture(scope="module")
 def db(sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "sales", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, htmlextract, linededup, media, mixing, ngramjoin, packing, tokencount, toxicity, urlfilter
+from . import dominance, exactdedup, exactsearch, htmlextract, linededup, media, mixing, ngramjoin, packing, tokencount, toxicity, urlfilter, vectorcodes
 from .common import Workspace, load
 
 
@@ -55,13 +55,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(load(spark, sf_dir, "documents"), limit=512)
 
 
+def op11_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = load(spark, sf_dir, "sales")
+    weight = 1 + F.crc32(F.coalesce(F.col("sale_id").cast("string"), F.lit("")).cast("binary")) % 5
+    slot = dominance.slot_of(F.col("sold_at"), sales.schema["sold_at"].dataType.simpleString(), seconds=60)
+    return dominance.dominance_counts(sales, slot, dominance.level_of(F.col("total"), step=1), weight).withColumnsRenamed({"n_above": "n_sales", "weight_above": "n_rows"})
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(load(spark, sf_dir, "embeddings"), scale=1024, parts=4, size=256, rounds=4)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactsearch.top_k(load(spark, sf_dir, "embeddings"), queries=F.col("id") % 50 == 0, k=5, scale=256)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_packing, op3_toxicity, op4_url_filters, op5_line_dedup, op6_exact_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_mixing, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_packing, op3_toxicity, op4_url_filters, op5_line_dedup, op6_exact_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_mixing, op10_token_counts, op11_dominance_counting, op12_vector_codes, op13_exact_top_k, pipeline)}
 
 _SPACE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -112,4 +127,45 @@ SELECT doc_id, source, lang, topic, n AS n_words, round(coalesce(p, 1.0), 6) AS
 FROM docs LEFT JOIN p USING (source, lang, topic)"""
 
 
-ORACLE_SQL = {"op5_line_dedup": _LINES, "op6_exact_dedup": _EXACT, "op9_mixing": _mixing_sql()}
+_DOMINANCE = """
+WITH bits AS (SELECT *, list_reduce(flatten(list_transform(string_split(sale_id::VARCHAR, ''), lambda d: [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295::BIGINT) AS c FROM sales),
+s AS (SELECT sale_id, floor(epoch_us(date_trunc('minute', sold_at)) / 60000000)::BIGINT AS slot, floor(floor(100 * total + 0.5) / 1)::BIGINT AS level,
+  1 + coalesce(xor(c, 4294967295), 0) % 5 AS w FROM bits),
+points AS (SELECT slot, level, count(*) AS n, sum(w) AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+above AS (SELECT a.slot, a.level, sum(b.n) AS n, sum(b.w) AS w FROM points a JOIN points b ON b.slot < a.slot AND b.level > a.level GROUP BY ALL)
+SELECT s.sale_id, s.slot, s.level, CASE WHEN s.slot IS NOT NULL AND s.level IS NOT NULL THEN coalesce(a.n, 0)::BIGINT END AS n_sales,
+  CASE WHEN s.slot IS NOT NULL AND s.level IS NOT NULL THEN coalesce(a.w, 0)::BIGINT END AS n_rows
+FROM s LEFT JOIN above a ON s.slot = a.slot AND s.level = a.level"""
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(parts: int = 4, size: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_USABLE})",
+        f"cut AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p))",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {size})",
+        "b0 AS MATERIALIZED (SELECT p, e, v FROM cut JOIN first USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"d{k} AS (SELECT c.vec_id, c.p, c.v, b.e, list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut c JOIN b{k} b USING (p))")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, min(struct_pack(d := d, e := e)) AS best FROM d{k} GROUP BY vec_id, p)")
+        if k < rounds:
+            steps.append(f"x{k} AS (SELECT p, e, i, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT p, best.e AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY p, e, i)")
+            steps.append(f"m{k} AS (SELECT p, e, list(x ORDER BY i) AS v FROM x{k} GROUP BY p, e)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.v, b{k}.v) AS v FROM b{k} LEFT JOIN m{k} USING (p, e))")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})")
+    steps.append(f"coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest"""
+
+
+_SEARCH = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
+ORACLE_SQL = {"op5_line_dedup": _LINES, "op6_exact_dedup": _EXACT, "op9_mixing": _mixing_sql(), "op11_dominance_counting": _DOMINANCE, "op12_vector_codes": _codes_sql(), "op13_exact_top_k": _SEARCH}
