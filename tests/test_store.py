@@ -38,11 +38,24 @@ def test_publish_and_load(spark, tmp_path, monkeypatch):
 def test_damaged_chunks_are_found(spark, tmp_path):
     nodes, edges = tables(spark, random_edges(5), n=40)
     path = f"{tmp_path}/g"
-    store.publish(nodes, edges, path)
-    edges.withColumn("length_cm", F.col("length_cm") + 1).withColumn("chunk", F.lit(0)).write.partitionBy("chunk").mode("overwrite").parquet(f"{path}/edges")
+    m = store.publish(nodes, edges, path)
+    n, e, _ = store.load_graph(spark, path)  # sound
+    assert n.count() == 40 and e.exceptAll(edges).count() == 0
+    flip(f"{path}/{m['chunks'][-1]['path']}")
     with pytest.raises(ValueError, match="differs"):
         store.load_graph(spark, path)
-    store.load_graph(spark, path, verify=False)
+    n, e, _ = store.load_graph(spark, path, verify=False)
+    assert n.count() == 40
+    with pytest.raises(Exception, match="hash differs"):
+        e.count()
+
+
+def flip(path, at=40):
+    """Change one bit of a file."""
+    data = bytearray(open(path, "rb").read())
+    data[at] ^= 1
+    with open(path, "wb") as f:
+        f.write(data)
 
 
 def test_source_hash(spark, tmp_path):

@@ -85,7 +85,7 @@ def number_text(x: float) -> str:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and numbers as browsers write them."""
+    """JSON with sorted keys, no spaces and numbers as browsers write them; integers that a double can't hold raise."""
     if value is None or isinstance(value, float) and not math.isfinite(value):
         return "null"
     if isinstance(value, bool):
@@ -93,7 +93,11 @@ def canonical(value) -> str:
     if isinstance(value, str):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, int):
-        return str(value) if abs(value) <= 1 << 53 else number_text(float(value))
+        if abs(value) <= 1 << 53:
+            return str(value)
+        if abs(value) >> 1023 or int(float(value)) != value:
+            raise ValueError(f"{value} isn't exact as a number of JSON; write it as text")
+        return number_text(float(value))
     if isinstance(value, float):
         return number_text(value)
     if isinstance(value, dict):
@@ -107,9 +111,15 @@ def identity(value) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
+def _read_int(text: str) -> int | float:
+    """An integer as readers of JSON take it: a double where it is large."""
+    value = int(text)
+    return value if abs(value) <= 1 << 53 else float(text)
+
+
 @F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: canonical(json.loads(t)), na_action="ignore")
+    return texts.map(lambda t: canonical(json.loads(t, parse_int=_read_int)), na_action="ignore")
 
 
 def algorithm_name(tag) -> Column:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.digest import chunk_hashes, folded, proofs, tree
 from ..model import CHECKPOINT
+from ..plans.fixpoint import forget, settle
 
 KINDS = (("settled", 0), ("examined", 1), ("improved", 2))
 BLOCK_EVENTS = 2_097_152  # 8 MiB of four-byte words
@@ -102,35 +104,53 @@ def digest(trace: DataFrame, block: int = 65536) -> DataFrame:
 
 
 class TraceArchive:
-    """Words in Parquet by block; blocks first, then a catalogue with a hash of each: without it nothing is committed."""
+    """Words in Parquet by block; blocks first, then a catalogue with each one's hash and proof: without it nothing is committed.
+
+    A block's hash is that of its pages of CHECKPOINT events in order, and blocks are the leaves of a hash tree for each
+    log, so one block is verified alone against its log's root.
+    """
 
     def __init__(self, spark: SparkSession, path: str, block: int = BLOCK_EVENTS):
         self.spark, self.path, self.block = spark, path, block
 
     def _hashes(self, rows: DataFrame) -> DataFrame:
-        mixed = F.xxhash64("query_id", "event", "word")
-        return rows.groupBy("query_id", "block").agg(F.count(F.lit(1)).alias("events"), F.bit_xor(mixed).alias("hash"))
+        return chunk_hashes(rows, ["query_id"], F.floor((F.col("event") - 1) / self.block), "event", ["word"], F.floor((F.col("event") - 1) / CHECKPOINT))
 
     def write(self, trace: DataFrame) -> None:
         rows = trace.select("query_id", "event", "word", F.floor((F.col("event") - 1) / self.block).alias("block"))
         rows.repartition("query_id", "block").sortWithinPartitions("event").write.partitionBy("query_id", "block").mode("errorifexists").parquet(f"{self.path}/blocks")
-        self._hashes(self._blocks()).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/catalogue")
+        hashes = settle(self._hashes(self._blocks()))
+        proven = hashes.join(proofs(tree(hashes, ["query_id"]), ["query_id"]), ["query_id", "chunk"])
+        proven.select("query_id", F.col("chunk").alias("block"), F.col("rows").alias("events"), "hash", "path", "root").write.mode("errorifexists").parquet(f"{self.path}/catalogue")
+        forget(hashes)
 
     def _blocks(self) -> DataFrame:
         return self.spark.read.schema("event long, word long, query_id long, block long").parquet(f"{self.path}/blocks")
 
-    def read(self, query_id: int, block: int) -> DataFrame:
-        """One block, after its count and hash are verified; only its folder is scanned."""
+    def _kept(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/catalogue")
+
+    def roots(self) -> DataFrame:
+        """query_id, root of every log: what a reader keeps to verify any block later."""
+        return self._kept().groupBy("query_id").agg(F.min("root").alias("root"))
+
+    def read(self, query_id: int, block: int, root: str | None = None) -> DataFrame:
+        """One block, after its hash and its proof lead to the log's root (``root``, if given); only its folder is scanned."""
         rows = self._blocks().where((F.col("query_id") == query_id) & (F.col("block") == block))
-        kept = self.spark.read.parquet(f"{self.path}/catalogue").where((F.col("query_id") == query_id) & (F.col("block") == block))
-        if self._hashes(rows).exceptAll(kept.select("query_id", "block", "events", "hash")).take(1) or not kept.take(1):
+        kept = self._kept().where((F.col("query_id") == query_id) & (F.col("block") == block))
+        met = self._hashes(rows).join(kept.drop("hash"), (F.col("chunk") == F.col("block")) & (F.col("rows") == F.col("events")))
+        led = met.where(folded(F.col("hash"), F.col("path")) == (F.lit(root) if root else F.col("root")))
+        if not led.take(1):
             raise ValueError(f"block {block} of {query_id} is damaged or not committed")
         return rows.orderBy("event")
 
     def violations(self) -> DataFrame:
-        kept = self.spark.read.parquet(f"{self.path}/catalogue").select("query_id", "block", "events", "hash")
-        found = self._hashes(self._blocks())
-        return found.exceptAll(kept).unionByName(kept.exceptAll(found))
+        """Blocks (query_id, block, events, hash) that are only stored or only listed as they are, or whose proof leads elsewhere."""
+        kept = self._kept()
+        found = self._hashes(self._blocks()).select("query_id", F.col("chunk").alias("block"), F.col("rows").alias("events"), "hash")
+        listed = kept.select("query_id", "block", "events", "hash")
+        astray = kept.where(~folded(F.col("hash"), F.col("path")).eqNullSafe(F.col("root"))).select("query_id", "block", "events", "hash")
+        return found.exceptAll(listed).unionByName(listed.exceptAll(found)).unionByName(astray)
 
 
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import canonical, identity
 from ..model import EDGES, NODES
 from ..operators.validate import chunk_coverage, edge_integrity, manifest_limits
+from .chunksource import damaged_chunks, read_chunked, read_manifest, write_chunked
 
 SCHEMA = "trailmesh-graph/1"
 ROWS = {"nodes": 250_000, "edges": 200_000}  # rows of a chunk
@@ -34,28 +34,35 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def _catalogue(rows: DataFrame, kind: str, key: str) -> DataFrame:
-    """One line a chunk: position, path, start, count, stride, bytes (of the decoded columns) and an order-free hash of its rows."""
-    size = ROWS[kind]
-    mixed = F.xxhash64(*(F.col(c) for c in rows.columns if c != "chunk"))
-    each = rows.groupBy("chunk").agg(F.min(key).alias("start"), F.count(F.lit(1)).alias("count"), F.bit_xor(mixed).alias("hash"))
-    return each.select((F.lit({"nodes": 0, "edges": 1}[kind] * 10**9) + F.col("chunk")).alias("n"), F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}/chunk="), F.col("chunk")).alias("path"), "start", "count", F.lit(STRIDE[kind]).alias("stride"), (F.col("count") * STRIDE[kind]).alias("bytes"), "hash", F.lit(size).alias("size"))
+def _listed(kind: str, table: dict) -> list[dict]:
+    """The chunks of a table as the graph's manifest lists them; bytes are those of the decoded columns."""
+    return [{"n": {"nodes": 0, "edges": 1}[kind] * 10**9 + c["n"], "kind": kind, "path": f"{kind}/{c['path']}", "start": int(c["start"]), "count": c["count"], "stride": STRIDE[kind], "bytes": c["count"] * STRIDE[kind], "sha256": c["sha256"]} for c in table["chunks"]]
 
 
 def publish(nodes: DataFrame, edges: DataFrame, path: str, profile: str = "road/1") -> dict:
-    """Write a graph where nothing is yet: chunks of sorted rows, then a manifest with their hashes and its identity."""
+    """Write a graph where nothing is yet: chunks of sorted rows with their hashes, then its manifest with its identity.
+
+    Bounds and arcs are observed while the rows are written, so no row is read twice. A failed
+    write leaves no manifest.
+    """
     spark = nodes.sparkSession
-    chunks = []
-    for kind, df, key, schema in (("nodes", nodes, "node", NODES), ("edges", edges, "edge", EDGES)):
-        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)).withColumn("chunk", F.floor(F.col(key) / ROWS[kind]))
-        rows.repartitionByRange("chunk").sortWithinPartitions(key).write.partitionBy("chunk").option("compression", "gzip").mode("errorifexists").parquet(f"{path}/{kind}")
-        back = spark.read.schema(rows.schema).parquet(f"{path}/{kind}")
-        chunks += [r.asDict() for r in _catalogue(back, kind, key).orderBy("n").collect()]  # one row a chunk of 200,000 rows
-    box = nodes.agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2")).first().asDict()
-    arcs = edges.agg(F.coalesce(F.sum(F.when(F.col("direction") == 0, 2).otherwise(1)), F.lit(0)).alias("a")).first()["a"]
-    counts = {k: sum(c["count"] for c in chunks if c["kind"] == k) for k in ROWS} | {"arcs": arcs}
-    own = {"schema": SCHEMA, "profile": profile, "counts": counts, "bounds": box, "chunks": chunks}
-    manifest = own | {"identity": identity({"chunks": chunks, "bounds": box, "profile": profile})}
+    fs, p = _files(spark, path)
+    if fs.exists(p):
+        raise ValueError(f"something exists already: {path}")
+    box, degree = Observation("bounds"), Observation("arcs")
+    seen = {
+        "nodes": nodes.observe(box, *(f(c).alias(f"{c}{k}") for k, f in ((1, F.min), (2, F.max)) for c in "xy")),
+        "edges": edges.observe(degree, F.coalesce(F.sum(F.when(F.col("direction") == 0, 2).otherwise(1)), F.lit(0)).alias("arcs")),
+    }
+    chunks, roots = [], {}
+    for kind, key, schema in (("nodes", "node", NODES), ("edges", "edge", EDGES)):
+        rows = seen[kind].select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
+        table = write_chunked(rows, f"{path}/{kind}", key, ROWS[kind])
+        chunks += _listed(kind, table)
+        roots[kind] = table["root"]
+    counts = {k: sum(c["count"] for c in chunks if c["kind"] == k) for k in ROWS} | {"arcs": degree.get["arcs"]}
+    own = {"schema": SCHEMA, "profile": profile, "counts": counts, "bounds": box.get, "chunks": chunks, "roots": roots}
+    manifest = own | {"identity": identity({"chunks": chunks, "bounds": box.get, "profile": profile})}
     _write_text(spark, f"{path}/manifest.json", canonical(manifest))
     return manifest
 
@@ -78,17 +85,15 @@ def load_manifest(spark: SparkSession, path: str, expected: str | None = None) -
 
 
 def load_graph(spark: SparkSession, path: str, expected: str | None = None, verify: bool = True) -> tuple[DataFrame, DataFrame, dict]:
-    """(nodes, edges, manifest); with ``verify`` every chunk's rows are hashed and edges checked against nodes."""
+    """(nodes, edges, manifest). A chunk is verified by the task that reads it; with ``verify`` all of them now, and edges against nodes."""
     m = load_manifest(spark, path, expected)
     out = []
-    for kind, schema, key in (("nodes", NODES, "node"), ("edges", EDGES, "edge")):
-        rows = spark.read.schema(StructType([*schema.fields, StructField("chunk", LongType())])).parquet(f"{path}/{kind}")
-        if verify:
-            listed = spark.createDataFrame([(c["path"], c["count"], c["hash"]) for c in m["chunks"] if c["kind"] == kind], "path string, count long, hash long")
-            found = _catalogue(rows, kind, key).select("path", "count", "hash")
-            if found.exceptAll(listed).take(1) or listed.exceptAll(found).take(1):
-                raise ValueError(f"{kind}: a chunk differs from the manifest")
-        out.append(rows.drop("chunk"))
+    for kind in ("nodes", "edges"):
+        if verify and (bad := damaged_chunks(spark, f"{path}/{kind}").limit(5).collect()):
+            raise ValueError(f"{kind}: a chunk differs from the manifest: {[r['why'] for r in bad]}")
+        if _listed(kind, read_manifest(f"{path}/{kind}", m["roots"][kind])) != [c for c in m["chunks"] if c["kind"] == kind]:
+            raise ValueError(f"{kind}: its chunks differ from the manifest's")
+        out.append(read_chunked(spark, f"{path}/{kind}", m["roots"][kind]))
     if verify and edge_integrity(out[1], out[0]).take(1):
         raise ValueError("edges don't fit the nodes")
     return out[0], out[1], m
