@@ -1,6 +1,7 @@
 """DataFrame operators: fixpoints, snapping, search, traces, compile, records, streaming."""
 
 import math
+import random
 import time
 from collections import Counter
 from fractions import Fraction
@@ -552,3 +553,48 @@ def test_late_results_and_windows(spark):
     assert tuple(streams.latest_results(r).first()) == ("a", "z", 3)
     e = spark.sql("SELECT timestamp'2020-01-01 00:00:10' AS ts, 'v' AS event_type UNION ALL SELECT timestamp'2020-01-01 00:01:10', 'v'")
     assert streams.stream_windows(e, "1 minute", "10 seconds").count() == 2
+
+
+# ---------------------------------------------------------------- what caches keep, chunks needed
+def brute_kept(rows, budget, most):
+    kept = []
+    for user in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == user), key=lambda r: (r[4], r[2], r[1]), reverse=True)
+        total, names = mine[0][3], [mine[0][1]]
+        for r in mine[1:]:
+            if len(names) < most and total + r[3] <= budget:
+                names.append(r[1])
+                total += r[3]
+        kept += [(user, n) for n in names]
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_kept_releases_take_the_next_that_fits(spark, most):
+    rng = random.Random(most)
+    rows = [(f"u{k % 7}", f"r{k}", rng.randrange(5), rng.choice([10, 40, 60, 99, 250]), k in (3, 11)) for k in range(60)]
+    rows += [("one", "x", 1, 10_000, False)]  # a current release stays, whatever its size
+    df = spark.createDataFrame(rows, "user string, name string, used int, bytes long, now boolean")
+    got = sampler.kept_releases(df, 150, most, ("user",), F.col("now"))
+    assert sorted((r["user"], r["name"]) for r in got.collect()) == brute_kept(rows, 150, most)
+    unfit = spark.createDataFrame([("a", 9, 100), ("b", 8, 60), ("c", 7, 40)], "name string, used int, bytes long")
+    assert {r["name"] for r in sampler.kept_releases(unfit, 150).collect()} == {"a", "c"}
+
+
+def test_chunks_needed_keeps_unknown_layouts(spark):
+    chunks = spark.createDataFrame([(0, 0, 9), (1, 10, 19), (2, 20, 29), (3, None, None)], "chunk long, first long, last long")
+    edge = lambda *x: spark.createDataFrame([(e,) for e in x], "edge long")
+    assert {r["chunk"] for r in replay.chunks_needed(chunks, edge(3, 4), edge(29), 10).collect()} == {0, 2, 3}
+
+
+def test_sweep_leaves_what_is_no_record(spark, tmp_path):
+    from trailmesh.sources import exports
+
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "a.txt").write_text("x")
+    spark.range(2).write.parquet(f"{tmp_path}/old")
+    with pytest.raises(ValueError, match="no record"):
+        exports.lease(spark, f"{tmp_path}/notes", "me")
+    assert exports.sweep(spark, str(tmp_path)) == ["old"] and (tmp_path / "notes" / "a.txt").exists()
+    with pytest.raises(ValueError, match="no record"):
+        exports.lease(spark, f"{tmp_path}/old", "me")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.chunks import should_compact
+from .joins import range_lookup
 from .trace import first_road_event
 
 LEAF = 16384
@@ -67,25 +69,32 @@ def route_progress(route: DataFrame, shapes: DataFrame) -> DataFrame:
     return turned.select("query_id", F.row_number().over(order).alias("n"), "x1", "y1", "x2", "y2", ((upto - F.col("cm")) / total).alias("from_share"), (upto / total).alias("to_share"))
 
 
-def chunks_needed(chunks: DataFrame, reached: DataFrame, route: DataFrame) -> DataFrame:
-    """Chunks (chunk, first, last; null where the layout is unknown) that hold a reached or routed edge."""
+def chunks_needed(chunks: DataFrame, reached: DataFrame, route: DataFrame, width: int) -> DataFrame:
+    """Chunks (chunk, first, last; null where the layout is unknown) that hold a reached or routed edge.
+
+    Edges and ranges meet in cells of ``width`` edges, best a chunk's usual number.
+    """
     edges = reached.select("edge").unionByName(route.select("edge")).distinct()
-    hit = chunks.join(edges, (F.col("edge") >= F.col("first")) & (F.col("edge") <= F.col("last")), "left_semi")
-    return hit.unionByName(chunks.where("first IS NULL OR last IS NULL"))
+    known = F.col("first").isNotNull() & F.col("last").isNotNull()
+    hit = range_lookup(edges, chunks.where(known), "edge", "first", "last", width).select("chunk").distinct()
+    return chunks.where(known).join(hit, "chunk", "left_semi").unionByName(chunks.where(~known))
 
 
 def compact_rows(reached: DataFrame, total: int, order: str = "edge") -> tuple[DataFrame, bool]:
-    """(edge, row) of reached edges, and whether the compact form pays: fewer than half are reached."""
+    """(edge, row) of reached edges, and whether the compact form pays (``should_compact``)."""
     from ..plans.ids import numbered
 
-    return numbered(reached.select(order).distinct(), [order], "row"), reached.select(order).distinct().count() * 2 < total
+    rows = reached.select(order).distinct()
+    n = rows.count()
+    pays = rows.sparkSession.range(1).select(should_compact(F.lit(total).cast("long"), F.lit(n).cast("long"))).first()[0]
+    return numbered(rows, [order], "row"), pays
 
 
 def texture_bytes(rows: Column, width: int = 4096, per: int = 8) -> Column:
     return F.ceil(rows / width) * width * per
 
 
-def meeting_flash(cursors: DataFrame, meeting: int) -> DataFrame:
-    """Cursor rows (t, cursor, playing) at which the meeting event is passed forwards while playing."""
-    before = F.lag("cursor").over(Window.orderBy("t"))
+def meeting_flash(cursors: DataFrame, meeting: int, *by: str) -> DataFrame:
+    """Cursor rows (t, cursor, playing) of each viewer (``by``) at which the meeting event is passed forwards while playing."""
+    before = F.lag("cursor").over(Window.partitionBy(*by).orderBy("t"))
     return cursors.withColumn("before", before).where((F.col("before") < meeting) & (F.col("cursor") >= meeting) & F.col("playing"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, sampler, search, validate
+from ..operators import joins, replay, sampler, search, validate
 from ..sources.tables import GRAPH_SQL, arcs, edges, nodes, table
 from .q_etl import WAYS_SQL, ways
 from .q_graph import _COMPONENTS, store
@@ -119,8 +119,8 @@ def range_chunk_lookup(spark, sf_dir):
 def chunk_needed(spark, sf_dir):
     e = edges(spark, sf_dir)
     chunks = spark.range((e.count() + 49) // 50).select(F.col("id").alias("chunk"), (F.col("id") * 50).alias("first"), (F.col("id") * 50 + 49).alias("last"))
-    hit = joins.range_lookup(e.where("category = 0 AND direction = 1"), chunks, "edge", "first", "last", 50)
-    return hit.select("chunk").distinct()
+    reached = e.where("category = 0 AND direction = 1")
+    return replay.chunks_needed(chunks, reached, reached.limit(0), 50).select("chunk")
 
 
 # ---------------------------------------------------------------- semi, anti and set operations
@@ -140,10 +140,12 @@ def restriction_resolution(spark, sf_dir):
     from ..operators import compile as ways_of
     from .ids import numbered
 
-    kept = numbered(ways_of.selected(ways(spark, sf_dir)).select("way_id"), ["way_id"], "dense")
-    m = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("way_id"))
-    found = m.join(kept, "way_id", "left").groupBy("id").agg(F.count(F.lit(1)).alias("members"), (F.count(F.lit(1)) - F.count("dense")).alias("unresolved"), F.coalesce(F.min("dense"), F.lit(-1)).alias("first"), F.count("dense").alias("k"))
-    return found.where("k > 0").drop("k")
+    kept = numbered(ways_of.selected(ways(spark, sf_dir)).select("way_id"), ["way_id"], "edge").select("way_id", "edge")
+    member = F.struct(F.lit("w").alias("type"), F.col("o_orderkey").alias("ref"), F.lit("via").alias("role"))
+    restrictions = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(member).alias("members"))
+    nowhere = kept.limit(0).select(F.col("way_id").alias("ref"), F.col("edge").alias("node"))
+    members, _ = ways_of.resolve_members(ways_of.restrictions_kept(restrictions, kept), kept, nowhere)
+    return members.groupBy("id").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("dense").isNull()).alias("unresolved"), F.coalesce(F.min("dense"), F.lit(-1)).alias("first"))
 
 
 @query("SELECT c_nationkey AS key, 'both' AS kind FROM customer UNION SELECT s_nationkey, 'both' FROM supplier")

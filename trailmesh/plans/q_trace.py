@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..operators import joins, replay, sampler, trace
 from ..sources.tables import TRACE_SQL, events_trace, table
+from ..streaming.replay import latest_results
 from .registry import query
 
 _COUNTS = "sum((kind = 0)::INTEGER)::BIGINT AS settled, sum((kind = 1)::INTEGER)::BIGINT AS examined, sum((kind = 2)::INTEGER)::BIGINT AS improved"
@@ -109,9 +110,8 @@ def frame_percentiles(spark, sf_dir):
 
 @query("WITH l AS (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS x FROM events), v AS (SELECT a.user_id, a.event_id, a.event_type, list(b.event_type) AS before FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) a JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) b ON a.user_id = b.user_id AND b.n BETWEEN a.n - 2 AND a.n - 1 GROUP BY ALL) SELECT count(*) AS repeats FROM v WHERE list_contains(before, event_type)")
 def recent_window_violations(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, -1)
-    e = table(spark, sf_dir, "events").withColumn("before", F.collect_list("event_type").over(w))
-    return e.where(F.array_contains("before", F.col("event_type"))).agg(F.count(F.lit(1)).alias("repeats"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return sampler.repeats(e, "event_type", "event_id", 2, ("user_id",)).agg(F.count(F.lit(1)).alias("repeats"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 12")
@@ -123,13 +123,14 @@ def last_n_attempts(spark, sf_dir):
 
 @query("SELECT user_id, max(event_id) AS request_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stale_results(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("request_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), F.col("event_type").alias("value"))
+    return latest_results(e).select(F.col("client").alias("user_id"), "request_id", F.col("value").alias("event_type"))
 
 
 @query("WITH c AS (SELECT event_id AS t, user_id, value AS cursor, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, t FROM c WHERE before < 50 AND cursor >= 50")
 def meeting_flash(spark, sf_dir):
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").withColumn("before", before).where("before < 50 AND value >= 50").select("user_id", F.col("event_id").alias("t"))
+    cursors = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("t"), F.col("value").alias("cursor"), F.lit(True).alias("playing"))
+    return replay.meeting_flash(cursors, 50, "user_id").select("user_id", "t")
 
 
 @query("WITH t AS (SELECT event_id, user_id, (epoch_us(ts) // 1000)::BIGINT AS ms FROM events) SELECT user_id, count(*) AS n, sum((gap IS NULL OR gap > 500)::INTEGER)::BIGINT AS bursts FROM (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM t) GROUP BY user_id")
@@ -141,11 +142,14 @@ def throttle_bursts(spark, sf_dir):
     return t.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("gap").isNull() | (F.col("gap") > 500)).cast("long")).alias("bursts"))
 
 
-@query("WITH r AS (SELECT user_id, event_id, event_id % 5 * 100 + 50 AS bytes, row_number() OVER w AS n, sum(event_id % 5 * 100 + 50) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC)) SELECT user_id, event_id FROM r WHERE n <= 2 AND s <= 600")
+@query("""WITH r AS (SELECT user_id, event_id, event_id % 5 * 100 + 50 AS bytes FROM events),
+c AS (SELECT user_id, max(event_id) AS event_id, arg_max(bytes, event_id) AS held FROM r GROUP BY user_id),
+f AS (SELECT user_id, max(r.event_id) AS event_id FROM r JOIN c USING (user_id) WHERE r.event_id < c.event_id AND r.bytes + held <= 600 GROUP BY user_id)
+SELECT user_id, event_id FROM c UNION ALL SELECT user_id, event_id FROM f""")
 def lru_keep(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 5 * 100 + 50).alias("bytes"))
-    return e.withColumns({"n": F.row_number().over(w), "s": F.sum("bytes").over(w)}).where("n <= 2 AND s <= 600").select("user_id", "event_id")
+    """Each user's current release and the latest other one that fits beside it."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("name"), F.col("event_id").alias("used"), (F.col("event_id") % 5 * 100 + 50).alias("bytes"))
+    return sampler.kept_releases(e, 600, 2, ("user_id",)).select("user_id", F.col("name").alias("event_id"))
 
 
 @query(f"WITH {TRACE_SQL}, e AS (SELECT DISTINCT id FROM trace WHERE kind = 2) SELECT id, row_number() OVER (ORDER BY id) - 1 AS row FROM e")

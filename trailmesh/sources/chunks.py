@@ -21,20 +21,21 @@ def edge_chunks(edges: DataFrame, size: int) -> DataFrame:
 
 def read_edge_chunks(chunks: DataFrame) -> DataFrame:
     """edge, u, v, length_cm, direction, category: u is the running sum of its differences, v = u + rel."""
+    return _edge_rows(chunks).drop("chunk")
+
+
+def _edge_rows(chunks: DataFrame) -> DataFrame:
     rows = chunks.select("chunk", "start", F.posexplode(F.arrays_zip(*_COLUMNS)).alias("p", "r")).select("chunk", (F.col("start") + F.col("p")).alias("edge"), "r.*")
     u = F.sum("d_from").over(Window.partitionBy("chunk").orderBy("edge").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("u", u).select("edge", "u", (F.col("u") + F.col("rel")).alias("v"), "length_cm", "direction", "category")
+    return rows.withColumn("u", u).select("chunk", "edge", "u", (F.col("u") + F.col("rel")).alias("v"), "length_cm", "direction", "category")
 
 
 def edge_chunk_violations(chunks: DataFrame, edges: int, nodes: int) -> DataFrame:
     """chunk, why: chunks beyond the edges or with columns of unequal size, and roads to nodes or of directions that aren't."""
     uneven = F.exists(F.array(*(F.size(c) for c in _COLUMNS)), lambda n: n != F.col("count"))
     layout = chunks.where((F.col("start") + F.col("count") > edges) | uneven).select("chunk", F.lit("layout").alias("why"))
-    rows = read_edge_chunks(chunks.where(~uneven))
-    wrong = rows.where(f"u < 0 OR v < 0 OR u >= {nodes} OR v >= {nodes} OR direction > 2")
-    starts = chunks.select("chunk", "start", "count")
-    at = wrong.join(starts, (F.col("edge") >= F.col("start")) & (F.col("edge") < F.col("start") + F.col("count"))) if wrong.take(1) else wrong.select(F.lit(0).cast("long").alias("chunk"))
-    return layout.unionByName(at.select("chunk", F.lit("connection").alias("why")).distinct())
+    wrong = _edge_rows(chunks.where(~uneven)).where(f"u < 0 OR v < 0 OR u >= {nodes} OR v >= {nodes} OR direction > 2")
+    return layout.unionByName(wrong.select("chunk", F.lit("connection").alias("why")).distinct())
 
 
 def geometry_chunks(shapes: DataFrame, edges: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

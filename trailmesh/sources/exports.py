@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .store import _files, _write_text
 
 SCALE = 100_000  # units of a degree
 SIDE_ROWS = 100_000  # rows of a side table's file, at most
-LEASE = "_lease"
+LEASE, RECORD = "_lease", "_SUCCESS"
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -90,8 +91,14 @@ def write_report(spark: SparkSession, path: str, report: dict) -> None:
 
 # ---------------------------------------------------------------- life of record folders
 def lease(spark: SparkSession, path: str, holder: str) -> None:
-    """Keep a record's folder from sweep() until the holder releases it; one holder at a time."""
+    """Keep a record's folder from sweep() until the holder releases it; one holder at a time. Raises if there is no record (any more)."""
+    fs, p = _files(spark, f"{path}/{RECORD}")
+    if not fs.exists(p):
+        raise ValueError(f"no record at {path}")
     _write_text(spark, f"{path}/{LEASE}", holder)
+    if not fs.exists(p):  # swept meanwhile, so the lease stands in an empty folder
+        fs.delete(p.getParent(), True)
+        raise ValueError(f"no record at {path}")
 
 
 def release(spark: SparkSession, path: str) -> None:
@@ -100,12 +107,24 @@ def release(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession, root: str) -> list[str]:
-    """Delete the record folders under root that nobody holds; their names."""
+    """Delete the record folders under root that nobody holds; their names.
+
+    A record is a folder whose write was committed (RECORD); others stay. A folder is first renamed aside and looked at
+    again: a lease that was taken meanwhile keeps it.
+    """
     fs, p = _files(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     gone = []
     for at in fs.listStatus(p):
-        jvm = spark.sparkContext._jvm
-        if at.isDirectory() and not fs.exists(jvm.org.apache.hadoop.fs.Path(at.getPath(), LEASE)):
-            fs.delete(at.getPath(), True)
-            gone.append(at.getPath().getName())
+        here = at.getPath()
+        if not at.isDirectory() or here.getName().startswith(".") or not fs.exists(path(here, RECORD)) or fs.exists(path(here, LEASE)):
+            continue
+        aside = path(here.getParent(), f".swept-{uuid.uuid4().hex}")
+        if not fs.rename(here, aside):
+            continue
+        if fs.exists(path(aside, LEASE)):
+            fs.rename(aside, here)
+            continue
+        fs.delete(aside, True)
+        gone.append(here.getName())
     return sorted(gone)
