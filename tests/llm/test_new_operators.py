@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmesh.llm import dominance, exactsearch, vectorcodes
+from trailmesh.llm import dominance, exactsearch, htmlextract, vectorcodes
 
 BIG = float("inf")
 
@@ -188,3 +188,30 @@ def test_bounds_hold_and_prune():
     reach, score = exactsearch.greatest_scores(v[:50], pivots, bounds), v[:50] @ v.T
     assert (reach >= score).all() and (reach < np.sort(score, 1)[:, [-5]]).mean() > 0.5
 
+
+
+# ---------------------------------------------------------------- 8 names that classes confirm
+@pytest.mark.parametrize("mark", ['id="search"', 'id="notices"', 'id="form"', 'id="related"', 'id="social"', 'id="newsletter"', 'class="side"', 'class="search"'])
+def test_names_within_an_article_mark_it_only_if_the_host_confirms(spark, mark):
+    part = f"<section {mark}><h2>About</h2><p>own words</p></section>"
+    page = lambda k, x: f"<body><nav><a>menu</a></nav><article><h1>Title {k}</h1><p>body {k}</p>{x}<p>end {k}</p></article><footer>foot</footer></body>"
+    rows = [(k, "http://alone.com/", page(k, part)) for k in range(1)]
+    rows += [(100 + k, "http://once.com/", page(k, part if k == 3 else "")) for k in range(8)]
+    rows += [(200 + k, "http://each.com/", page(k, part.replace("own words", f"words {k * k}"))) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in htmlextract.extract_main(df).collect()}
+    assert got[0] == ["Title 0", "body 0", "About", "own words", "end 0"]
+    assert got[103] == ["Title 3", "body 3", "About", "own words", "end 3"] and got[101] == ["Title 1", "body 1", "end 1"]
+    assert all(got[200 + k] == [f"Title {k}", f"body {k}", f"end {k}"] for k in range(8))
+
+
+@pytest.mark.parametrize("mark", ['class="reader-comments"', 'class="commentlist"', 'id="disqus_thread"', 'id="comments"', 'class="comment-list section"', 'role="comments"', 'class="user-comments"'])
+def test_comments_within_an_article_go(mark):
+    assert htmlextract.main_text(f"<article><h1>T</h1><p>a</p><div {mark}><p>nice</p></div><p>b</p></article>") == "T\na\nb"
+
+
+def test_loose_names_in_one_another_are_linear():
+    deep = '<article>' + '<div id="search">' * 20_000 + "x" + "</div>" * 20_000 + "</article>"
+    assert htmlextract.main_text(deep) == "x"
+    own = htmlextract.parse('<article><div id="search"><div id="form">x').loose[1][0]
+    assert htmlextract.main_text(deep, frozenset([own])) == ""

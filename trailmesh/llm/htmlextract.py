@@ -31,12 +31,14 @@ _PARTS = frozenset("article main h1 nav footer".split())
 _HARD = frozenset("aside button dialog footer head header iframe input menu nav noscript script select style svg template textarea title".split())
 _CHROME = frozenset("aside button dialog footer head iframe input menu nav noscript script select style svg template textarea title".split())
 #: Whole words of class, id and role that mark what isn't the article; parts of a compound count if all of them are of these or neutral.
-_CHROME_WORD = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|form|masthead|menu|modal|nav\w*|newsletter|notices?|notification|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widgets?|contentinfo|complementary|search", re.I)
+_CHROME_WORD = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|disqus|consent|cookies?|disclaimer|footer|form|masthead|menu|modal|nav\w*|newsletter|notices?|notification|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widgets?|contentinfo|complementary|search", re.I)
 #: Words of an article element that is a reader's comment.
-_COMMENT_WORD = re.compile(r"comments?|repl(?:y|ies)|responses?", re.I)
+_COMMENT_WORD = re.compile(r"comments?|commentlist|disqus|repl(?:y|ies)|responses?", re.I)
+#: Words that a part of an article is named by as well: in an article they mark only what the host's classes confirm.
+_LOOSE_WORD = re.compile(r"forms?|menu|notices?|search|side|social", re.I)
 #: The same outside an article, whose own header belongs to it.
 _HEADER_WORD = re.compile(r"header|topbar|top-bar|branding|logo", re.I)
-_NEUTRAL = re.compile(r"site|page|global|main|top|bottom|left|right|primary|secondary|bar|box|list|links?|buttons?|icons?|items?|area|panel|block|inner|posts?|articles?|stories|reply|signup|\d+", re.I)
+_NEUTRAL = re.compile(r"site|page|global|main|top|bottom|left|right|primary|secondary|bar|box|list|reader|user|visitor|thread|section|links?|buttons?|icons?|items?|area|panel|block|inner|posts?|articles?|stories|reply|signup|\d+", re.I)
 #: Elements that an opening tag of the same kind ends.
 _SAME = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _FENCE = frozenset(["ul", "ol", "table", "dl", "article", "main", "section", "div", "body"])
@@ -44,14 +46,24 @@ _FENCE = frozenset(["ul", "ol", "table", "dl", "article", "main", "section", "di
 
 @dataclass
 class Page:
-    """Blocks of text in page order: (token, text, whether within an article, whether chrome, whether what is around the article is); tokens in page order."""
+    """Blocks of text in page order: (token, text, whether within an article, whether chrome, whether what is around the article is, the
+    loosely named element around it); tokens in page order; loosely named elements: (token, the one around it), at 0 none."""
 
-    blocks: list[tuple[int, str, bool, bool, bool]] = field(default_factory=list)
+    blocks: list[tuple[int, str, bool, bool, bool, int]] = field(default_factory=list)
     tokens: list[int] = field(default_factory=list)
+    loose: list[tuple[int, int]] = field(default_factory=lambda: [(0, 0)])
+
+    def templated(self, template: frozenset[int]) -> list[bool]:
+        """Of each loosely named element, whether it or one around it belongs to the template."""
+        found = [False]
+        for token, above in self.loose[1:]:
+            found.append(found[above] or token in template)
+        return found
 
 
 class _Open(NamedTuple):
-    """An open element: its path as a number, whether in an article, whether chrome, whether what is around its article is, the form it is in."""
+    """An open element: its path as a number, whether in an article, whether chrome, whether what is around its article is, the form it is in,
+    the loosely named element that it is or is in, and its own token as such (0 without one)."""
 
     tag: str
     path: int
@@ -59,6 +71,8 @@ class _Open(NamedTuple):
     chrome: bool
     around: bool
     form: int
+    loose: int = 0
+    own: int = 0
 
 
 @lru_cache(10_000)
@@ -83,20 +97,33 @@ def _comment(attributes: str) -> bool:
     return False
 
 
+def _marked(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """(whether words mark the element as chrome, the words that may do so if the host's classes confirm it).
+
+    In an article an id is an anchor that any heading may have, so only words of comments mark it at once.
+    """
+    loose = ""
+    for name, value in _named(attributes):
+        if name == "hidden":
+            return True, ""
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            for word in value.split():
+                if _marks(word, inside):
+                    parts = [x for x in re.split("[-_]+", word) if x]
+                    comment = any(_COMMENT_WORD.fullmatch(x) for x in parts)
+                    if not inside or comment or name != "id" and not _LOOSE_WORD.fullmatch(word):
+                        return True, ""
+                    loose = loose or word.lower()
+    return False, loose
+
+
 @lru_cache(100_000)
 def _path(above: int, tag: str) -> int:
     return _number(f"{above}/{tag}")
 
 
-def _chrome(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _CHROME or tag == "header" and not inside:
-        return True
-    for name, value in _named(attributes):
-        if name == "hidden":
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(_marks(word, inside) for word in value.split()):
-            return True
-    return False
+def _chrome(tag: str, inside: bool) -> bool:
+    return tag in _CHROME or tag == "header" and not inside
 
 
 def parse(source: str) -> Page:
@@ -119,14 +146,16 @@ def parse(source: str) -> Page:
             if text:
                 x = stack[-1] if stack else top
                 token = _number(f"{x.path}>{text}")
-                page.blocks.append((token, text, x.inside, x.chrome, x.around))
+                page.blocks.append((token, text, x.inside, x.chrome, x.around, x.loose))
                 forms.append(x.form)
                 if not x.inside:
                     page.tokens.append(token)
 
     def close(to: int):
-        for x in stack[to:]:
+        for x in reversed(stack[to:]):
             opened[x.tag] -= 1
+            if x.own:
+                page.tokens.append(_path(x.own, "end"))
         del stack[to:]
 
     n = len(source)
@@ -186,17 +215,26 @@ def parse(source: str) -> Page:
             chrome = True
         if tag == "form":
             around_form[at], form = form, at
-        stack.append(_Open(tag, _path(above.path, tag), above.inside or part, chrome or _chrome(tag, m[3], above.inside), around, form))
+        marked, word = _marked(tag, m[3], above.inside)
+        path = _path(above.path, tag)
+        # a loosely named element is a token of its own, at its begin and at its end
+        own = _path(path, f"#{word}") if word else 0
+        if own:
+            page.loose.append((own, above.loose))
+        stack.append(_Open(tag, path, above.inside or part, chrome or marked or _chrome(tag, above.inside), around, form, len(page.loose) - 1 if own else above.loose, own))
         opened[tag] += 1
-        page.tokens.append(stack[-1].path)
+        page.tokens.append(path)
+        if own:
+            page.tokens.append(own)
     flush()
+    close(0)
     for f, outer in reversed(around_form.items()):
         if f in whole:
             whole.add(outer)
     for f, outer in around_form.items():
         if outer not in whole:
             whole.discard(f)
-    page.blocks = [(token, text, inside, chrome or f not in whole, around) for (token, text, inside, chrome, around), f in zip(page.blocks, forms, strict=True)]
+    page.blocks = [(token, text, inside, chrome or f not in whole, around, loose) for (token, text, inside, chrome, around, loose), f in zip(page.blocks, forms, strict=True)]
     return page
 
 
@@ -205,7 +243,7 @@ def _number(token: str) -> int:
 
 
 def page_tokens(source: str) -> list[int]:
-    """The page's tokens in order: opening tags by path, and texts by path outside an article."""
+    """The page's tokens in order: opening tags by path, loosely named elements of an article by path and name, and texts by path outside an article."""
     return parse(source).tokens
 
 
@@ -246,13 +284,16 @@ def gaps_of(tokens: list[int], level: dict[int, int], sizes: dict[int, int]) ->
 def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
     """Slots of the template that hold the article, in page order.
 
-    Chrome is left out. Within an article (or main) element everything else is the text;
+    Chrome is left out. Within an article (or main) element everything else is the text, but for elements
+    that a word names as chrome or as any part of an article may be, if they belong to the host's template;
     on pages without one, texts that belong to the host's template are left out too, unless
     nothing else is there (pages that are copies of each other have nothing but template).
     Articles in elements that words mark as chrome (cards of related articles, or a wrapper's
     loose word) are the text if no other article is there and they have more text than the rest.
     """
-    found = [b for b in parse(source).blocks if not b[3]]
+    page = parse(source)
+    gone = page.templated(template)
+    found = [b for b in page.blocks if not b[3] and not gone[b[5]]]
     article = [b for b in found if b[2] and not b[4]]
     if not article:
         wrapped, article = [b for b in found if b[2]], [b for b in found if not b[2]]
