@@ -598,3 +598,22 @@ def test_sweep_leaves_what_is_no_record(spark, tmp_path):
     assert exports.sweep(spark, str(tmp_path)) == ["old"] and (tmp_path / "notes" / "a.txt").exists()
     with pytest.raises(ValueError, match="no record"):
         exports.lease(spark, f"{tmp_path}/old", "me")
+
+
+@pytest.mark.parametrize("in_task", [0, 40, 150])
+def test_leaves_selected_by_histograms_equal_ranked_ones(spark, in_task):
+    rng = random.Random(in_task)
+    rows = [(k, rng.choice([0.5, rng.random() * 9, rng.random() * 1e-7]), rng.choice([2.0, rng.gauss(0, 3)])) for k in range(700)]
+    points = spark.createDataFrame(rows, "id long, x double, y double").repartition(4)
+    want = {(r["id"], r["leaf"]) for r in replay.spatial_leaves(points, 30).collect()}
+    got = replay.spatial_leaves(points, 30, in_task=in_task)
+    assert {(r["id"], r["leaf"]) for r in got.collect()} == want and len(want) == 700
+
+
+def test_kth_rows_of_many_leaves(spark):
+    rng = random.Random(9)
+    rows = [(leaf, rng.choice([0, 0, rng.randrange(10**9)]), rng.randrange(10**12)) for leaf in range(5) for _ in range(400 * (leaf + 1))]
+    df = spark.createDataFrame(rows, "leaf long, key long, id long").repartition(3)
+    wanted = [(leaf, 1 + 97 * leaf) for leaf in range(5)]
+    got = replay.kth_rows(df, spark.createDataFrame(wanted, "leaf long, k long"), least=3, bins=8)
+    assert {(r["leaf"], r["cut"]["key"], r["cut"]["id"]) for r in got.collect()} == {(leaf, *sorted((float(k), i) for v, k, i in rows if v == leaf)[n - 1]) for leaf, n in wanted}

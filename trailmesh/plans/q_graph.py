@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..model import REQUESTS, Algorithm
 from ..operators import graph, kernels, replay, search, trace
 from ..sources.tables import EDGES_SQL, GRAPH_SQL, NODES_SQL, SEED_SQL, arcs, edges, nodes
+from .fixpoint import settle
 from .q_etl import TIME_SQL
 from .registry import query
 
@@ -331,7 +332,7 @@ _REACHED = "FROM ends JOIN log ON stop IS NULL OR pos < stop OR (pos = stop AND
 @query(f"{_EVENTS} SELECT goal, event::BIGINT AS event, kind, id {_REACHED}")
 def dijkstra_events(spark, sf_dir):
     """The whole event log of each search."""
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"]))
+    r = settle(store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra"])))
     return search.trace_rows(r).join(r.select("query_id", "goal"), "query_id").select("goal", "event", "kind", "id")
 
 
@@ -356,7 +357,7 @@ def shortest_route_edges(spark, sf_dir):
 @query(f"{_D}, {_spread('d', 'seed')}, {_EXPECTED} SELECT goal, dist AS summed FROM wanted JOIN d ON node = goal")
 def route_cost_check(spark, sf_dir):
     """Lengths of the routes' edges, looked up and summed, against the distances."""
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["astar"]))
+    r = settle(store(spark, sf_dir).search(journeys(spark, sf_dir, ["astar"])))
     steps = search.route_steps(r).join(edges(spark, sf_dir), "edge").groupBy("query_id").agg(F.sum("length_cm").alias("summed"))
     return r.where("cost IS NOT NULL").join(steps, "query_id", "left").select("goal", F.coalesce("summed", F.lit(0)).alias("summed"))
 
@@ -371,7 +372,7 @@ _NAMED = "alg AS (SELECT unnest({names}) AS algorithm)"
   CASE WHEN dist IS NULL OR goal = (SELECT node FROM seed) THEN 0 ELSE 1 END::BIGINT AS planted FROM alg, wanted LEFT JOIN d ON node = goal""")
 def route_legality_violations(spark, sf_dir):
     """Illegal steps of each search's route, and those found once its last step is planted against the edge it names."""
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, _ALL))
+    r = settle(store(spark, sf_dir).search(journeys(spark, sf_dir, _ALL)))
     turned = F.transform("route_edges", lambda e, i: F.when(i == F.size("route_edges") - 1, F.lit(-1).cast("long")).otherwise(e))
     wrong = r.withColumn("route_edges", turned)
     both = [search.route_violations(x, edges(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias(name)) for x, name in ((r, "violations"), (wrong, "planted"))]
@@ -382,7 +383,7 @@ def route_legality_violations(spark, sf_dir):
 @query(f"{_D}, {_spread('d', 'seed')}, {_EXPECTED} SELECT goal, coalesce(dist, -1) AS cost, 1::BIGINT AS costs, 2::BIGINT AS planted FROM wanted LEFT JOIN d ON node = goal")
 def audit_cost_agreement(spark, sf_dir):
     """Different costs of the optimal searches for each goal, and those found once one of them is planted a centimetre longer."""
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra", "bidirectional", "astar", "bidirectional-astar", "alt"]))
+    r = settle(store(spark, sf_dir).search(journeys(spark, sf_dir, ["dijkstra", "bidirectional", "astar", "bidirectional-astar", "alt"])))
     r = r.select("start", "goal", "algorithm", F.coalesce("cost", F.lit(-1)).alias("cost"))
     off = r.withColumn("cost", F.col("cost") + (F.col("algorithm") == "alt").cast("long"))
     bad = [search.agreement(x).select("goal", F.col("costs").alias(name)) for x, name in ((r, "costs"), (off, "planted"))]
@@ -397,7 +398,7 @@ _ORDERED = ["dijkstra", "astar", "bidirectional", "greedy", "breadth-first"]
 SELECT algorithm, goal, 0::BIGINT AS violations, 1::BIGINT AS planted FROM alg, four""")
 def audit_trace_order(spark, sf_dir):
     """Events of each trace out of order, and those found once its start is planted as settled again at the end."""
-    r = store(spark, sf_dir).search(journeys(spark, sf_dir, _ORDERED, 4))
+    r = settle(store(spark, sf_dir).search(journeys(spark, sf_dir, _ORDERED, 4)))
     t = search.trace_rows(r)
     again = r.select("query_id", (F.size("words") + 1).cast("long").alias("event"), F.lit(0).alias("kind"), F.col("start").alias("id"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("word"))
     both = [trace.trace_violations(x, arcs(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias(name)) for x, name in ((t, "violations"), (t.unionByName(again), "planted"))]
