@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmesh.llm import dominance, exactsearch, htmlextract, vectorcodes
+from trailmesh.llm import dominance, exactsearch, htmlextract, ngramjoin, vectorcodes
+
+from .test_operators import brute_groups
 
 BIG = float("inf")
 
@@ -215,3 +217,48 @@ def test_loose_names_in_one_another_are_linear():
     assert htmlextract.main_text(deep) == "x"
     own = htmlextract.parse('<article><div id="search"><div id="form">x').loose[1][0]
     assert htmlextract.main_text(deep, frozenset([own])) == ""
+
+
+# ---------------------------------------------------------------- 7 near misses
+def near_misses(n, seed, slots, own, size=60):
+    """Texts of the same words with a few of their own, most of them near to each other but not linked."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{i}" for i in range(size)]
+        for j, at in enumerate(rng.choice(slots, int(rng.integers(0, own + 1)), replace=False)):
+            words[int(at) * (size // slots) + 1] = f"o{k if rng.random() < 0.7 else k % 5}x{j}"
+        rows.append((k, " ".join(words[: size - int(rng.integers(0, 4))])))
+    return rows
+
+
+@pytest.mark.parametrize("seed,slots,own,percent,k", [(1, 20, 3, 85, 4), (2, 12, 2, 80, 5)])
+def test_near_misses_equal_brute_force(spark, seed, slots, own, percent, k):
+    rows = near_misses(150, seed, slots, own) + [(1000 + i, t.replace("w", "q")) for i, t in near_misses(60, seed + 9, slots, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_groups(rows, k, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.ngram_join(docs, k, percent, hot=seed - 1).collect()}
+    assert got == want
+    assert 1 < len({c for _, c in want.values()}) < len(want)
+
+
+def test_near_misses_are_not_compared_pair_by_pair(spark, monkeypatch):
+    made, write = {}, ngramjoin.Workspace.write
+
+    def counted(self, df, name, *by):
+        out = write(self, df, name, *by)
+        if name in ("rest", "family-pairs", "buckets"):
+            made[n, name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngramjoin.Workspace, "write", counted)
+    n = 800
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(200)]
+        for j, at in enumerate(rng.choice(48, 3, replace=False)):
+            words[int(at) * 4 + 2] = f"o{i}x{j}"
+        rows.append((i, " ".join(words)))
+    ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert made[n, "rest"] + made[n, "family-pairs"] < 0.01 * n * (n - 1) / 2 and made[n, "buckets"] < 512 * n

@@ -15,11 +15,25 @@ overlap with any set it links with.
 
 The argument on pairs needs two shared tokens; sets that differ and link share at least
 T / (1 - T) of them. Sets that are equal are one class from the start.
+
+Where more than HOT sets of a key are in other components than its largest, they aren't compared pair by
+pair: sets that are joined by such keys are a family, and a set x of it is told by D(x), its difference
+to the family's core (the tokens of most members). With d = |D(x)| and the percentage P,
+
+    x and y link if and only if 2 (100 + P) |D(x) & D(y)| >= G(x) + G(y), G = (100 + P) d - (100 - P) n.
+
+As the need is a sum of what each set brings, one star to the member of the least G finds all
+components of links that need no common difference; the others share as many differences as they
+need, and combinations of these are indexed, longer ones where the family's differences are few.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +48,8 @@ _SALT = 0x5851F42D4C957F2D
 FIRST = 8  # smallest pair keys that go with a row, to meet two sets under one of the keys that they share
 _FLUSH = 2_000_000  # tokens gathered in a task before they are dealt out
 PART = 1_000_000  # tokens of a part that is counted in one task, about
+HOT = 32  # sets of one key beside its largest component that are compared pair by pair
+COMBINATIONS, LONGEST = 512, 10  # combinations of differences that a set of a family is indexed by, on average; tokens of one
 
 
 def _tokens(rows: DataFrame, k: int, bits: int) -> DataFrame:
@@ -211,31 +227,117 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     return both.where(rare | common).select("a", "b")  # no distinct: it would keep a hot first set in one task
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection. Only sets of rows in pairs are made, from their texts."""
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    ids = work.write(ends.join(reps, "v").select("rep").distinct(), f"{name}-ids")
-    wanted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["id"] == ids["rep"], "left_semi")
+def _sets(wanted: DataFrame, rows: DataFrame, reps: DataFrame, k: int, work: Workspace, name: str) -> DataFrame:
+    """(v, tokens) of the wanted sets (v), made from the texts of their rows."""
+    ids = work.write(wanted.join(reps, "v").select("rep").distinct(), f"{name}-ids")
+    some = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["id"] == ids["rep"], "left_semi")
 
     def sets(texts: list[str]):
         made = [shingles(t, k) for t in texts]
         return [_hash(h, 0) for h in made], [h.view(np.int64) for h in made]
 
-    made = wanted.select(made_by(lambda: sets, {"v": "long", "tokens": "array<long>"}, F.col("text")).alias("x")).select("x.*")
-    made = work.write(made.dropDuplicates(["v"]), f"{name}-sets")
+    made = some.select(made_by(lambda: sets, {"v": "long", "tokens": "array<long>"}, F.col("text")).alias("x")).select("x.*")
+    return work.write(made.dropDuplicates(["v"]), f"{name}-sets")
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link, by exact intersection. Only sets of rows in pairs are made, from their texts."""
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    made = _sets(ends, rows, reps, k, work, name)
     left = made.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
     right = made.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
     both = pairs.join(left, "b").join(right, "a").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("o"))
     return both.where(F.lit(100).cast("long") * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _combined(batches, percent: int):
+    """(bucket, level, v, g, c, far): combinations of each set's differences, in the order of the family.
+
+    A pair that needs ``level`` of them is found by combinations of that many of all differences; one that needs more than the
+    family's longest, by combinations of its first ones: all but as many as it needs beyond.
+    """
+    scale = 2 * (100 + percent)
+    for b in batches:
+        out = {"bucket": [], "level": [], "v": [], "g": [], "c": [], "far": []}
+        for fam, v, g, c, far, other, longest, tokens in zip(*(b.column(x).to_pylist() for x in ("fam", "v", "g", "c", "far", "other", "longest", "tokens")), strict=True):
+            least = max(1, -(-(g + other) // scale))  # differences that any pair of this set shares, if it links
+            for level in range(min(least, longest), longest + 1):
+                some = tokens if level < longest else tokens[: len(tokens) - max(least, level) + level]
+                if len(tokens) < max(least, level) or len(some) < level:
+                    continue
+                found = np.array(list(combinations(some, level)), np.int64).view(np.uint64)
+                h = np.full(len(found), (fam ^ level) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+                for j in range(level):
+                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ found[:, j])
+                out["bucket"] += h.view(np.int64).tolist()
+                for name, x in (("level", level), ("v", v), ("g", g), ("c", c), ("far", far)):
+                    out[name] += [x] * len(found)
+        kinds = {"level": pa.int32(), "far": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(name, pa.int64())) for name, x in out.items()], list(out))
+
+
+def _family_links(hot: DataFrame, labels: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """Links (a, b) that join the components of the sets (key, v) of hot keys: as many as join what is linked, not all of them."""
+    ends = hot.groupBy("key").agg(F.min("v").alias("b"))
+    fam = components(hot.join(ends, "key").select(F.col("v").alias("a"), "b"), work, "f").select("v", F.col("c").alias("fam"))
+    sets = work.write(_sets(fam.select("v"), rows, reps, k, work, "crowd").join(fam, "v").join(labels, "v", "left").select("v", "fam", F.coalesce("c", "v").alias("c"), "tokens"), "family-sets")
+    size = sets.groupBy("fam").agg(F.count(F.lit(1)).alias("m"))
+    often = sets.select("fam", F.explode("tokens").alias("t")).groupBy("fam", "t").agg(F.count(F.lit(1)).alias("x")).join(size, "fam").where(F.col("x") * 2 > F.col("m"))
+    cores = work.write(often.groupBy("fam").agg(F.collect_list("t").alias("core")), "cores")  # twice a mean set at most
+    small = (cores.agg(F.sum(F.size("core"))).first()[0] or 0) <= BROADCAST_IDS
+    apart = sets.join(F.broadcast(cores) if small else cores, "fam", "left")
+    core = F.coalesce("core", F.array().cast("array<long>"))
+    differences = F.concat(F.array_except("tokens", core), F.array_except(core, "tokens"))
+    g = F.lit(100 + percent).cast("long") * F.size("ds") - F.lit(100 - percent).cast("long") * F.col("n")
+    told = apart.select("fam", "v", "c", F.size("tokens").alias("n"), differences.alias("ds")).withColumn("g", g)
+    told = work.write(told.select("fam", "v", "c", "g", "ds"), "differences")
+
+    # a star for the links that need nothing in common
+    least = told.groupBy("fam").agg(F.min(F.struct("g", "v")).alias("x")).select("fam", F.col("x.g").alias("low"), F.col("x.v").alias("centre"))
+    told = told.join(least, "fam").withColumn("far", (F.col("g") + F.col("low") > 0) & (F.col("v") != F.col("centre")))
+    star = told.where(~F.col("far") & (F.col("v") != F.col("centre"))).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
+
+    # differences that two sets can have in common, rare ones first
+    each = told.select("fam", "v", F.explode("ds").alias("t"))
+    shared = each.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("x")).where("x > 1")
+    tokens = each.join(shared, ["fam", "t"]).groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda z: z["t"]).alias("tokens"))
+    told = work.write(told.drop("ds").join(tokens, "v").select("fam", "v", "c", "g", "low", "far", "tokens"), "told")
+    scale = 2 * (100 + percent)
+    # a far set may meet any, another one only far ones
+    nearest = told.where("far").groupBy("fam").agg(F.min("g").alias("next"))
+    told = told.join(nearest, "fam").withColumn("other", F.when(F.col("far"), F.col("low")).otherwise(F.col("next"))).drop("low", "next")
+    d, least = F.size("tokens").cast("double"), F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("other")) / scale)).cast("double")
+    ways = lambda n, j: reduce(lambda x, i: x * F.greatest(n - i, F.lit(0.0)) / (i + 1), range(j), F.lit(1.0))
+    costs = []
+    for j in range(1, LONGEST + 1):
+        below = reduce(lambda x, i: x + F.when(least <= i, ways(d, i)).otherwise(0.0), range(1, j), F.lit(0.0))
+        costs.append((ways(d - F.greatest(least, F.lit(float(j))) + j, j) + below).alias(f"w{j}"))
+    figures = told.select("fam", *costs).groupBy("fam").agg(*(f(f"w{j}").alias(f"{name}{j}") for j in range(1, LONGEST + 1) for f, name in ((F.avg, "w"), (F.max, "x"))))
+    longest = F.greatest(*(F.when((F.col(f"w{j}") <= COMBINATIONS) & (F.col(f"x{j}") <= COMBINATIONS * 128), F.lit(j)).otherwise(1) for j in range(1, LONGEST + 1)))
+    told = work.write(told.join(figures.select("fam", longest.alias("longest")), "fam"), "asked")
+    asked = told.select("fam", "v", "g", "c", "far", "other", "longest", "tokens")
+    buckets = work.write(asked.mapInArrow(partial(_combined, percent=percent), "bucket long, level int, v long, g long, c long, far boolean"), "buckets")
+    centres = buckets.groupBy("bucket", "level").agg(F.min(F.struct("g", "v", "c")).alias("y"), F.count(F.lit(1)).alias("m"), F.max("g").alias("most")).where("m > 1")
+    met = buckets.join(centres, ["bucket", "level"])
+    # sets of one bucket share ``level`` differences: who needs no more links, again by a star
+    within = met.where((F.col("v") != F.col("y.v")) & (F.col("c") != F.col("y.c")) & (F.col("g") + F.col("y.g") <= scale * F.col("level"))).select(F.least("v", "y.v").alias("a"), F.greatest("v", "y.v").alias("b"))
+    # who needs more than the longest combination is compared, within its bucket
+    more = met.join(told.select("v", F.col("longest").alias("top")), "v").where((F.col("level") == F.col("top")) & (F.col("g") + F.col("most") > scale * F.col("level"))).select("bucket", "v", "g", "c", "far", "level")
+    one, two = more.alias("p"), more.alias("q")
+    beyond = one.join(two, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.v") < F.col("q.v")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.far") | F.col("q.far")) & (F.col("p.g") + F.col("q.g") > scale * F.col("p.level"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
+    pairs = work.write(within.unionByName(beyond).distinct(), "family-pairs")
+    side = lambda x: told.select(F.col("v").alias(x), F.col("g").alias(f"g{x}"), F.col("tokens").alias(f"t{x}"))
+    exact = pairs.join(side("a"), "a").join(side("b"), "b").where(scale * F.size(F.array_intersect("ta", "tb")) >= F.col("ga") + F.col("gb"))
+    return work.write(star.unionByName(exact.select("a", "b")), "family-links")
+
+
 def _near(x: str, y: str, percent: int):
     """Whether two rows of one key may link, by sizes n and by f, the most tokens that they can share with others."""
     share = F.least(f"{x}f", f"{y}f")
     return F.lit(100) * share >= F.lit(percent) * (F.col(f"{x}n") + F.col(f"{y}n") - share)
 
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", id: str = "doc_id") -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links of Jaccard percent/100 or more.
 
     Rows with equal sets are one class, named by a 64-bit hash of the set; candidates come from
@@ -243,7 +345,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text
     first compared with two members (the one with the fewest rare tokens, and the one with the
     largest name), and afterwards only members of different components are compared, all of
     them: no link between components is missed, and a group of near copies isn't expanded into
-    its pairs.
+    its pairs. Where a key has more than ``hot`` sets beside its largest component, these are compared by
+    their differences to what most of them have in common.
 
     Null and empty texts have size 0 and are alone. A row with a null id gets component_id
     null and links nothing. A row that is repeated, with its id, gets its result each time, with
@@ -299,8 +402,11 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text
     named = index.select("key", "v", "n", "f").join(labels, "v", "left").select("key", "v", "n", "f", F.coalesce("c", "v").alias("c"))
     named = work.write(named, "named")
     share = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = share.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", F.struct("m", "c")).alias("main")).where("cs > 1")
-    split = named.join(main, "key").join(firsts.select("v", "singles", "few"), "v")
+    main = share.groupBy("key").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", F.struct("m", "c")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).where("cs > 1")
+    main = work.write(main, "main")
+    crowd = named.join(main.where(F.col("others") > hot).select("key"), "key").select("key", "v")
+    crowded = bool(crowd.take(1))
+    split = named.join(main.where(F.col("others") <= hot), "key").join(firsts.select("v", "singles", "few"), "v")
     split = work.write(split.select("key", "v", "n", "f", F.when(F.col("f") < F.col("n"), F.col("few")).alias("few"), "c", "main"), "split")
     one = split.where("c != main").select("key", F.struct("v", "n", "f", "c", "few").alias("x"))
     two = split.select("key", F.struct("v", "n", "f", "c", "few").alias("y"), "main")
@@ -311,6 +417,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text
     good = work.write(_promising(rest, firsts, percent), "good2")
     links = work.write(_verify(good, rows, reps, k, percent, work, "v2"), "links2")
     work.drop("v2-sets")
+    links = links.unionByName(_family_links(crowd, labels, rows, reps, k, percent, work)) if crowded else links
     final = work.write(components(edges.unionByName(links), work, "d"), "final")
 
     named = work.write(reps.join(final, "v", "left").select("v", "w", "rep", F.coalesce("c", "v").alias("c")), "classes")
