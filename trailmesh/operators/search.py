@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import snap_metres
-from ..model import GUARANTEE, OPTIMAL, REQUESTS, RESULTS, SNAP_CATEGORY, SNAP_METRES, Algorithm
+from ..model import GUARANTEE, METRES_PER_DEGREE, OPTIMAL, REQUESTS, RESULTS, SNAP_CATEGORY, SNAP_METRES, Algorithm
 from ..shipping import ship
 from . import kernels
 from .graph import COMPACT_ARCS, build_arcs, compact, degrees, shortest, time_arcs, weak_components
 
-BAND = 0.02  # degrees of latitude in a snapping band: more than SNAP_METRES
+CELL = 0.005  # degrees of latitude in a row of snapping cells, which are about as wide
 
 
 # ---------------------------------------------------------------- snapping
@@ -26,15 +26,38 @@ def eligible_nodes(nodes: DataFrame, edges: DataFrame, arcs: DataFrame) -> DataF
     return nodes.join(good, "node", "left_semi").join(both, "node", "left_semi")
 
 
-def snap_candidates(points: DataFrame, eligible: DataFrame, components: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
-    """name, component, node, metres: each point's nearest eligible node of every weak component; ties to the lower node.
+def _column_width(row: Column) -> Column:
+    """Degrees of longitude in a cell of a row: as long on the ground as the row is high, but for the poles."""
+    return CELL / F.greatest(F.cos(F.radians((row + 0.5) * CELL)), F.lit(0.01))
+
+
+def snap_pairs(points: DataFrame, eligible: DataFrame, components: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
+    """name, component, node, metres: the nodes that are compared with each point; the nearest of every weak component is among them.
 
-    A range join by bands of latitude: a point meets the nodes of its band and both neighbours.
+    A point first meets the cells within reach, one row for each cell and component with the box of its nodes. The least of a component's
+    greatest distances bounds its nearest node, so only cells whose least distance isn't beyond it are opened.
     """
     at = eligible.join(components, "node").select("node", "component", (F.col("x") / 1e5).alias("nx"), (F.col("y") / 1e5).alias("ny"))
-    at = at.withColumn("band", F.floor(F.col("ny") / BAND))
-    near = points.select("name", "lon", "lat", F.explode(F.sequence(F.floor(F.col("lat") / BAND) - 1, F.floor(F.col("lat") / BAND) + 1)).alias("band"))
-    found = near.join(at, "band").withColumn("metres", snap_metres("lon", "lat", "nx", "ny")).where(F.col("metres") <= metres)
+    at = at.withColumn("row", F.floor(F.col("ny") / CELL)).withColumn("col", F.floor(F.col("nx") / _column_width(F.col("row"))))
+    boxes = at.groupBy("row", "col", "component").agg(*(f(c).alias(f"{c}{i}") for c in ("nx", "ny") for i, f in ((1, F.min), (2, F.max))))
+    reach = metres / METRES_PER_DEGREE + 1e-9
+    wide = F.least(F.lit(360.0), F.lit(reach) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9)))
+    rows = points.select("name", "lon", "lat", wide.alias("wide"), F.explode(F.sequence(F.floor((F.col("lat") - reach) / CELL), F.floor((F.col("lat") + reach) / CELL))).alias("row"))
+    side = lambda d: F.floor((F.col("lon") + d) / _column_width(F.col("row")))
+    near = rows.withColumn("col", F.explode(F.sequence(side(-F.col("wide")), side(F.col("wide")))))
+    gap = lambda p, k: F.greatest(F.col(f"{k}1") - F.col(p), F.col(p) - F.col(f"{k}2"), F.lit(0.0))
+    span = lambda p, k: F.greatest(F.abs(F.col(f"{k}1") - F.col(p)), F.abs(F.col(f"{k}2") - F.col(p)))
+    away = lambda d: snap_metres(F.lit(0.0), F.col("lat"), d("lon", "nx"), F.col("lat") + d("lat", "ny"))
+    met = near.join(boxes, ["row", "col"]).withColumns({"__least": away(gap) - 1e-3, "__most": away(span) + 1e-3}).where(F.col("__least") <= metres)
+    met = met.withColumn("__bound", F.min("__most").over(Window.partitionBy("name", "lon", "lat", "component")))
+    opened = met.where("__least <= __bound").select("name", "lon", "lat", "row", "col", "component")
+    found = opened.join(at, ["row", "col", "component"]).withColumn("metres", snap_metres("lon", "lat", "nx", "ny"))
+    return found.where(F.col("metres") <= metres).select("name", "component", "node", "metres")
+
+
+def snap_candidates(points: DataFrame, eligible: DataFrame, components: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
+    """name, component, node, metres: each point's nearest eligible node of every weak component; ties to the lower node."""
+    found = snap_pairs(points, eligible, components, metres)
     return found.groupBy("name", "component").agg(F.min(F.struct("metres", "node")).alias("m")).select("name", "component", "m.node", "m.metres")
 
 

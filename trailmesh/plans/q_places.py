@@ -67,6 +67,18 @@ def triple_candidates(spark, sf_dir):
     return sampler.triple_candidates(places(spark, sf_dir))
 
 
+_HOMES = "homes AS (SELECT c_custkey AS id, c_mktsegment AS pool, 6.0::DOUBLE + (c_custkey * 37 % 1000) / 300 AS lon, 46.0::DOUBLE + (c_custkey * 53 % 800) / 300 AS lat FROM customer)"
+
+
+@query(f"""WITH {_HOMES}, pairs AS (SELECT a.pool, {_km("a", "b")} AS km FROM homes a JOIN homes b ON a.pool = b.pool AND a.id < b.id)
+SELECT pool, CASE WHEN km < 30 THEN 'near' WHEN km * 1.25 < 100 THEN 'regional' WHEN km * 1.25 < 220 THEN 'interregional' ELSE 'national' END AS band, count(*) AS pairs FROM pairs GROUP BY ALL""")
+def band_counts(spark, sf_dir):
+    """Pairs of homes of one pool by the band of a journey between them, counted by pairs of cells."""
+    c = F.col("c_custkey")
+    homes = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("pool"), (F.lit(6.0) + (c * 37 % 1000) / 300).alias("lon"), (F.lit(46.0) + (c * 53 % 800) / 300).alias("lat"))
+    return sampler.band_counts(homes, ["pool"]).select("pool", "band", "pairs")
+
+
 @query()
 def sampled_journeys(spark, sf_dir):
     """60 journeys of one pool by seeded draws; every seventh place's roads are too long for the band, so their pairs are drawn anew."""
