@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions import digest
+from ..functions import digest, tables
+from ..functions.bits import pack_word
 from ..shipping import shared_folder
 from ..sources import chunksource, store
 from ..sources.tables import GRAPH_SQL, TRACE_SQL, edges, events_trace, nodes, table
@@ -44,6 +45,33 @@ def published_graph(spark, sf_dir):
     return of_nodes.unionByName(e.select(F.lit("edge").alias("kind"), F.col("edge").alias("id"), F.col("u").alias("a"), F.col("v").alias("b"), (F.col("length_cm") * 1000 + F.col("direction") * 100 + F.col("category")).alias("c")))
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT n_nationkey FROM nation) AND o_orderstatus = 'F'")
+def filtered_orders(spark, sf_dir):
+    """Finished orders of some customers from verified chunks; tasks ask the chunks' filters before they open them."""
+    path = _folder(spark, "orders")
+    chunksource.write_chunked(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path, "o_orderkey", 65_536, ["o_custkey", "o_orderstatus"])
+    asked = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # the search's own values
+    return chunksource.read_chunked(spark, path, where=[("o_custkey", "in", asked), ("o_orderstatus", "=", "F")])
+
+
+@query(f"WITH {TRACE_SQL} SELECT block, event - block * {BLOCK} AS event, kind, id, (event % 2)::INTEGER AS side FROM (SELECT (event - 1) // {BLOCK} AS block, * FROM trace)")
+def sql_word_events(spark, sf_dir):
+    """The event log packed into words, an array a block, and unpacked again by a table function in SQL alone."""
+    tables.register(spark)
+    log = events_trace(spark, sf_dir).withColumn("word", pack_word("kind", "id", F.col("event") % 2)).withColumn("block", F.floor((F.col("event") - 1) / BLOCK))
+    words = log.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("event", "word"))), lambda w: w["word"]).alias("words"))
+    return spark.sql("SELECT block, event, kind, id, side FROM word_events(TABLE(SELECT * FROM {words}), 'words')", words=words)
+
+
+@query(f"""WITH {GRAPH_SQL}, p AS (SELECT node // 10 AS road, node, x, y FROM nodes)
+SELECT road, seg, x1, y1, x2, y2 FROM (SELECT road, row_number() OVER w - 1 AS seg, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY road ORDER BY node)) WHERE x2 IS NOT NULL""")
+def sql_shape_segments(spark, sf_dir):
+    """Segments between the points of each ten nodes' road, by a table function over partitions in SQL alone."""
+    tables.register(spark)
+    points = nodes(spark, sf_dir).withColumn("road", F.floor(F.col("node") / 10))
+    return spark.sql("SELECT * FROM shape_segments(TABLE(SELECT road, node, x, y FROM {points}) PARTITION BY (road) ORDER BY (node), 'road')", points=points)
+
+
 _JSON = """'{"event":' || event || ',"kind":' || kind || ',"id":' || id || '}'"""
 
 
