@@ -12,8 +12,8 @@ from ..plans.fixpoint import fixpoint
 from ..plans.ids import numbered
 from .kernels import Compact
 
-#: Arcs (about 40 bytes each) of a graph that is gathered into one worker's arrays; larger
-#: graphs are searched by fixpoints over tables.
+#: Arcs (about 40 bytes each) of a graph that is gathered into one worker's arrays for ordered searches;
+#: costs come from fixpoints over tables at every size.
 COMPACT_ARCS = 8_000_000
 
 
@@ -80,12 +80,19 @@ def expand(front: DataFrame, arcs: DataFrame, cost: str = "cost") -> DataFrame:
 
 
 def shortest(arcs: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:
-    """node, dist from the nearest start, for any size: only nodes that improved send on their costs."""
+    """node, dist from the nearest start, for any size: only nodes that improved send on their costs.
+
+    Arcs are dealt by their source once and kept while the rounds run, so a round moves only what it proposes.
+    """
+    dealt = arcs.select("src", "dst", "w").repartition("src").persist()
 
     def step(state: DataFrame, front: DataFrame, _: int) -> DataFrame:
-        return expand(front, arcs, "dist")
+        return expand(front, dealt, "dist")
 
-    return fixpoint(starts.select("node", F.lit(0).cast("long").alias("dist")), step, "node", "dist", most)
+    try:
+        return fixpoint(starts.select("node", F.lit(0).cast("long").alias("dist")), step, "node", "dist", most)
+    finally:
+        dealt.unpersist()
 
 
 def hops(arcs: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,8 +108,8 @@ class GraphStore:
     """A graph's tables with the searches over it.
 
     ``search`` runs each request of a table whole in one task, on arrays of the graph that
-    every worker gets once; that is done only up to ``limit`` counted arcs. Beyond, optimal
-    costs come from fixpoints over the tables (``costs``), without event order.
+    every worker gets once; that is done only up to ``limit`` counted arcs. Costs from one node to all
+    (``costs``) come from fixpoints over the tables at every size, without event order.
     """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, limit: int = COMPACT_ARCS, name: str = ""):
@@ -176,19 +175,8 @@ class GraphStore:
         return self.search(self.spark.createDataFrame([(0, algorithm, start, goal, sources)], REQUESTS), objective).first()
 
     def costs(self, start: int, objective: str = "distance") -> DataFrame:
-        """node, dist from one node: in a worker up to ``limit`` arcs, else by fixpoint."""
-        arrays = self.arrays(objective)
-        starts = self.spark.createDataFrame([(start,)], "node long")
-        if arrays.value is None:
-            return shortest(self.weighted(objective), starts)
-
-        def run(batches):
-            for b in batches:
-                for s in b["node"]:
-                    found = kernels.costs(arrays.value, int(s))
-                    yield pd.DataFrame({"node": np.fromiter(found.keys(), np.int64), "dist": np.fromiter(found.values(), np.int64)})
-
-        return starts.mapInPandas(run, "node long, dist long")
+        """node, dist from one node, by fixpoint over the tables."""
+        return shortest(self.weighted(objective), self.spark.createDataFrame([(start,)], "node long"))
 
     def time_result(self, results: DataFrame) -> DataFrame:
         """Add route_ms: for routes by distance an estimate with the trace unchanged."""

@@ -67,11 +67,6 @@ def _from_arrays(spark, sf_dir, make, schema: str, objective: str = "distance"):
     return spark.range(1).repartition(1).mapInPandas(run, schema)
 
 
-def _large(spark, sf_dir) -> bool:
-    """Whether the graph has no arrays: costs come from fixpoints then."""
-    return store(spark, sf_dir).arrays().value is None
-
-
 def _starts(spark, found):
     return spark.createDataFrame([(s,) for s in found], "node long").distinct()
 
@@ -92,23 +87,17 @@ def sssp_time(spark, sf_dir):
 
 @query(f"{_D}, {_spread('d', 'seed', 'arcs', 'dst', 'src')} SELECT node, dist FROM d")
 def reverse_distance(spark, sf_dir):
-    s = seed(spark, sf_dir)
-    if _large(spark, sf_dir):
-        return graph.shortest(graph.backward(store(spark, sf_dir).arcs), _starts(spark, [s]))
-    return _from_arrays(spark, sf_dir, lambda g: _dists(kernels.costs(g, s, True)), "node long, dist long")
+    return graph.shortest(graph.backward(store(spark, sf_dir).arcs), _starts(spark, [seed(spark, sf_dir)]))
 
 
 @query(f"{_D}, {_spread('d', 'seed', w='1')} SELECT node, dist AS hops FROM d")
 def bfs_hops(spark, sf_dir):
-    s = seed(spark, sf_dir)
-    if _large(spark, sf_dir):
-        return graph.hops(store(spark, sf_dir).arcs, _starts(spark, [s]))
-    return _from_arrays(spark, sf_dir, lambda g: _dists(kernels.breadth_first(g, s, None).dist, "hops"), "node long, hops long")
+    return graph.hops(store(spark, sf_dir).arcs, _starts(spark, [seed(spark, sf_dir)]))
 
 
 @query(f"{_D}, {_spread('d', 'seed', w='1')} SELECT node FROM d")
 def reachability(spark, sf_dir):
-    return bfs_hops(spark, sf_dir).select("node")
+    return graph.reachable(store(spark, sf_dir).arcs, _starts(spark, [seed(spark, sf_dir)]))
 
 
 _MUTUAL = f"{_spread('f', 'seed', w='1')}, {_spread('b', 'seed', 'arcs', 'dst', 'src', '1')}"
@@ -116,7 +105,7 @@ _MUTUAL = f"{_spread('f', 'seed', w='1')}, {_spread('b', 'seed', 'arcs', 'dst',
 
 @query(f"{_D}, {_MUTUAL} SELECT node FROM f INTERSECT SELECT node FROM b")
 def mutual_reachable(spark, sf_dir):
-    return reachability(spark, sf_dir).intersect(reverse_distance(spark, sf_dir).select("node"))
+    return graph.mutually_reachable(store(spark, sf_dir).arcs, _starts(spark, [seed(spark, sf_dir)]))
 
 
 _COMPONENTS = f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, sides AS (SELECT u AS src, v AS dst FROM edges UNION ALL SELECT v, u FROM edges),
@@ -148,9 +137,7 @@ _THREE = "three AS (SELECT node FROM seed UNION ALL SELECT (s.node + n // 3) % n
 
 
 def _nearest(spark, sf_dir):
-    if _large(spark, sf_dir):
-        return graph.shortest(store(spark, sf_dir).arcs, _starts(spark, _sources(spark, sf_dir)))
-    return _territory(spark, sf_dir).select("node", "dist")
+    return graph.shortest(store(spark, sf_dir).arcs, _starts(spark, _sources(spark, sf_dir)))
 
 
 def _territory(spark, sf_dir):
@@ -188,7 +175,7 @@ SELECT count(*) AS nodes, sum((dist IS DISTINCT FROM single)::INTEGER)::BIGINT A
 def territory_audit(spark, sf_dir):
     """Nodes whose territory distance differs from the least of three single searches: none are expected."""
     sources = _sources(spark, sf_dir)
-    t = _territory(spark, sf_dir)
+    t = _nearest(spark, sf_dir)
     singles = None
     for k, s in enumerate(sources):
         one = store(spark, sf_dir).costs(s).select("node", F.col("dist").alias("single"), F.lit(k).alias("k"))
@@ -207,14 +194,7 @@ _REPAIR = f"""{_H0}, r(node, h) USING KEY (node) AS (SELECT node, h FROM h0 UNIO
 def potential_repair(spark, sf_dir):
     n, s = nodes(spark, sf_dir).count(), seed(spark, sf_dir)
     goal = (s + n // 2) % n
-    if _large(spark, sf_dir):
-        return graph.repaired_bound(store(spark, sf_dir).nodes, store(spark, sf_dir).arcs, goal)
-
-    def make(g):
-        low, _ = kernels.repair(g, kernels.planar(g, goal))
-        return pd.DataFrame({"node": range(len(low)), "h": low})
-
-    return _from_arrays(spark, sf_dir, make, "node long, h long")
+    return graph.repaired_bound(store(spark, sf_dir).nodes, store(spark, sf_dir).arcs, goal)
 
 
 def _marks(k: int) -> str:
