@@ -1,5 +1,6 @@
 """DataFrame operators: fixpoints, snapping, search, traces, compile, records, streaming."""
 
+import pickle
 import math
 import random
 import time
@@ -48,6 +49,21 @@ def test_compact_arrays_are_the_arcs(store):
     assert g.src.tolist() == store.local.src.tolist() and g.edge.tolist() == store.local.edge.tolist() and g.back.tolist() == store.local.back.tolist()
 
 
+def test_the_driver_holds_no_arrays(store):
+    assert len(pickle.dumps(store.arrays())) < 1000 and len(pickle.dumps(store.landmarks())) < 1000
+    want, got = kernels.landmarks(store.local), store.landmarks().value
+    assert got.nodes == want.nodes
+    for ours, theirs in ((got.away, want.away), (got.towards, want.towards)):
+        assert [a.tolist() for a in ours] == [a.tolist() for a in theirs]
+
+
+def test_requests_without_events(spark, store):
+    asked = spark.createDataFrame([(k, "dijkstra", 3, k, None) for k in range(8)], REQUESTS)
+    full, bare = (store.search(asked, traced=t).orderBy("query_id").collect() for t in (True, False))
+    assert [r[:-1] for r in full] == [r[:-1] for r in bare] and all(r["words"] is None for r in bare)
+    assert all(len(r["words"]) == r["settled"] + r["examined"] + r["improved"] for r in full)
+
+
 def test_fixpoints_equal_kernels(spark, store):
     start = spark.createDataFrame([(3,)], "node long")
     assert {r["node"]: r["dist"] for r in graph.shortest(store.arcs, start).collect()} == kernels.costs(store.local, 3)
