@@ -463,6 +463,23 @@ def test_cost_queries_without_arrays(spark, sf, name, monkeypatch):
     assert sorted(map(tuple, getattr(q_graph, name)(spark, sf).collect())) == want
 
 
+def test_views_over_equal_boxes_are_summed_once(spark):
+    """Half of the boxes at one place, views that are the same, a view beside every box, a null value."""
+    r = lcg(3)
+    boxes = [(5, 5, 9, 9, None if k % 7 == 0 else k) if k % 2 else ((x := r() % 200), (y := r() % 200), x + r() % 60, y + r() % 60, k) for k in range(400)]
+    views = [(k, v, v, v + 20, v + 20) for k, v in enumerate([0, 0, 0, 40, 90, 150, 5000])]
+    names = ["x1", "y1", "x2", "y2"]
+    b = spark.createDataFrame(boxes, ", ".join(f"b_{c} long" for c in names) + ", part long")
+    v = spark.createDataFrame(views, "view long, " + ", ".join(f"v_{c} long" for c in names))
+    want = {}
+    for k, x1, y1, x2, y2 in views:
+        met = [p for bx1, by1, bx2, by2, p in boxes if x1 - 1 <= bx2 and x2 + 1 >= bx1 and y1 - 1 <= by2 and y2 + 1 >= by1]
+        if met:
+            want[k] = (len(met), sum(p for p in met if p is not None))
+    assert {r["view"]: (r["n"], r["total"]) for r in joins.viewport_sums(v, b, 40.0, "view", "part").collect()} == want
+    assert joins.viewport_sums(v, b, 40.0, "view", "part").count() == len(want) == 6
+
+
 # ---------------------------------------------------------------- streaming
 def test_streamed_blocks_equal_the_batch(spark, tmp_path):
     r = lcg(8)

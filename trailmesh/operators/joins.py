@@ -61,6 +61,18 @@ def viewport_cull(views: DataFrame, boxes: DataFrame, cell: float, padding: floa
     return a.join(b, (a["__x"] == b["__x"]) & (a["__y"] == b["__y"]) & hit & corner).drop("__x", "__y")
 
 
+def viewport_sums(views: DataFrame, boxes: DataFrame, cell: float, view: str, value: str, padding: float = 1.0) -> DataFrame:
+    """view, n, total: how many boxes each view overlaps and the sum of their values; views without a box are left out.
+
+    Equal boxes are summed first, and equal views are met once: pairs grow with the places that there are, not with the rows at them.
+    """
+    at_view, at_box = ([f"{p}{c}" for c in ("x1", "y1", "x2", "y2")] for p in ("v_", "b_"))
+    summed = boxes.groupBy(*at_box).agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__t"))
+    hit = viewport_cull(views.select(*at_view).distinct(), summed, cell, padding)
+    found = hit.groupBy(*at_view).agg(F.sum("__n").alias("n"), F.sum("__t").alias("total"))
+    return views.join(found, at_view).select(view, "n", "total")
+
+
 def pairs_within(df: DataFrame, key: str, by: str, near: Column | None = None) -> DataFrame:
     """Pairs a < b of rows of the same group; ``near`` is a condition on a.* and b.*. For small dimension tables."""
     a, b = df.alias("a"), df.alias("b")

@@ -115,8 +115,7 @@ def viewport_cull(spark, sf_dir):
     boxes = table(spark, sf_dir, "lineitem").select("l_partkey", x.alias("b_x1"), y.alias("b_y1"), (x + n * 3).alias("b_x2"), (y + n * 2).alias("b_y2"))
     vx, vy = F.col("s_suppkey") * 13 % 1000, F.col("s_suppkey") * 29 % 1000
     views = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("view"), vx.alias("v_x1"), vy.alias("v_y1"), (vx + 20).alias("v_x2"), (vy + 20).alias("v_y2"))
-    hit = joins.viewport_cull(views, boxes, 40.0)
-    return hit.groupBy("view").agg(F.count(F.lit(1)).alias("boxes"), F.sum("l_partkey").alias("parts"))
+    return joins.viewport_sums(views, boxes, 40.0, "view", "l_partkey").select("view", F.col("n").alias("boxes"), F.col("total").alias("parts"))
 
 
 @query(f"WITH {GRAPH_SQL}, chunks AS (SELECT k AS chunk, k * 100 AS first, k * 100 + 99 AS last FROM range(0, 1000000) r(k) WHERE k * 100 < (SELECT count(*) FROM edges)) SELECT chunk, count(*) AS n, sum(length_cm)::BIGINT AS length_cm FROM edges JOIN chunks ON edge BETWEEN first AND last GROUP BY chunk")
