@@ -480,6 +480,17 @@ def test_views_over_equal_boxes_are_summed_once(spark):
     assert joins.viewport_sums(v, b, 40.0, "view", "part").count() == len(want) == 6
 
 
+def test_pairs_of_large_regions_are_many_tasks(spark, monkeypatch):
+    places = some_places(spark, 300, 1)
+    want = {(r["key"], r["km"], r["band"]) for r in sampler.journey_candidates(places).collect()}
+    monkeypatch.setattr(sampler, "SLICE_PLACES", 40)
+    made = sampler.journey_candidates(places)
+    sizes = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 4
+    got = [(r["key"], r["km"], r["band"]) for r in made.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # ---------------------------------------------------------------- streaming
 def test_streamed_blocks_equal_the_batch(spark, tmp_path):
     r = lcg(8)
