@@ -661,3 +661,11 @@ def test_kth_rows_of_many_leaves(spark):
     wanted = [(leaf, 1 + 97 * leaf) for leaf in range(5)]
     got = replay.kth_rows(df, spark.createDataFrame(wanted, "leaf long, k long"), least=3, bins=8)
     assert {(r["leaf"], r["cut"]["key"], r["cut"]["id"]) for r in got.collect()} == {(leaf, *sorted((float(k), i) for v, k, i in rows if v == leaf)[n - 1]) for leaf, n in wanted}
+
+
+def test_growing_tables_are_not_broadcast(spark, sf):
+    """Their files are small and their rows many: a broadcast of nodes or parts goes whole through the driver."""
+    from trailmesh.catalogue import QUERIES
+
+    plan = QUERIES["geometry_roundtrip"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join [u#" in plan and "BroadcastHashJoin [u#" not in plan and "BroadcastHashJoin [v#" not in plan
