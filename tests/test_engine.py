@@ -669,3 +669,37 @@ def test_growing_tables_are_not_broadcast(spark, sf):
 
     plan = QUERIES["geometry_roundtrip"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join [u#" in plan and "BroadcastHashJoin [u#" not in plan and "BroadcastHashJoin [v#" not in plan
+
+
+def test_rounds_do_not_hold_the_plan_of_the_arcs(spark, monkeypatch):
+    """The driver would plan and keep it with every round."""
+    from trailmesh.plans import fixpoint as loop
+
+    plans, whole = [], loop.settle
+
+    def settle(df, eager=True):
+        plans.append(df)
+        return whole(df, eager)
+
+    monkeypatch.setattr(loop, "settle", settle)
+    nodes, edges = tables(spark, [(i, i + 1, 5, 0) for i in range(6)])
+    arcs = graph.build_arcs(edges)
+    got = {r["node"]: r["dist"] for r in graph.shortest(arcs, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: 5 * i for i in range(7)} and len(plans) > 6
+    for df in plans[1:]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_searches_that_share_rounds(spark):
+    edges = random_edges(29)
+    arcs = graph.build_arcs(tables(spark, edges)[1]).persist()
+    starts = [[3], [17], [3, 17, 30]]
+    got = {(r["k"], r["node"], r["dist"]) for r in graph.shortest_each(arcs, starts).collect()}
+    one = lambda some: graph.shortest(arcs, spark.createDataFrame([(x,) for x in some], "node long")).collect()
+    assert got == {(k, r["node"], r["dist"]) for k, some in enumerate(starts) for r in one(some)}
+    both = {r["node"] for r in graph.mutually_reachable(arcs, spark.createDataFrame([(3,)], "node long")).collect()}
+    ahead = {r["node"] for r in one([3])}
+    back = {r["node"] for r in graph.shortest(graph.backward(arcs), spark.createDataFrame([(3,)], "node long")).collect()}
+    assert both == ahead & back
+    arcs.unpersist()

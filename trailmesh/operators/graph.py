@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import planar_bound_cm, travel_ms
 from ..model import FALLBACK_SPEED, SPEEDS
-from ..plans.fixpoint import fixpoint
+from ..plans.fixpoint import dealt_parts, fixpoint, forget, settle
 from ..plans.ids import numbered
 
 
@@ -64,20 +64,39 @@ def expand(front: DataFrame, arcs: DataFrame, cost: str = "cost") -> DataFrame:
     return front.join(arcs, front["node"] == arcs["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col(cost) + F.col("w")).alias(cost))
 
 
-def shortest(arcs: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:
-    """node, dist from the nearest start, for any size: only nodes that improved send on their costs.
+def _relaxed(arcs: DataFrame, start: DataFrame, src: str, dst: str, value: str, most: int) -> DataFrame:
+    """The fixpoint of ``value`` at dst <= value at src + w, from ``start`` (node, value), which may have several rows a node.
 
-    Arcs are dealt by their source once and kept while the rounds run, so a round moves only what it proposes.
+    Arcs are dealt by the end that sends on, and kept while the rounds run.
     """
-    dealt = arcs.select("src", "dst", "w").repartition("src").persist()
+    parts = dealt_parts(arcs, arcs.count())
+    # settled first: a kept table's plan goes with those of all rounds, and would be planned and held by the driver each time
+    written = settle(arcs.select(F.col(src).alias("__from"), F.col(dst).alias("__to"), "w").repartition(parts, "__from"))
+    dealt = written.persist()
+    every = start.select("node", value).unionByName(dealt.select(F.col("__to").alias("node"), F.lit(None).cast("long").alias(value)))
 
-    def step(state: DataFrame, front: DataFrame, _: int) -> DataFrame:
-        return expand(front, dealt, "dist")
+    def step(front: DataFrame) -> DataFrame:
+        return front.hint("shuffle_hash").join(dealt, F.col("node") == F.col("__from")).select(F.col("__to").alias("node"), (F.col(value) + F.col("w")).alias(value))
 
     try:
-        return fixpoint(starts.select("node", F.lit(0).cast("long").alias("dist")), step, "node", "dist", most)
+        return fixpoint(every, step, "node", value, most, parts)
     finally:
         dealt.unpersist()
+        forget(written)
+
+
+def shortest(arcs: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:
+    """node, dist from the nearest start, for any size: only nodes that improved send on their costs."""
+    return _relaxed(arcs, starts.select("node", F.lit(0).cast("long").alias("dist")), "src", "dst", "dist", most)
+
+
+def shortest_each(arcs: DataFrame, starts: list[list[int]]) -> DataFrame:
+    """k, node, dist from the nearest of the k-th starts: all searches share the rounds, on a copy of the graph for each."""
+    n, spark = len(starts), arcs.sparkSession
+    k = F.explode(F.array(*map(F.lit, range(n)))).alias("k")
+    copies = arcs.select("src", "dst", "w", k).select((F.col("src") * n + F.col("k")).alias("src"), (F.col("dst") * n + F.col("k")).alias("dst"), "w")
+    first = spark.createDataFrame([(s * n + k,) for k, some in enumerate(starts) for s in some], "node long")
+    return shortest(copies, first).select((F.col("node") % n).cast("int").alias("k"), F.floor(F.col("node") / n).alias("node"), "dist")
 
 
 def hops(arcs: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:
@@ -94,7 +113,10 @@ def backward(arcs: DataFrame) -> DataFrame:
 
 
 def mutually_reachable(arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    return reachable(arcs, starts).intersect(reachable(backward(arcs), starts))
+    """node: those that are reached from the starts and reach them; both ways share the rounds, on a copy of the graph for each."""
+    ways = arcs.select(F.explode(F.array(*(F.struct((F.col(a) * 2 + k).alias("src"), (F.col(b) * 2 + k).alias("dst")) for k, (a, b) in enumerate((("src", "dst"), ("dst", "src")))))).alias("e"))
+    both = reachable(ways.select("e.*"), starts.select(F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node")))
+    return both.groupBy(F.floor(F.col("node") / 2).alias("node")).count().where("count = 2").select("node")
 
 
 def repaired_bound(nodes: DataFrame, arcs: DataFrame, goal: int) -> DataFrame:
@@ -102,16 +124,11 @@ def repaired_bound(nodes: DataFrame, arcs: DataFrame, goal: int) -> DataFrame:
     ends = nodes.agg(F.max(F.abs("y")).alias("top")).crossJoin(nodes.where(F.col("node") == goal).select(F.col("x").alias("gx"), F.col("y").alias("gy")))  # one row
     h0 = nodes.crossJoin(F.broadcast(ends)).select("node", planar_bound_cm(F.col("x") - F.col("gx"), F.col("y") - F.col("gy"), F.col("top")).alias("h"))
 
-    def step(state: DataFrame, front: DataFrame, _: int) -> DataFrame:
-        return front.join(arcs, front["node"] == arcs["dst"]).groupBy(F.col("src").alias("node")).agg(F.min(F.col("h") + F.col("w")).alias("h"))
-
-    return fixpoint(h0, step, "node", "h", 100_000)
+    return _relaxed(arcs, h0, "dst", "src", "h", 100_000)
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node, component: the smallest node of each weak component, by alternating star contractions."""
-    from ..plans.fixpoint import settle
-
     at = settle(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a != b").distinct())
     mark = None
     while True:
@@ -134,8 +151,6 @@ def spanning_total(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round every part picks its lightest edge to another part (ties by edge id, so picks
     never cycle) and parts are merged along the picks.
     """
-    from ..plans.fixpoint import settle
-
     label = settle(nodes.select("node", F.col("node").alias("part")))
     chosen = None
     rest = edges.where("u != v").select("edge", "u", "v", "length_cm")
