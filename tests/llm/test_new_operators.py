@@ -262,3 +262,14 @@ def test_near_misses_are_not_compared_pair_by_pair(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert made[n, "rest"] + made[n, "family-pairs"] < 0.01 * n * (n - 1) / 2 and made[n, "buckets"] < 512 * n
+
+
+def test_combinations_name_the_longest_level():
+    """Who needs more than the longest combination is found without a join of all combinations with their sets."""
+    import pyarrow as pa
+
+    from trailmesh.llm.ngramjoin import _combined
+
+    row = {"fam": 1, "v": 2, "g": 0, "c": 2, "far": True, "other": 0, "longest": 2, "tokens": [5, 6, 7]}
+    made = [r for b in _combined([pa.RecordBatch.from_pylist([row])], 85) for r in b.to_pylist()]
+    assert sorted((r["level"], r["top"]) for r in made) == [(1, 2)] * 3 + [(2, 2)] * 3

@@ -251,14 +251,14 @@ def _verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent:
 
 
 def _combined(batches, percent: int):
-    """(bucket, level, v, g, c, far): combinations of each set's differences, in the order of the family.
+    """(bucket, level, top, v, g, c, far): combinations of each set's differences, in the order of the family.
 
     A pair that needs ``level`` of them is found by combinations of that many of all differences; one that needs more than the
     family's longest, by combinations of its first ones: all but as many as it needs beyond.
     """
     scale = 2 * (100 + percent)
     for b in batches:
-        out = {"bucket": [], "level": [], "v": [], "g": [], "c": [], "far": []}
+        out = {"bucket": [], "level": [], "top": [], "v": [], "g": [], "c": [], "far": []}
         for fam, v, g, c, far, other, longest, tokens in zip(*(b.column(x).to_pylist() for x in ("fam", "v", "g", "c", "far", "other", "longest", "tokens")), strict=True):
             least = max(1, -(-(g + other) // scale))  # differences that any pair of this set shares, if it links
             for level in range(min(least, longest), longest + 1):
@@ -270,9 +270,9 @@ def _combined(batches, percent: int):
                 for j in range(level):
                     h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ found[:, j])
                 out["bucket"] += h.view(np.int64).tolist()
-                for name, x in (("level", level), ("v", v), ("g", g), ("c", c), ("far", far)):
+                for name, x in (("level", level), ("top", longest), ("v", v), ("g", g), ("c", c), ("far", far)):
                     out[name] += [x] * len(found)
-        kinds = {"level": pa.int32(), "far": pa.bool_()}
+        kinds = {"level": pa.int32(), "top": pa.int32(), "far": pa.bool_()}
         yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(name, pa.int64())) for name, x in out.items()], list(out))
 
 
@@ -316,13 +316,13 @@ def _family_links(hot: DataFrame, labels: DataFrame, rows: DataFrame, reps: Data
     longest = F.greatest(*(F.when((F.col(f"w{j}") <= COMBINATIONS) & (F.col(f"x{j}") <= COMBINATIONS * 128), F.lit(j)).otherwise(1) for j in range(1, LONGEST + 1)))
     told = work.write(told.join(figures.select("fam", longest.alias("longest")), "fam"), "asked")
     asked = told.select("fam", "v", "g", "c", "far", "other", "longest", "tokens")
-    buckets = work.write(asked.mapInArrow(partial(_combined, percent=percent), "bucket long, level int, v long, g long, c long, far boolean"), "buckets")
+    buckets = work.write(asked.mapInArrow(partial(_combined, percent=percent), "bucket long, level int, top int, v long, g long, c long, far boolean"), "buckets")
     centres = buckets.groupBy("bucket", "level").agg(F.min(F.struct("g", "v", "c")).alias("y"), F.count(F.lit(1)).alias("m"), F.max("g").alias("most")).where("m > 1")
     met = buckets.join(centres, ["bucket", "level"])
     # sets of one bucket share ``level`` differences: who needs no more links, again by a star
     within = met.where((F.col("v") != F.col("y.v")) & (F.col("c") != F.col("y.c")) & (F.col("g") + F.col("y.g") <= scale * F.col("level"))).select(F.least("v", "y.v").alias("a"), F.greatest("v", "y.v").alias("b"))
     # who needs more than the longest combination is compared, within its bucket
-    more = met.join(told.select("v", F.col("longest").alias("top")), "v").where((F.col("level") == F.col("top")) & (F.col("g") + F.col("most") > scale * F.col("level"))).select("bucket", "v", "g", "c", "far", "level")
+    more = met.where((F.col("level") == F.col("top")) & (F.col("g") + F.col("most") > scale * F.col("level"))).select("bucket", "v", "g", "c", "far", "level")
     one, two = more.alias("p"), more.alias("q")
     beyond = one.join(two, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.v") < F.col("q.v")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.far") | F.col("q.far")) & (F.col("p.g") + F.col("q.g") > scale * F.col("p.level"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
     pairs = work.write(within.unionByName(beyond).distinct(), "family-pairs")
