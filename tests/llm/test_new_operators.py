@@ -273,3 +273,32 @@ def test_combinations_name_the_longest_level():
     row = {"fam": 1, "v": 2, "g": 0, "c": 2, "far": True, "other": 0, "longest": 2, "tokens": [5, 6, 7]}
     made = [r for b in _combined([pa.RecordBatch.from_pylist([row])], 85) for r in b.to_pylist()]
     assert sorted((r["level"], r["top"]) for r in made) == [(1, 2)] * 3 + [(2, 2)] * 3
+
+
+def test_classes_of_need_lose_no_link_and_compare_few(spark):
+    """Sets of a family meet by as many differences as their classes need; one set of small need doesn't make all combinations short."""
+    import random
+    from functools import partial
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    rng, percent, scale = random.Random(5), 80, 360
+    rows = []
+    for v in range(120):
+        d = rng.choice((6, 15, 16))
+        tokens = rng.sample(range(40), 2) + rng.sample(range(100, 130), d - 2) if v % 3 else rng.sample(range(100, 118), d)
+        rows.append((7, v, v, 180 * d - 20 * 30, -500, True, sorted(tokens)))
+    rows.append((7, 120, 120, -500, -500, False, [100, 101]))
+    told = spark.createDataFrame(rows, "fam long, v long, c long, g long, low long, far boolean, tokens array<long>")
+    asked = ngramjoin._asked(told, scale)
+    assert asked.agg(F.max("longest")).first()[0] > 2 and asked.where("v = 120").agg(F.max("longest")).first()[0] <= 2
+    made = asked.mapInArrow(partial(ngramjoin._combined, percent=percent), "bucket long, level int, top int, v long, g long, c long, far boolean, side int").collect()
+    assert all(r["level"] == r["top"] for r in made) and len(made) < ngramjoin.COMBINATIONS * len(rows)
+    by = {}
+    for r in made:
+        by.setdefault(r["bucket"], []).append(r)
+    met = {(min(a["v"], b["v"]), max(a["v"], b["v"])) for x in by.values() for a, b in combinations(x, 2) if a["side"] + b["side"] == 0}
+    sets = {r[1]: (r[3], set(r[6]), r[5]) for r in rows}
+    links = {(a, b) for a, b in combinations(sorted(sets), 2) if (sets[a][2] or sets[b][2]) and scale * len(sets[a][1] & sets[b][1]) >= max(1, sets[a][0] + sets[b][0])}
+    assert links and links <= met

@@ -24,7 +24,9 @@ to the family's core (the tokens of most members). With d = |D(x)| and the perce
 
 As the need is a sum of what each set brings, one star to the member of the least G finds all
 components of links that need no common difference; the others share as many differences as they
-need, and combinations of these are indexed, longer ones where the family's differences are few.
+need, and combinations of these are indexed. A family's sets are classed by G, and a set is indexed for
+each class that it may meet by as many differences as all pairs of these two classes need: a few sets
+of small G, which need little, don't make the others' combinations short.
 """
 
 from __future__ import annotations
@@ -258,8 +260,9 @@ def _combined(batches, percent: int):
     """
     scale = 2 * (100 + percent)
     for b in batches:
-        out = {"bucket": [], "level": [], "top": [], "v": [], "g": [], "c": [], "far": []}
-        for fam, v, g, c, far, other, longest, tokens in zip(*(b.column(x).to_pylist() for x in ("fam", "v", "g", "c", "far", "other", "longest", "tokens")), strict=True):
+        out = {"bucket": [], "level": [], "top": [], "v": [], "g": [], "c": [], "far": [], "side": []}
+        sides = b.column("side").to_pylist() if "side" in b.schema.names else [0] * b.num_rows
+        for fam, v, g, c, far, other, longest, tokens, side in zip(*(b.column(x).to_pylist() for x in ("fam", "v", "g", "c", "far", "other", "longest", "tokens")), sides, strict=True):
             least = max(1, -(-(g + other) // scale))  # differences that any pair of this set shares, if it links
             for level in range(min(least, longest), longest + 1):
                 some = tokens if level < longest else tokens[: len(tokens) - max(least, level) + level]
@@ -270,12 +273,34 @@ def _combined(batches, percent: int):
                 for j in range(level):
                     h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ found[:, j])
                 out["bucket"] += h.view(np.int64).tolist()
-                for name, x in (("level", level), ("top", longest), ("v", v), ("g", g), ("c", c), ("far", far)):
+                for name, x in (("level", level), ("top", longest), ("v", v), ("g", g), ("c", c), ("far", far), ("side", side)):
                     out[name] += [x] * len(found)
-        kinds = {"level": pa.int32(), "top": pa.int32(), "far": pa.bool_()}
+        kinds = {"level": pa.int32(), "top": pa.int32(), "far": pa.bool_(), "side": pa.int32()}
         yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(name, pa.int64())) for name, x in out.items()], list(out))
 
 
+def _asked(told: DataFrame, scale: int) -> DataFrame:
+    """fam, v, g, c, far, other, longest, tokens, side: each set (fam, v, c, g, low, far, tokens) once for each class of G that it may meet.
+
+    ``fam`` names family and pair of classes, ``other`` is the class's least G, and ``longest`` the tokens of a combination: not more than
+    any pair of the two classes needs, and so few that a set has COMBINATIONS combinations in all on average. Sides are opposite numbers, 0 within a class.
+    """
+    told = told.withColumn("i", F.floor(2 * F.log2(1 + (F.col("g") - F.col("low")) / scale)).cast("int"))  # some 2 log2 of the greatest need
+    classes = told.groupBy("fam", "i").agg(F.min("g").alias("other"), F.max("far").alias("any"))
+    classes = classes.groupBy("fam").agg(F.count(F.lit(1)).alias("k"), F.collect_list(F.struct(F.col("i").alias("j"), "other", "any")).alias("to"))
+    each = told.join(classes, "fam").withColumn("to", F.explode("to")).select("*", "to.*").where("far OR any")  # two sets that aren't far are joined by the star
+    each = each.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("other")) / scale)))
+    each = each.where(F.size("tokens") >= F.col("need")).select("*", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    spare = F.size("tokens").cast("double") - F.col("need")
+    ways = [reduce(lambda w, n: w * (spare + j - n) / (n + 1), range(j), F.lit(1.0)) for j in range(1, LONGEST + 1)]
+    figures = each.groupBy("fam", "x", "y").agg(F.min("need").alias("least"), *(f(w).alias(f"{name}{j}") for j, w in enumerate(ways, 1) for f, name in ((F.avg, "w"), (F.max, "m"))))
+    fits = lambda j: (F.col("least") >= j) & (F.col(f"w{j}") * F.col("k") <= COMBINATIONS) & (F.col(f"m{j}") <= COMBINATIONS * 128)
+    figures = figures.join(classes.select("fam", "k"), "fam")
+    figures = figures.select("fam", "x", "y", F.greatest(*(F.when(fits(j), F.lit(j)).otherwise(1) for j in range(1, LONGEST + 1))).alias("longest"))
+    met = each.join(figures, ["fam", "x", "y"])
+    return met.select(F.xxhash64("fam", "x", "y").alias("fam"), "v", "g", "c", "far", "other", "longest", "tokens", F.signum(F.col("j") - F.col("i")).cast("int").alias("side"))
+
+
 def _family_links(hot: DataFrame, labels: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
     """Links (a, b) that join the components of the sets (key, v) of hot keys: as many as join what is linked, not all of them."""
     ends = hot.groupBy("key").agg(F.min("v").alias("b"))
@@ -303,28 +328,13 @@ def _family_links(hot: DataFrame, labels: DataFrame, rows: DataFrame, reps: Data
     tokens = each.join(shared, ["fam", "t"]).groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda z: z["t"]).alias("tokens"))
     told = work.write(told.drop("ds").join(tokens, "v").select("fam", "v", "c", "g", "low", "far", "tokens"), "told")
     scale = 2 * (100 + percent)
-    # a far set may meet any, another one only far ones
-    nearest = told.where("far").groupBy("fam").agg(F.min("g").alias("next"))
-    told = told.join(nearest, "fam").withColumn("other", F.when(F.col("far"), F.col("low")).otherwise(F.col("next"))).drop("low", "next")
-    d, least = F.size("tokens").cast("double"), F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("other")) / scale)).cast("double")
-    ways = lambda n, j: reduce(lambda x, i: x * F.greatest(n - i, F.lit(0.0)) / (i + 1), range(j), F.lit(1.0))
-    costs = []
-    for j in range(1, LONGEST + 1):
-        below = reduce(lambda x, i: x + F.when(least <= i, ways(d, i)).otherwise(0.0), range(1, j), F.lit(0.0))
-        costs.append((ways(d - F.greatest(least, F.lit(float(j))) + j, j) + below).alias(f"w{j}"))
-    figures = told.select("fam", *costs).groupBy("fam").agg(*(f(f"w{j}").alias(f"{name}{j}") for j in range(1, LONGEST + 1) for f, name in ((F.avg, "w"), (F.max, "x"))))
-    longest = F.greatest(*(F.when((F.col(f"w{j}") <= COMBINATIONS) & (F.col(f"x{j}") <= COMBINATIONS * 128), F.lit(j)).otherwise(1) for j in range(1, LONGEST + 1)))
-    told = work.write(told.join(figures.select("fam", longest.alias("longest")), "fam"), "asked")
-    asked = told.select("fam", "v", "g", "c", "far", "other", "longest", "tokens")
-    buckets = work.write(asked.mapInArrow(partial(_combined, percent=percent), "bucket long, level int, top int, v long, g long, c long, far boolean"), "buckets")
-    centres = buckets.groupBy("bucket", "level").agg(F.min(F.struct("g", "v", "c")).alias("y"), F.count(F.lit(1)).alias("m"), F.max("g").alias("most")).where("m > 1")
-    met = buckets.join(centres, ["bucket", "level"])
-    # sets of one bucket share ``level`` differences: who needs no more links, again by a star
-    within = met.where((F.col("v") != F.col("y.v")) & (F.col("c") != F.col("y.c")) & (F.col("g") + F.col("y.g") <= scale * F.col("level"))).select(F.least("v", "y.v").alias("a"), F.greatest("v", "y.v").alias("b"))
-    # who needs more than the longest combination is compared, within its bucket
-    more = met.where((F.col("level") == F.col("top")) & (F.col("g") + F.col("most") > scale * F.col("level"))).select("bucket", "v", "g", "c", "far", "level")
-    one, two = more.alias("p"), more.alias("q")
-    beyond = one.join(two, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.v") < F.col("q.v")) & (F.col("p.c") != F.col("q.c")) & (F.col("p.far") | F.col("q.far")) & (F.col("p.g") + F.col("q.g") > scale * F.col("p.level"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
+    buckets = work.write(_asked(told, scale).mapInArrow(partial(_combined, percent=percent), "bucket long, level int, top int, v long, g long, c long, far boolean, side int"), "buckets")
+    # sets of one bucket share ``level`` differences: who needs no more links, by a star
+    centres = buckets.groupBy("bucket", "level").agg(F.min(F.struct("g", "v", "c")).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    within = buckets.join(centres, ["bucket", "level"]).where((F.col("v") != F.col("y.v")) & (F.col("c") != F.col("y.c")) & (F.col("g") + F.col("y.g") <= scale * F.col("level"))).select(F.least("v", "y.v").alias("a"), F.greatest("v", "y.v").alias("b"))
+    # who needs more is compared with those of the other class, within the bucket
+    one, two = buckets.alias("p"), buckets.alias("q")
+    beyond = one.join(two, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.v") < F.col("q.v")) & (F.col("p.side") + F.col("q.side") == 0) & (F.col("p.c") != F.col("q.c")) & (F.col("p.far") | F.col("q.far")) & (F.col("p.g") + F.col("q.g") > scale * F.col("p.level"))).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
     pairs = work.write(within.unionByName(beyond).distinct(), "family-pairs")
     side = lambda x: told.select(F.col("v").alias(x), F.col("g").alias(f"g{x}"), F.col("tokens").alias(f"t{x}"))
     exact = pairs.join(side("a"), "a").join(side("b"), "b").where(scale * F.size(F.array_intersect("ta", "tb")) >= F.col("ga") + F.col("gb"))
