@@ -302,3 +302,41 @@ def test_classes_of_need_lose_no_link_and_compare_few(spark):
     sets = {r[1]: (r[3], set(r[6]), r[5]) for r in rows}
     links = {(a, b) for a, b in combinations(sorted(sets), 2) if (sets[a][2] or sets[b][2]) and scale * len(sets[a][1] & sets[b][1]) >= max(1, sets[a][0] + sets[b][0])}
     assert links and links <= met
+
+
+def test_frequent_class_holds_all_frequent_tokens(spark):
+    """More frequent tokens than a list of 2^18 would hold; a token left out would be a key that unrelated texts share."""
+    text = " ".join(f"w{i}" for i in range(300_000))
+    rows = spark.createDataFrame([(text,)] * 4 + [("a b c d e f",)], "text string").repartition(2)
+    bits, cut = ngramjoin.frequent_map(rows, 2, ngramjoin.Workspace(spark, "t"))
+    at = ngramjoin.shingles(text, 2) >> np.uint64(cut)
+    assert len(at) == 299_999 and (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all()
+    assert np.unpackbits(bits).mean() < 0.13 and len(bits) <= 1 << (ngramjoin.MAP_BITS - 3)
+
+
+def test_only_differences_of_the_other_class_are_combined(spark):
+    rows = [(1, v, v, g, 0, True, tokens) for v, g, tokens in ((1, 0, [1, 2, 3]), (2, 0, [1, 2, 4]), (3, 3000, [*range(20, 40), 3]), (4, 3000, [*range(20, 40), 4]))]
+    told = spark.createDataFrame(rows, "fam long, v long, c long, g long, low long, far boolean, tokens array<long>")
+    got = {(r["v"], r["side"]): r["tokens"] for r in ngramjoin._asked(told, 370).collect()}
+    assert got[1, 0] == [1, 2, 3] and got[3, 0] == [*range(20, 40), 3]
+    assert all(side == 0 for _, side in got)  # one common difference isn't what the classes need
+
+
+def test_differences_of_one_component_are_not_indexed(spark, monkeypatch):
+    """What only the sets of one component have in common can't link it with another."""
+    made, write = {}, ngramjoin.Workspace.write
+
+    def kept(self, df, name, *by):
+        out = write(self, df, name, *by)
+        if name == "told":
+            made.update({r["v"]: (r["fam"], r["c"], r["tokens"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(ngramjoin.Workspace, "write", kept)
+    rows = near_misses(150, 1, 20, 3)
+    ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85, hot=0).collect()
+    of = {}
+    for fam, c, tokens in made.values():
+        for t in tokens:
+            of.setdefault((fam, t), set()).add(c)
+    assert of and min(map(len, of.values())) > 1

@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, made_by, mix64, quoted, shingles, text_of
 
-#: The frequent class has at most so many tokens (8 bytes each are broadcast). It only sets
-#: the order of tokens: links are found whatever is in it.
-FREQUENT = 1 << 18
+#: The frequent class has at most so many tokens, as bits of a map of 8 to 16 bits a token (32 MB at most) that is broadcast. It
+#: only sets the order of tokens: links are found whatever is in it, so a token that shares another one's bit does no harm.
+FREQUENT = 1 << 26
+MAP_BITS = 28
 LEAST = 4  # documents that hold a frequent token, at least
 BROADCAST_IDS = 1_000_000
 _SALT = 0x5851F42D4C957F2D
 FIRST = 8  # smallest pair keys that go with a row, to meet two sets under one of the keys that they share
+_BLOCK = 1 << 16  # bits of the map that a task packs at once
 _FLUSH = 2_000_000  # tokens gathered in a task before they are dealt out
 PART = 1_000_000  # tokens of a part that is counted in one task, about
 HOT = 32  # sets of one key beside its largest component that are compared pair by pair
@@ -96,7 +98,13 @@ def _groups(part: np.ndarray) -> tuple[list[int], list[slice]]:
 
 
 def frequent_tokens(rows: DataFrame, k: int, work: Workspace, limit: int = FREQUENT) -> tuple[np.ndarray, int]:
-    """The most frequent tokens' first bits, sorted, and how many low bits are cut off.
+    """The most frequent tokens' first bits, sorted, and how many low bits are cut off: what ``frequent_map`` holds, as a list."""
+    bits, cut = frequent_map(rows, k, work, limit)
+    return np.flatnonzero(np.unpackbits(bits, bitorder="little")).astype(np.uint64), cut
+
+
+def frequent_map(rows: DataFrame, k: int, work: Workspace, limit: int = FREQUENT) -> tuple[np.ndarray, int]:
+    """A map of bits with those of the most frequent tokens set, by their first bits, and how many low bits are cut off.
 
     Every token of every document is counted. The count travels as packed arrays, in parts of
     about PART tokens by the texts' counted bytes. The least frequency is the smallest power of
@@ -129,12 +137,19 @@ def frequent_tokens(rows: DataFrame, k: int, work: Workspace, limit: int = FREQU
             break
         least = level
 
-    def pack(batches):
-        for b in batches:
-            yield pd.DataFrame({"blob": [b["q"].to_numpy(np.int64).tobytes()]})
+    width = max(16, min(MAP_BITS, (8 * sum(n for level, n in levels.items() if level >= least)).bit_length()))
+    at = F.shiftright("q", 32 + bits - width)
+
+    def pack(key, rows):
+        blob = np.zeros(_BLOCK, np.uint8)
+        blob[rows["low"].to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "blob": [np.packbits(blob, bitorder="little").tobytes()]})
 
-    chosen = found.where(F.col("n") >= (1 << least)).select("q").mapInPandas(pack, "blob binary").collect()  # at most ``limit`` numbers
-    return np.sort(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["blob"], np.int64) for r in chosen)]).astype(np.uint64)), 32 - bits
+    chosen = found.where(F.col("n") >= (1 << least)).select(F.floor(at / _BLOCK).alias("block"), (at % _BLOCK).cast("int").alias("low")).distinct()
+    out = np.zeros((1 << width) // _BLOCK * (_BLOCK // 8), np.uint8)
+    for r in chosen.groupBy("block").applyInPandas(pack, "block long, blob binary").collect():  # the map, 32 MB at most
+        out[r["block"] * (_BLOCK // 8) : (r["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(r["blob"], np.uint8)
+    return out, 64 - width
 
 
 def prefix_keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -169,8 +184,7 @@ def _profile(rows: DataFrame, k: int, percent: int, frequent: np.ndarray, cut: i
                 v.append(_hash(h, 0))
                 w.append(_hash(h, _SALT))
                 q = h >> np.uint64(cut)
-                at = np.minimum(np.searchsorted(often, q), max(len(often) - 1, 0))
-                found, single = prefix_keys(h, often[at] == q if len(often) else np.zeros(len(h), bool), percent)
+                found, single = prefix_keys(h, (often[q >> np.uint64(3)] >> (q & np.uint64(7)).astype(np.uint8) & 1).astype(bool), percent)
                 keys.append(found.view(np.int64))
                 singles.append(single)
             return n, v, w, keys, singles
@@ -284,11 +298,17 @@ def _asked(told: DataFrame, scale: int) -> DataFrame:
 
     ``fam`` names family and pair of classes, ``other`` is the class's least G, and ``longest`` the tokens of a combination: not more than
     any pair of the two classes needs, and so few that a set has COMBINATIONS combinations in all on average. Sides are opposite numbers, 0 within a class.
+    Of a set's tokens those go that no set of the other class has.
     """
     told = told.withColumn("i", F.floor(2 * F.log2(1 + (F.col("g") - F.col("low")) / scale)).cast("int"))  # some 2 log2 of the greatest need
+    flat = told.select("fam", "v", "i", F.posexplode("tokens").alias("p", "t"))
+    held = flat.groupBy("fam", "t").agg(F.expr("bit_or(shiftleft(1L, i))").alias("held"))  # the classes of sets that have it
+    lists = flat.join(held, ["fam", "t"]).groupBy("fam", "v").agg(F.array_sort(F.collect_list(F.struct("p", "t", "held"))).alias("tokens"))
+    told = told.drop("tokens").join(lists, ["fam", "v"])
     classes = told.groupBy("fam", "i").agg(F.min("g").alias("other"), F.max("far").alias("any"))
     classes = classes.groupBy("fam").agg(F.count(F.lit(1)).alias("k"), F.collect_list(F.struct(F.col("i").alias("j"), "other", "any")).alias("to"))
     each = told.join(classes, "fam").withColumn("to", F.explode("to")).select("*", "to.*").where("far OR any")  # two sets that aren't far are joined by the star
+    each = each.withColumn("tokens", F.expr("transform(filter(tokens, z -> (shiftright(z.held, j) & 1L) = 1L), z -> z.t)"))
     each = each.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("other")) / scale)))
     each = each.where(F.size("tokens") >= F.col("need")).select("*", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
     spare = F.size("tokens").cast("double") - F.col("need")
@@ -322,10 +342,10 @@ def _family_links(hot: DataFrame, labels: DataFrame, rows: DataFrame, reps: Data
     told = told.join(least, "fam").withColumn("far", (F.col("g") + F.col("low") > 0) & (F.col("v") != F.col("centre")))
     star = told.where(~F.col("far") & (F.col("v") != F.col("centre"))).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
 
-    # differences that two sets can have in common, rare ones first
-    each = told.select("fam", "v", F.explode("ds").alias("t"))
-    shared = each.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("x")).where("x > 1")
-    tokens = each.join(shared, ["fam", "t"]).groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda z: z["t"]).alias("tokens"))
+    # differences that two sets of different components can have in common, rare ones first
+    each = told.select("fam", "v", "c", F.explode("ds").alias("t"))
+    shared = each.groupBy("fam", "t").agg(F.count(F.lit(1)).alias("x"), F.min("c").alias("one"), F.max("c").alias("other")).where("one < other").drop("one", "other")
+    tokens = each.drop("c").join(shared, ["fam", "t"]).groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda z: z["t"]).alias("tokens"))
     told = work.write(told.drop("ds").join(tokens, "v").select("fam", "v", "c", "g", "low", "far", "tokens"), "told")
     scale = 2 * (100 + percent)
     buckets = work.write(_asked(told, scale).mapInArrow(partial(_combined, percent=percent), "bucket long, level int, top int, v long, g long, c long, far boolean, side int"), "buckets")
@@ -365,7 +385,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text
     """
     work = Workspace(docs.sparkSession, "ngram")
     rows = docs.select(docs[quoted(id)].alias("id"), text_of(docs, text).alias("text"))
-    often, cut = frequent_tokens(rows, k, work)
+    often, cut = frequent_map(rows, k, work)
     work.drop("frequent")
     work.tidy()
     seen = work.write(_profile(rows, k, percent, often, cut), "profile")
