@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 from itertools import accumulate
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -703,3 +704,47 @@ def test_searches_that_share_rounds(spark):
     back = {r["node"] for r in graph.shortest(graph.backward(arcs), spark.createDataFrame([(3,)], "node long")).collect()}
     assert both == ahead & back
     arcs.unpersist()
+
+
+def test_arrays_are_mapped_from_files(store):
+    """Workers of a machine share the pages of the arrays; nothing of the graph's size is made in each of them."""
+    import mmap
+
+    from trailmesh.operators.kernels import Compact
+
+    def whole(x):
+        while isinstance(x, np.ndarray) and x.base is not None:
+            x = x.base
+        return x
+
+    g, marks = store.arrays().value, store.landmarks().value
+    assert all(isinstance(whole(x), mmap.mmap) for x in (g.x, g.src, g.dst, g.w, g.first, g.into.first, g.into.order, *g.sides, *marks.away))
+    own = Compact(g.x, g.y, g.src, g.dst, g.edge, g.back, g.w, g.sides)
+    assert all(own.into[u] == g.into[u] and own.out[u] == g.out[u] for u in range(0, g.n, 7))
+
+
+def test_traces_come_in_slices(spark, store, monkeypatch):
+    from trailmesh.operators import search
+
+    monkeypatch.setattr(search, "SLICE", 5)
+    start = graph.seed_node(store.arcs)
+    requests = spark.createDataFrame([(0, "dijkstra", start, None, None), (1, "bidirectional", start, (start + 5) % store.nodes.count(), None)], REQUESTS)
+    found = store.traces(requests)
+    rows = found.collect()
+    assert max(len(r["words"]) for r in rows) == 5 and len(rows) > 4
+    want = sorted(search.trace_rows(store.search(requests)).collect())
+    assert sorted(search.trace_rows(found).collect()) == want
+
+
+def test_current_nodes_do_not_depend_on_blocks(spark, monkeypatch):
+    r = lcg(5)
+    rows = [(q, e, r() % 3, r() % 90) for q in range(3) for e in range(1, 60 + 7 * q)]
+    log = spark.createDataFrame(rows, "q long, event long, kind int, id long")
+    want = sorted(tuple(x) for x in trace.current_settled(log, "q").collect())
+    monkeypatch.setattr(trace, "BLOCK", 4)
+    found = trace.current_settled(log, "q")
+    assert found.columns == [*log.columns, "settled_node", "last_examined"] and sorted(map(str, (tuple(x) for x in found.collect()))) == sorted(map(str, want))
+    state = {}
+    for q, e, kind, i in sorted(rows):
+        state[q, kind] = i
+        assert next(x for x in want if x[:2] == (q, e))[4:] == (state.get((q, 0)), state.get((q, 1)))

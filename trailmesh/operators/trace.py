@@ -14,6 +14,7 @@ from ..plans.fixpoint import forget, settle
 
 KINDS = (("settled", 0), ("examined", 1), ("improved", 2))
 BLOCK_EVENTS = 2_097_152  # 8 MiB of four-byte words
+BLOCK = 65_536  # events of a log that a task sorts
 
 
 def _count(kind: int) -> Column:
@@ -61,9 +62,17 @@ def first_road_event(forward: Column, backward: Column) -> Column:
 
 def current_settled(trace: DataFrame, *by: str) -> DataFrame:
     """Every event with the node that is settled when it happens and the last examined id."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("event").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda k: F.last(F.when(F.col("kind") == k, F.col("id")), ignorenulls=True).over(w)
-    return trace.withColumns({"settled_node": last(0), "last_examined": last(1)})
+    block = F.floor((F.col("event") - 1) / BLOCK)
+    rows = trace.withColumn("__block", block)
+    known = lambda k: F.max(F.when(F.col("kind") == k, F.struct("event", "id")))
+    # a task sorts one block of a log; what was last before it comes from a row a block
+    before = Window.partitionBy(*(by or (F.lit(0),))).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "__block").agg(known(0).alias("__0"), known(1).alias("__1"))
+    ends = ends.select(*by, "__block", *(F.max(f"__{k}").over(before)["id"].alias(f"__before{k}") for k in (0, 1)))
+    w = Window.partitionBy(*by, "__block").orderBy("event").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda k: F.coalesce(F.last(F.when(F.col("kind") == k, F.col("id")), ignorenulls=True).over(w), F.col(f"__before{k}"))
+    met = rows.join(ends, [*by, "__block"], "left").withColumns({"settled_node": last(0), "last_examined": last(1)})
+    return met.drop("__block", "__before0", "__before1").select(*trace.columns, "settled_node", "last_examined")
 
 
 def trace_violations(trace: DataFrame, arcs: DataFrame) -> DataFrame:
