@@ -748,3 +748,17 @@ def test_current_nodes_do_not_depend_on_blocks(spark, monkeypatch):
     for q, e, kind, i in sorted(rows):
         state[q, kind] = i
         assert next(x for x in want if x[:2] == (q, e))[4:] == (state.get((q, 0)), state.get((q, 1)))
+
+
+def test_draws_do_not_list_candidates(spark, monkeypatch):
+    """Draws from places are those from their listed candidates; some places share a spot, some rows an id."""
+    rows = [tuple(r) for r in some_places(spark, 12, 3, 5000).collect()]
+    rows += [(0, f"q{i}", *rows[i][2:]) for i in range(3)] + [(0, "p0001", 9.0, 42.0, "1"), (0, "p0001", 6.5, 44.0, "0"), (0, None, 9.5, 44.0, "0")]
+    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+    pairs = sampler.journey_candidates(places)
+    want = Counter((r["band"], p) for r in pairs.collect() for p in (r["a"], r["b"]))
+    assert {(r["band"], r["place"]): r["n"] for r in sampler.end_counts(places).collect()} == want
+    road = lambda r: r["estimate"] * (9 if r["a"].endswith("2") else 1)
+    listed = sampler.sample_pairs(spark, pairs, 5, 5, road).collect()
+    monkeypatch.setattr(sampler, "journey_candidates", None)
+    assert sampler.sample_pairs_of(spark, places, 5, 5, road).collect() == listed and len(listed) >= 5
