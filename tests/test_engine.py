@@ -762,3 +762,18 @@ def test_draws_do_not_list_candidates(spark, monkeypatch):
     listed = sampler.sample_pairs(spark, pairs, 5, 5, road).collect()
     monkeypatch.setattr(sampler, "journey_candidates", None)
     assert sampler.sample_pairs_of(spark, places, 5, 5, road).collect() == listed and len(listed) >= 5
+
+
+def test_triples_look_their_distances_up(spark):
+    """Each distance is made for a place, not for a triple; rows of one id are no pair."""
+    rows = [tuple(r) for r in some_places(spark, 26, 4, 5000).collect()] + [(0, "p0001", 9.0, 42.0, "1"), (0, "p0001", 6.5, 44.0, "0"), (0, None, 9.5, 44.0, "0")]
+    places = spark.createDataFrame(rows, "pool long, id string, lon double, lat double, region string")
+    found = sampler.triple_candidates(places)
+    x, y, z = (places.select("region", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "lon", "lat"))) for k in "xyz")
+    km = lambda a, b: F.round(geo.straight_line_km(f"{a}_lon", f"{a}_lat", f"{b}_lon", f"{b}_lat"), 6)
+    t = x.join(y, "region").where("x_id < y_id").join(z, "region").where("y_id < z_id").select("x_id", "y_id", "z_id", F.sort_array(F.array(km("x", "y"), km("y", "z"), km("x", "z"))).alias("s"))
+    want = t.where("s[0] >= 30 AND s[0] >= 0.2 * s[2]").select("x_id", "y_id", "z_id", "s")
+    assert sorted((r["a"], r["b"], r["c"], r["separation"]) for r in found.collect()) == sorted((*r[:3], r["s"][0]) for r in want.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [line for line in plan if "ASIN" in line]
+    assert made and all("lambdafunction" in line for line in made)  # none where triples meet
